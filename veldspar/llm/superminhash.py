@@ -64,7 +64,7 @@ def superminhash(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
         x ^= x >> np.uint64(3)
         x = (x * d + c) & m
         x ^= x >> np.uint64(4)
-        step = np.array(j, np.uint64) * np.array(0x9E3779B97F4A7C15, np.uint64)
+        step = np.uint64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         value = (mix(e + step) >> np.uint64(40)).astype(np.uint32) | np.uint32(j << 24)
         np.minimum.at(flat, doc * bins + x.astype(np.int64), value)
         done = live & (sig.max(1) < np.uint64((j + 1) << 24))
