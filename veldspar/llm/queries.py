@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._shared import table
 
@@ -19,5 +20,20 @@ def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_superminhash, op10_debruijn)}
+def vocabulary() -> str:
+    """The tokenizer file of the token queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode
+
+    got = encode(table(spark, sf_dir, "documents"), vocabulary())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op7_superminhash, op9_transducer, op10_debruijn)}
 SQL: dict[str, str] = {}
