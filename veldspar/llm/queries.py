@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import shared_dir, table
+
+
+def op1_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfile import read_tokens, write_tokens
+
+    folder = shared_dir(spark)
+    write_tokens(table(spark, sf_dir, "documents"), vocabulary(), folder)
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +43,5 @@ def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op7_superminhash, op9_transducer, op10_debruijn)}
+QUERIES = {f.__name__: f for f in (op1_planes, op7_superminhash, op9_transducer, op10_debruijn)}
 SQL: dict[str, str] = {}
