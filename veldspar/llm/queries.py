@@ -16,6 +16,12 @@ def op1_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import compare_edits
+
+    return compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .superminhash import near_duplicates
 
@@ -43,5 +49,5 @@ def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_planes, op7_superminhash, op9_transducer, op10_debruijn)}
+QUERIES = {f.__name__: f for f in (op1_planes, op3_parsing, op7_superminhash, op9_transducer, op10_debruijn)}
 SQL: dict[str, str] = {}
