@@ -30,6 +30,13 @@ def op4_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op6_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import remainder, score_toxicity
+
+    got = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", (remainder("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .superminhash import near_duplicates
 
@@ -57,5 +64,5 @@ def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_planes, op3_parsing, op4_grammar, op7_superminhash, op9_transducer, op10_debruijn)}
+QUERIES = {f.__name__: f for f in (op1_planes, op3_parsing, op4_grammar, op6_noisy_channel, op7_superminhash, op9_transducer, op10_debruijn)}
 SQL: dict[str, str] = {}
