@@ -8,36 +8,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_folder, written
+from ._shared import written
+
+
+#: Up to so many edges, 16 MB, one task finishes the job.
+ONE_TASK = 1_000_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of one batch; emits one (node, smaller root) edge per node that isn't a root."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """Union-find over up to ONE_TASK edges at a time; emits one (node, smaller root) edge per node that isn't a root."""
+    parent: dict[int, int] = {}
 
-        def root(x: int) -> int:
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent.setdefault(p, p)
-            return x
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
 
+    def stars() -> pa.RecordBatch:
+        out = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    n = 0
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        out = [(x, r) for x in parent if (r := root(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        n += batch.num_rows
+        if n >= ONE_TASK:
+            yield stars()
+            parent, n = {}, 0
+    yield stars()
 
 
-def connected(edges: DataFrame, folder: str) -> DataFrame:
+def connected(edges: DataFrame, folder: str, one_task: int = ONE_TASK) -> DataFrame:
     """(node, comp): the smallest node reachable, for every node of ``edges`` (a long, b long).
 
-    Edges are first contracted by union-find within each Arrow batch.  Then large-star and
-    small-star steps alternate until nothing changes; every step is a grouped minimum and a
-    join, and is written to ``folder``.  Self-loops and repeated edges are harmless; an empty table
-    gives an empty result.
+    Edges are first contracted by union-find inside each task.  If ``one_task`` edges or fewer are left, one more task joins them;
+    else large-star and small-star steps alternate until nothing changes, each a grouped minimum and a join, written to ``folder``.
+    Self-loops and repeated edges are harmless; an empty table gives an empty result.
     """
-    cur = written(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long").distinct(), folder, "edges0")
+    cur = written(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"), folder, "edges0")
+    if cur.count() <= one_task:
+        cur = written(cur.coalesce(1).mapInArrow(_forest, "a long, b long"), folder, "stars")
+        return cur.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(cur.select(F.col("b"), F.col("b")).distinct())
+    cur = cur.distinct()
     k, before = 0, None
     while True:
         k += 1
@@ -49,7 +64,6 @@ def connected(edges: DataFrame, folder: str) -> DataFrame:
         small = small.select(F.col("a"), F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         cur = written(small, folder, f"edges{k}")
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_folder(cur.sparkSession, f"{folder}/edges{k - 1}")
         if now == before:
             break
         before = now

@@ -5,13 +5,12 @@ of the bins and a fraction in [0, 1); a bin keeps the least ``j + fraction``.  B
 shingle reaches are thus correlated through its permutation, which lowers the variance against
 plain MinHash, and a document stops at the first step after which every bin holds a smaller step.
 
-Grouping.  Documents with equal shingle sets form a class, and only the class's smallest id goes
-on.  Each band of a signature names a bucket.  In a bucket every member is compared with the
-smallest member (the centre), never with all others.  A member that is not linked to the
-centre's component can only be linked to a member x of it if ``|d(x) - d(y)| <= 1 - threshold``, where d is
-the Jaccard distance to the centre (the triangle inequality), so just these pairs follow; then
-the centre's component leaves the bucket and the rest repeats with a new centre, or, once it is
-small, is compared directly.  No step caps a bucket or a list of partners.
+Grouping.  Documents with equal shingle sets form a class, and only the class's smallest id goes on.  Each band of a
+signature names a bucket.  Each member of a bucket is first compared with the smallest one; most copies are linked to it, and union-find
+makes components of these links.  Only buckets that hold several components go on: there the sketches (one byte of each bin) of members of
+different components are compared in blocks of bounded size, and pairs whose sketches agree in ``LIKELY`` of the bins or more are
+checked.  Pairs inside a component are neither formed nor emitted.  Every link is confirmed on full sets.  No step caps a bucket or a list
+of partners.  A pair of similarity 0.8 has less than 0.56 of its bins equal once in 1e10.
 """
 
 from __future__ import annotations
@@ -30,8 +29,10 @@ from .components import connected
 BINS = 128
 #: Rows of a band: 32 bands of 4 miss a pair of similarity 0.8 once in 2e7.
 ROWS = 4
-#: A bucket's rest of at most so many documents is compared pair by pair.
-SMALL = 24
+#: Share of equal bins below which a pair isn't checked.
+LIKELY = 0.56
+#: Members of a bucket that one task compares at once.
+BLOCK = 4096
 
 
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
@@ -82,6 +83,12 @@ def _sets(block, k: int) -> list[np.ndarray]:
     return shingle_sets(hash_spans(block.data, starts, ends, lower=True), bounds, k)
 
 
+def _low_bytes(column: str):
+    """The low byte of each little-endian 32-bit value of a binary column."""
+    digits = F.hex(column)
+    return F.unhex(F.regexp_replace(digits, "(..)......", "$1"))
+
+
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text", 4 << 20):
@@ -107,30 +114,90 @@ def _full(k: int):
     return run
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches are alike."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
+            keep = (x == y).sum(1) >= LIKELY * BINS
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+
+
+def _across(percent: int):
+    """Likely pairs of different components inside each (bucket, cell); rows come sorted by these."""
+
+    def pairs(ids, sizes, comps, sides, sketches) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for i in range(len(ids) - 1):
+            j = slice(i + 1, None)
+            ok = (comps[j] != comps[i]) & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])) & ((sides[j] != sides[i]) | (sides[i] == 0))
+            at = np.flatnonzero(ok) + i + 1
+            if len(at):
+                at = at[(sketches[at] == sketches[i]).sum(1) >= LIKELY * BINS]
+                out.append((np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            if (key[:, :1] == key[:, -1:]).all():  # the group may go on
+                continue
+            last = int(np.flatnonzero((key != key[:, -1:]).any(0))[-1]) + 1
+            whole = pa.Table.from_batches([*held[:-1], batch.slice(0, last)]).combine_chunks()
+            held = [batch.slice(last)]
+            yield from emit(whole)
+        if held:
+            yield from emit(pa.Table.from_batches(held).combine_chunks())
+
+    def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, cell, side, ids, sizes, comps = (t.column(k).to_numpy() for k in range(6))
+        sketches = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, BINS)
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(cell) != 0)) + 1
+        out = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+            out += pairs(ids[a:b], sizes[a:b], comps[a:b], side[a:b], sketches[a:b])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+
+    return run
+
+
 class _Links:
-    """Verified pairs and the components they make so far."""
+    """Verified links and the components they make so far."""
 
-    def __init__(self, sets: DataFrame, folder: str, percent: int):
-        self.sets, self.folder, self.percent, self.k = sets, folder, percent, 0
-        self.known: DataFrame | None = None
+    def __init__(self, src: DataFrame, sketches: DataFrame, folder: str, shingle: int, percent: int):
+        self.src, self.sketches, self.folder, self.shingle, self.percent, self.k = src, sketches, folder, shingle, percent, 0
+        self.sets: DataFrame | None = None
+        self.links: DataFrame | None = None
         self.comps: DataFrame | None = None
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Add the exact similarity of ``pairs`` (a < b), then find components again."""
-        if self.known is not None:
-            pairs = pairs.join(self.known, ["a", "b"], "left_anti")
-        a, b = (self.sets.select(F.col("id").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
-        both = F.size(F.array_intersect("sa", "sb")).cast("long")
-        got = (
-            pairs.distinct().join(b, "b").join(a, "a")
-            .select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-            .select("a", "b", (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("d"), (100 * F.col("i") >= self.percent * (F.col("t") - F.col("i"))).alias("linked"))
-        )
+    def verify(self, pairs: DataFrame, likely: bool = False) -> None:
+        """Check ``pairs`` (a < b) on full sets, add the links, and find components again."""
         self.k += 1
-        got = written(got, self.folder, f"pairs{self.k}")
-        self.known = got if self.known is None else self.known.union(got)
-        self.comps = connected(self.known.where("linked").select("a", "b"), f"{self.folder}/cc{self.k}")
-        release(self.comps.sparkSession)
+        spark, folder, k = pairs.sparkSession, self.folder, self.k
+        pairs = pairs.distinct()
+        if not likely:
+            x, y = (self.sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+            pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_likely, "a long, b long")
+        pairs = written(pairs, folder, f"likely{k}")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select(F.col("id").alias("_id")), "_id", "left_anti")
+        sets = self.src.where("_id is not null").join(wanted, "_id", "left_semi").mapInArrow(_full(self.shingle), "id long, items array<long>")
+        sets = written(sets, folder, f"sets{k}")
+        self.sets = sets if self.sets is None else self.sets.union(sets)
+        release(spark)
+        a, b = (self.sets.select(F.col("id").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
+        both, all_ = F.size(F.array_intersect("sa", "sb")).cast("long"), F.size("sa") + F.size("sb")
+        got = pairs.join(b, "b").join(a, "a").select("a", "b", both.alias("i"), all_.alias("t"))
+        got = written(got.where(f"100 * i >= {self.percent} * (t - i)").select("a", "b"), folder, f"links{k}")
+        self.links = got if self.links is None else self.links.union(got)
+        self.comps = connected(self.links, f"{folder}/cc{k}")
+        release(spark)
 
     def labelled(self, rows: DataFrame, column: str) -> DataFrame:
         c = self.comps.select(F.col("node").alias(column), F.col("comp").alias(f"_c_{column}"))
@@ -168,43 +235,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(banded.join(heads.select("key"), "key"), folder, "buckets")
     release(spark)
 
-    wanted = rows.select(F.col("id").alias("_id")).distinct()
-    sets = written(src.where("_id is not null").join(wanted, "_id", "left_semi").mapInArrow(_full(shingle), "id long, items array<long>"), folder, "sets_all")
-    sets = written(sets.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), folder, "sets") if spark_has_repeats(sets) else sets
-    release(spark)
-
-    links, k = _Links(sets, folder, percent), 0
-    ratio = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    while not rows.isEmpty():
-        k += 1
-        centre = rows.groupBy("key").agg(F.min("id").alias("m"), F.count("*").alias("c"))
-        rows = rows.join(centre.where("c > 1").select("key", "m"), "key")
-        links.verify(rows.where("id <> m").select(*_ordered("m", "id")))
-        seen = links.known.select(F.col("a").alias("m"), F.col("b").alias("id"), "d")
-        rows = written(links.labelled(links.labelled(rows, "id"), "m").join(seen, ["m", "id"], "left").select("key", "id", "n", "m", F.coalesce("d", F.lit(0.0)).alias("d"), "c_id", "c_m"), folder, f"labelled{k}")
-        rest = rows.where("c_id <> c_m").select("key", "id", "n", "d", "c_id")
-        if rest.isEmpty():
-            break
-        inside = rows.where("c_id = c_m and id <> m").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
-        ring = rest.join(inside, "key").where(ratio(F.col("n"), F.col("nx")) & (F.abs(F.col("d") - F.col("dx")) <= 1 - percent / 100 + 1e-9)).select(*_ordered("id", "x"))
-        size = rest.groupBy("key").agg(F.count("*").alias("c"))
-        few = rest.join(size.where(F.col("c").between(2, SMALL)).select("key"), "key")
-        other = few.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c_id").alias("cx"))
-        direct = few.join(other, "key").where((F.col("id") < F.col("x")) & (F.col("c_id") != F.col("cx")) & ratio(F.col("n"), F.col("nx"))).select(*_ordered("id", "x"))
-        links.verify(ring.union(direct))
-        rows = written(rest.join(size.where(F.col("c") > SMALL).select("key"), "key").select("key", "id", "n"), folder, f"rest{k}")
-
-    if links.comps is None:
-        found = classes.select(*keys, F.col("id").alias("component_id"))
-    else:
-        found = links.labelled(classes.select(*keys, "id"), "id").select(*keys, F.col("c_id").alias("component_id"))
-    # rows that share an id take the smallest component of any of them
+    # the low byte of every bin
+    sketches = classes.select("id", _low_bytes("sig").alias("sketch"))
+    links = _Links(src, sketches, folder, shingle, percent)
+    centre = rows.groupBy("key").agg(F.min("id").alias("m"))
+    links.verify(rows.join(centre, "key").where("id <> m").select(*_ordered("m", "id")))
+    rows = links.labelled(rows, "id")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("c_id").alias("lo"), F.max("c_id").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    # cell (i, j), i <= j, holds the blocks i and j of a bucket; side tells them apart, and is 0 where they are one
+    cells = rows.join(mixed, "key").withColumn("i", part).withColumn("j", other).withColumn("cell", F.least("i", "j") * F.col("parts") + F.greatest("i", "j")).withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2))
+    cells = cells.join(sketches, "id").select("key", F.col("cell").cast("long").alias("cell"), F.col("side").cast("long").alias("side"), "id", F.col("n").cast("long").alias("n"), "c_id", "sketch")
+    links.verify(cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_across(percent), "a long, b long"), likely=True)
+    found = links.labelled(classes.select(*keys, "id"), "id").select(*keys, F.col("c_id").alias("component_id"))
     found = written(found, folder, "found")
     out = signed_docs.select("_id", *keys).join(found, keys, "left").withColumn("component_id", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")))
     drop_folder(spark, f"{folder}/buckets")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("_id"), F.lit(True)).alias("kept"))
-
-
-def spark_has_repeats(sets: DataFrame) -> bool:
-    """Whether an id occurs twice."""
-    return not sets.groupBy("id").count().where("count > 1").isEmpty()
