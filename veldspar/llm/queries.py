@@ -26,10 +26,16 @@ def op4_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import KINDS, find_secrets, joined
 
     got = find_secrets(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = [F.size(F.filter(F.col("base.kind"), lambda x: x == F.lit(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return got.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op5_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import remainder, score_toxicity
 
@@ -64,5 +70,5 @@ def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_planes, op3_parsing, op4_grammar, op6_noisy_channel, op7_superminhash, op9_transducer, op10_debruijn)}
+QUERIES = {f.__name__: f for f in (op1_planes, op3_parsing, op4_grammar, op5_latent, op6_noisy_channel, op7_superminhash, op9_transducer, op10_debruijn)}
 SQL: dict[str, str] = {}
