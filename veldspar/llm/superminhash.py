@@ -5,12 +5,15 @@ of the bins and a fraction in [0, 1); a bin keeps the least ``j + fraction``.  B
 shingle reaches are thus correlated through its permutation, which lowers the variance against
 plain MinHash, and a document stops at the first step after which every bin holds a smaller step.
 
-Grouping.  Documents with equal shingle sets form a class, and only the class's smallest id goes on.  Each band of a
-signature names a bucket.  Each member of a bucket is first compared with the smallest one; most copies are linked to it, and union-find
-makes components of these links.  Only buckets that hold several components go on: there the sketches (one byte of each bin) of members of
-different components are compared in blocks of bounded size, and pairs whose sketches agree in ``LIKELY`` of the bins or more are
-checked.  Pairs inside a component are neither formed nor emitted.  Every link is confirmed on full sets.  No step caps a bucket or a list
-of partners.  A pair of similarity 0.8 has less than 0.56 of its bins equal once in 1e10.
+Grouping.  Documents with equal shingle sets form a class, and only the class's smallest id goes on.  Each band of a signature names a bucket.
+
+1. Inside each bucket, sketches (one byte of each bin) are compared, and those equal in ``LIKELY`` of the bins or more are joined by union-find.  Only the
+   edges of the resulting forest leave the task, never the pairs.  Their components over all buckets are groups: no link crosses groups.
+2. Each group's full sets are dealt to cells of bounded size that together hold every pair of the group; a cell counts all intersections at once, exactly,
+   and again only a forest of the links leaves it.  The components of these are the result.
+
+Rows formed thus grow with the members of buckets and groups, not with their squares.  No step caps a bucket, a group or a list of partners.  A pair
+of similarity 0.8 shares no band once in 2e7, and has less than 0.56 of its bins equal once in 1e10.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_folder, release, shared_dir, written
+from ._shared import release, shared_dir, written
 from ._words import blocks, hash_spans, mix, rolling, signed, split_words, take
 from .components import connected
 
@@ -31,8 +34,8 @@ BINS = 128
 ROWS = 4
 #: Share of equal bins below which a pair isn't checked.
 LIKELY = 0.56
-#: Members of a bucket that one task compares at once.
-BLOCK = 4096
+#: Members of half a cell: by sketch, and by full set (also a bound of all their shingles).
+BLOCK, SET_BLOCK, SET_ITEMS = 2048, 512, 1 << 20
 
 
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
@@ -109,103 +112,122 @@ def _full(k: int):
             sets = _sets(block, k)
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = signed(np.concatenate(sets)) if len(sets) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*take(block, ["_id"]), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([*take(block, ["_id", "comp", "parts"]), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["id", "comp", "parts", "items"])
 
     return run
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sketches are alike."""
+def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole cells with each one's range of rows; rows come sorted by the first ``keys`` columns, which are long."""
+
+    def out(t: pa.Table):
+        change = np.zeros(max(0, t.num_rows - 1), bool)
+        for k in range(keys):
+            change |= np.diff(t.column(k).to_numpy()) != 0
+        cuts = (np.flatnonzero(change) + 1).tolist()
+        return t, list(zip([0, *cuts], [*cuts, t.num_rows]))
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
-            keep = (x == y).sum(1) >= LIKELY * BINS
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)])
+        first = np.array([(held[0] if held else batch).column(k)[0].as_py() for k in range(keys)])
+        if (key[:, -1] == first).all():  # one cell so far, and it may go on
+            held.append(batch)
+            continue
+        last = int(np.flatnonzero((key != key[:, -1:]).any(0))[-1]) + 1 if (key != key[:, -1:]).any() else 0
+        if held or last:
+            yield out(pa.Table.from_batches([*held, batch.slice(0, last)]))
+        held = [batch.slice(last)]
+    if held:
+        yield out(pa.Table.from_batches(held))
+
+
+def _edges(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    cols = [np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
-def _across(percent: int):
-    """Likely pairs of different components inside each (bucket, cell); rows come sorted by these."""
+def _star(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An edge from each member to the smallest id of its label."""
+    order = np.lexsort((ids, label))
+    first = np.ones(len(ids), bool)
+    first[1:] = label[order][1:] != label[order][:-1]
+    root = ids[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
+    keep = root != ids[order]
+    return root[keep], ids[order][keep]
 
-    def pairs(ids, sizes, comps, sides, sketches) -> list[tuple[np.ndarray, np.ndarray]]:
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, cell, id, sketch) -> a forest that joins likely pairs inside each cell."""
+    for t, ranges in _cells(batches, 2):
+        ids = t.column(2).to_numpy()
+        sketches = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
         out = []
-        for i in range(len(ids) - 1):
-            j = slice(i + 1, None)
-            ok = (comps[j] != comps[i]) & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])) & ((sides[j] != sides[i]) | (sides[i] == 0))
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                at = at[(sketches[at] == sketches[i]).sum(1) >= LIKELY * BINS]
-                out.append((np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])))
-        return out
+        for a, b in ranges:
+            x, label = sketches[a:b], np.arange(b - a)
+            for i in range(b - a - 1):
+                other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+                hit = other[(x[other] == x[i]).sum(1) >= LIKELY * BINS]
+                if len(hit):
+                    label[np.isin(label, label[hit])] = label[i]
+            out.append(_star(ids[a:b], label))
+        yield _edges(out)
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The size of each pair's intersection."""
+    m = len(sets)
+    flat = np.concatenate(sets)
+    _, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(m), [len(x) for x in sets])
+    keep = n[inverse] > 1
+    order = np.argsort(inverse[keep], kind="stable")
+    member, inverse = member[keep][order], inverse[keep][order]
+    column = np.cumsum(np.concatenate([[0], np.diff(inverse) != 0])) if len(inverse) else inverse
+    out = np.zeros((m, m), np.float32)
+    step = max(1, (1 << 23) // m)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        at, to = np.searchsorted(column, [c, c + step])
+        x = np.zeros((m, min(step, int(column[to - 1]) + 1 - c)), np.float32)
+        x[member[at:to], column[at:to] - c] = 1
+        out += x @ x.T
+    return out
+
+
+def _exact(percent: int):
+    """(group, cell, id, items) -> a forest of the links inside each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
-            if (key[:, :1] == key[:, -1:]).all():  # the group may go on
-                continue
-            last = int(np.flatnonzero((key != key[:, -1:]).any(0))[-1]) + 1
-            whole = pa.Table.from_batches([*held[:-1], batch.slice(0, last)]).combine_chunks()
-            held = [batch.slice(last)]
-            yield from emit(whole)
-        if held:
-            yield from emit(pa.Table.from_batches(held).combine_chunks())
-
-    def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, cell, side, ids, sizes, comps = (t.column(k).to_numpy() for k in range(6))
-        sketches = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, BINS)
-        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(cell) != 0)) + 1
-        out = []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-            out += pairs(ids[a:b], sizes[a:b], comps[a:b], side[a:b], sketches[a:b])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+        for t, ranges in _cells(batches, 2):
+            ids = t.column(2).to_numpy()
+            lists = t.column(3).combine_chunks()
+            off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            out = []
+            for a, b in ranges:
+                n = np.diff(off[a : b + 1])
+                both = intersections([flat[off[k] : off[k + 1]] for k in range(a, b)])
+                linked = 100.0 * both.astype(np.float64) >= percent * (n[:, None] + n[None, :] - both.astype(np.float64))
+                label = np.arange(b - a)
+                while True:
+                    least = np.where(linked, label[None, :], len(label)).min(1)
+                    least = np.minimum(least, label)[np.minimum(least, label)]
+                    if (least == label).all():
+                        break
+                    label = least
+                out.append(_star(ids[a:b], label))
+            yield _edges(out)
 
     return run
 
 
-class _Links:
-    """Verified links and the components they make so far."""
-
-    def __init__(self, src: DataFrame, sketches: DataFrame, folder: str, shingle: int, percent: int):
-        self.src, self.sketches, self.folder, self.shingle, self.percent, self.k = src, sketches, folder, shingle, percent, 0
-        self.sets: DataFrame | None = None
-        self.links: DataFrame | None = None
-        self.comps: DataFrame | None = None
-
-    def verify(self, pairs: DataFrame, likely: bool = False) -> None:
-        """Check ``pairs`` (a < b) on full sets, add the links, and find components again."""
-        self.k += 1
-        spark, folder, k = pairs.sparkSession, self.folder, self.k
-        pairs = pairs.distinct()
-        if not likely:
-            x, y = (self.sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-            pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_likely, "a long, b long")
-        pairs = written(pairs, folder, f"likely{k}")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select(F.col("id").alias("_id")), "_id", "left_anti")
-        sets = self.src.where("_id is not null").join(wanted, "_id", "left_semi").mapInArrow(_full(self.shingle), "id long, items array<long>")
-        sets = written(sets, folder, f"sets{k}")
-        self.sets = sets if self.sets is None else self.sets.union(sets)
-        release(spark)
-        a, b = (self.sets.select(F.col("id").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
-        both, all_ = F.size(F.array_intersect("sa", "sb")).cast("long"), F.size("sa") + F.size("sb")
-        got = pairs.join(b, "b").join(a, "a").select("a", "b", both.alias("i"), all_.alias("t"))
-        got = written(got.where(f"100 * i >= {self.percent} * (t - i)").select("a", "b"), folder, f"links{k}")
-        self.links = got if self.links is None else self.links.union(got)
-        self.comps = connected(self.links, f"{folder}/cc{k}")
-        release(spark)
-
-    def labelled(self, rows: DataFrame, column: str) -> DataFrame:
-        c = self.comps.select(F.col("node").alias(column), F.col("comp").alias(f"_c_{column}"))
-        return rows.join(c, column, "left").withColumn(f"c_{column}", F.coalesce(f"_c_{column}", column)).drop(f"_c_{column}")
-
-
-def _ordered(x: str, y: str):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+def _dealt(rows: DataFrame, key: str, parts: str) -> DataFrame:
+    """Rows with a ``cell``: blocks i < j of a group of several blocks share the cell (i, j), so every pair of members meets in one."""
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col(parts))
+    other = F.explode(F.when(F.col(parts) == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1), lambda j: j != F.col("_i"))))
+    cell = F.least("_i", "_j") * F.col(parts) + F.greatest("_i", "_j")
+    return rows.withColumn("_i", own).withColumn("_j", other).withColumn("cell", cell).drop("_i", "_j", parts).repartition(key, "cell").sortWithinPartitions(key, "cell")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -232,24 +254,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = classes.select(band.alias("key"), "id", "n")
     # buckets with the same members are one bucket
     heads = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h")).where("c > 1").groupBy("c", "m", "h").agg(F.min("key").alias("key"))
-    rows = written(banded.join(heads.select("key"), "key"), folder, "buckets")
+    heads = heads.select("key", F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("long").alias("parts"))
+    rows = banded.join(heads, "key").join(classes.select("id", _low_bytes("sig").alias("sketch")), "id").select("key", "id", "sketch", "parts")
+    likely = _dealt(rows, "key", "parts").select("key", "cell", "id", "sketch").mapInArrow(_likely, "a long, b long")
+    groups = connected(likely, f"{folder}/groups")
     release(spark)
 
-    # the low byte of every bin
-    sketches = classes.select("id", _low_bytes("sig").alias("sketch"))
-    links = _Links(src, sketches, folder, shingle, percent)
-    centre = rows.groupBy("key").agg(F.min("id").alias("m"))
-    links.verify(rows.join(centre, "key").where("id <> m").select(*_ordered("m", "id")))
-    rows = links.labelled(rows, "id")
-    mixed = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("c_id").alias("lo"), F.max("c_id").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    # cell (i, j), i <= j, holds the blocks i and j of a bucket; side tells them apart, and is 0 where they are one
-    cells = rows.join(mixed, "key").withColumn("i", part).withColumn("j", other).withColumn("cell", F.least("i", "j") * F.col("parts") + F.greatest("i", "j")).withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2))
-    cells = cells.join(sketches, "id").select("key", F.col("cell").cast("long").alias("cell"), F.col("side").cast("long").alias("side"), "id", F.col("n").cast("long").alias("n"), "c_id", "sketch")
-    links.verify(cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_across(percent), "a long, b long"), likely=True)
-    found = links.labelled(classes.select(*keys, "id"), "id").select(*keys, F.col("c_id").alias("component_id"))
+    sized = classes.select(F.col("id").alias("node"), "n").join(groups, "node")
+    parts = sized.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    parts = parts.select("comp", F.greatest(F.lit(1), F.ceil(F.col("c") / SET_BLOCK), F.least(F.col("c"), F.ceil(F.col("s") / SET_ITEMS))).cast("long").alias("parts"))
+    members = groups.join(parts, "comp").select(F.col("node").alias("_id"), "comp", "parts")
+    sets = src.where("_id is not null").join(members, "_id").mapInArrow(_full(shingle), "id long, comp long, parts long, items array<long>")
+    linked = _dealt(sets, "comp", "parts").select("comp", "cell", "id", "items").mapInArrow(_exact(percent), "a long, b long")
+    comps = connected(linked, f"{folder}/links").select(F.col("node").alias("id"), "comp")
+    found = classes.select(*keys, "id").join(comps, "id", "left").select(*keys, F.coalesce("comp", "id").alias("component_id"))
     found = written(found, folder, "found")
     out = signed_docs.select("_id", *keys).join(found, keys, "left").withColumn("component_id", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")))
-    drop_folder(spark, f"{folder}/buckets")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("_id"), F.lit(True)).alias("kept"))
