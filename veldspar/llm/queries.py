@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import shared_dir, table
+from .licences import licences_sql
 
 
 def op1_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,15 @@ def op1_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_chats
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return digests(format_chats(turns))
+
+
 def op3_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import compare_edits
 
@@ -62,6 +72,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -70,5 +86,5 @@ def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_planes, op3_parsing, op4_grammar, op5_latent, op6_noisy_channel, op7_superminhash, op9_transducer, op10_debruijn)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_planes, op2_incremental, op3_parsing, op4_grammar, op5_latent, op6_noisy_channel, op7_superminhash, op8_sentence_rules, op9_transducer, op10_debruijn)}
+SQL: dict[str, str] = {"op8_sentence_rules": licences_sql()}
