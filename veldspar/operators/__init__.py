@@ -1,0 +1 @@
+"""Operators: DataFrame -> DataFrame or -> Column."""

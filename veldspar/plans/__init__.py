@@ -1,0 +1 @@
+"""Named queries and their SQL."""

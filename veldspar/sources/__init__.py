@@ -1,0 +1 @@
+"""Scans, text extraction and sinks."""
