@@ -32,8 +32,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
+#: Rows of an Arrow batch where the session has Spark's own setting: some 4 MB of ordinary texts.  Python workers hold a few batches.
+BATCH_ROWS = 1250
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers once per application, so that Python functions import it there."""
+    """Send the package to the workers once per application, so that Python functions import it there; keep Arrow batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
