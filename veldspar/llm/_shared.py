@@ -13,6 +13,7 @@ from ..session import ship
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir.  Where that is unset (tests, one machine) a temporary folder serves."""
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -8,6 +8,7 @@ tabulated random 64-bit values of its bytes, finished with a mixing step.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,6 +62,20 @@ class Block:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: arrays of 4 MB go back to the system as soon as they are freed
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and else keep the most that any task needed."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[Block]:
     """Cut batches into blocks of about ``limit`` bytes of text; null texts count as empty."""
     for batch in batches:
@@ -80,6 +95,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
             to = min(max(to, at + 1), len(col))
             yield Block(batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at])
             at = to
+        del batch, col, raw, data, off
+        give_back()
 
 
 def split_words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

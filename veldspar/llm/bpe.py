@@ -24,6 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import shared_dir, written
 from ._words import Block, blocks, hash_spans, split_words, take
 
 #: Distinct words with outputs in the lexicon.
@@ -32,6 +33,8 @@ LEXICON = 1 << 16
 LONGEST = 64
 _END = "</w>"
 _INF = np.int32(1 << 30)
+#: Words with characters beyond Latin scripts are cut by the library.
+_FAR = regex.compile("[^\\x00-\u024f]")
 _ARRAYS = ("keys", "to", "add", "final", "offsets", "ids")
 
 
@@ -54,7 +57,8 @@ class WordBpe:
     """The tokenizer of a ``tokenizers`` file of the kind: NFC, white space, lower case; a pattern; byte-level BPE with word ends."""
 
     def __init__(self, path: str):
-        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.spec, self.library = Path(path).read_text(encoding="utf-8"), None
+        spec = json.loads(self.spec)
         vocab: dict[str, int] = spec["model"]["vocab"]
         if spec["model"]["end_of_word_suffix"] != _END or [x["type"] for x in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or spec.get("decoder"):
             raise ValueError("another kind of tokenizer")
@@ -170,17 +174,36 @@ class WordBpe:
             return [y for x in self.special.split(text) for y in ([x] if x in self.added else self._pieces(x))]
         return self._pieces(text)
 
+    def library_pieces(self, text: str) -> list[str]:
+        """Pieces as the tokenizers library cuts them: its Unicode tables may be of another version than Python's."""
+        if self.library is None:
+            from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+            self.library = Tokenizer.from_str(self.spec).normalizer, pre_tokenizers.Split(Regex(self.pattern.pattern), "removed", invert=True)
+        normal, split = self.library
+        parts = self.special.split(text) if self.special else [text]
+        return [y for x in parts if x for y in ([x] if x in self.added else [p for p, _ in split.pre_tokenize_str(normal.normalize_str(x))])]
+
     def encode_words(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, number of ids of each) for words without ASCII white space."""
         if not len(words):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         codes: dict[str, int] = {"\n": 0}
-        seq = np.array([codes.setdefault(x, len(codes)) for x in self.pieces(b"\n".join(words).decode("utf-8", "replace"))], np.int64)
+        text = b"\n".join(words).decode("utf-8", "replace")
+        far = {k: self.library_pieces(w) for k, w in enumerate(text.split("\n")) if _FAR.search(w)} if _FAR.search(text) else {}
+        if far:
+            text = "\n".join("" if k in far else w for k, w in enumerate(text.split("\n")))
+        seq = np.array([codes.setdefault(x, len(codes)) for x in self.pieces(text)], np.int64)
+        word = np.cumsum(seq == 0)
+        if far:
+            more = [codes.setdefault(x, len(codes)) for p in far.values() for x in p]
+            seq, word = np.concatenate([seq, np.array(more, np.int64)]), np.concatenate([word, np.repeat(np.array(list(far)), [len(p) for p in far.values()])])
+            order = np.argsort(word, kind="stable")
+            seq, word = seq[order], word[order]
         flat, at, size = self.merge([b"" if x in self.added or x == "\n" else x.encode("utf-8", "replace") for x in codes])
         for x, k in self.added.items():
             if (code := codes.get(x)) is not None:
                 at[code], size[code], flat = len(flat), 1, np.append(flat, np.int32(k))
-        word = np.cumsum(seq == 0)
         return gather(flat, at[seq], size[seq]), np.bincount(word, size[seq], len(words)).astype(np.int64)
 
     def decode_rows(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,13 +335,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([words.take(pa.array(first)), pa.array(np.bincount(inverse, n).astype(np.int64))], names=["word", "n"])
 
     held, size = [], 0
-    for block in blocks(batches, "_text"):
+    for block in blocks(batches, "_text", 4 << 20):
         starts, lengths, h, inverse, _ = _distinct(block)
         off = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(gather(block.data, starts, lengths))])
         held.append((h, words, np.bincount(inverse, minlength=len(h))))
         size += len(h)
-        if size > 1_000_000:
+        if size > 500_000:
             yield out(held)
             held, size = [], 0
     if held:
@@ -326,10 +349,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", size: int = LEXICON) -> list[bytes]:
-    """The ``size`` most used words of all texts (ties by bytes): the bound of what reaches the driver."""
+    """Words of all texts by use: as many whole classes of frequency (a sixteenth of a power of two wide) as hold ``size`` words together.
+
+    The driver gets a row for each class, then these words, and never a partial list of every task.
+    """
     counts = docs.select(F.col(text_col).cast("binary").alias("_text")).mapInArrow(_count, "word binary, n long").where(F.length("word") <= LONGEST)
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [bytes(r.word) for r in top.select("word").collect()]
+    counts = written(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("class", F.floor(F.log2("n") * 16).cast("int")), shared_dir(docs.sparkSession), "words")
+    least, total = None, 0
+    for r in counts.groupBy("class").count().orderBy(F.desc("class")).collect():
+        total += r["count"]
+        if total > size:
+            break
+        least = r["class"]
+    return [] if least is None else [bytes(r.word) for r in counts.where(F.col("class") >= least).select("word").collect()]
 
 
 def publish(spark: SparkSession, path: str, words: Sequence[bytes]) -> tuple[str, str]:
@@ -347,7 +379,7 @@ def publish(spark: SparkSession, path: str, words: Sequence[bytes]) -> tuple[str
 class Memory:
     """Ids of words met before by this worker, by hash; it starts anew beyond ``most`` words."""
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 700_000):
         self.most = most
         self.hashes, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -396,7 +428,7 @@ def _memory(name: str) -> Memory:
 def _encode(names: tuple[str, str], decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, lexicon = _bpe(names[0]), _lexicon(names[1])
-        for block in blocks(batches, "_text"):
+        for block in blocks(batches, "_text", 4 << 20):
             ids, off = encode_block(block, bpe, lexicon, _memory(names[0]))
             cols = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))]
             if decode:
