@@ -13,6 +13,7 @@ Files are written to a new name and then moved, so a task that runs again, or tw
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -146,6 +147,7 @@ class LibraryEncoder:
     """
 
     def __init__(self, path_or_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(path_or_json)
@@ -154,7 +156,7 @@ class LibraryEncoder:
         self.mark = self._ids(_MARK)
         if len(self.mark) != 1 or self._ids(f"a {_MARK} b") != [*self._ids("a"), *self.mark, *self._ids("b")]:
             raise ValueError("this tokenizer's words aren't separate")
-        self.memory = Memory()
+        self.memory = Memory(800_000)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -163,9 +165,13 @@ class LibraryEncoder:
         texts = [w.decode("utf-8", "replace") for w in words]
         apart = {i for i, t in enumerate(texts) if _MARK in t}
         texts = [t if i not in apart else "" for i, t in enumerate(texts)] if apart else texts
-        step, mark = 512, self.mark[0]
-        got = self.tokenizer.encode_batch_fast([f" {_MARK} ".join([*texts[k : k + step], ""]) for k in range(0, len(texts), step)], add_special_tokens=False)
-        flat = np.concatenate([np.array(x.ids, np.int32) for x in got]) if got else np.zeros(0, np.int32)
+        step, mark, slab = 512, self.mark[0], 1 << 15
+        parts = [np.zeros(0, np.int32)]
+        for a in range(0, len(texts), slab):  # the library's results are large, so few are held at once
+            some = texts[a : a + slab]
+            got = self.tokenizer.encode_batch_fast([f" {_MARK} ".join([*some[k : k + step], ""]) for k in range(0, len(some), step)], add_special_tokens=False)
+            parts += [np.array(x.ids, np.int32) for x in got]
+        flat = np.concatenate(parts)
         ends = np.flatnonzero(flat == mark)
         n = np.diff(np.concatenate([[-1], ends])) - 1
         flat = flat[flat != mark]
@@ -204,7 +210,7 @@ def _write(spec: str, folder: str, end: int, unit: str, chunk: int):
         fs, base = pafs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         final, draft = f"{base}/{shard:08d}.vsp", f"{base}/.{shard:08d}-{uuid.uuid4().hex}"
-        for block in blocks(batches, "_text"):
+        for block in blocks(batches, "_text", 4 << 20):
             if writer is None:
                 fs.create_dir(base, recursive=True)
                 writer = Writer(fs.open_output_stream(draft), unit, chunk)
