@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles of the text with A-Z lowered; a document with fewer words has the whole sequence as its
     only shingle; one without words, with empty or null text has the empty set and no links.
     ``component_id`` is the smallest id reachable; ``kept`` tells whether it is the row's own.
-    Rows that share an id are one node.  A row whose id is null is linked with nothing: its component_id is null
+    Rows that share an id are judged by their own texts.  A row whose id is null is linked with nothing: its component_id is null
     and it is kept.  Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
