@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import shared_dir, written
-from ._words import Block, blocks, hash_spans, split_words, take
+from ._words import Block, blocks, give_back, hash_spans, split_words, take
 
 #: Distinct words with outputs in the lexicon.
 LEXICON = 1 << 16
@@ -311,12 +311,12 @@ class Lexicon:
         return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _bpe(name: str) -> WordBpe:
     return WordBpe(SparkFiles.get(name))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _lexicon(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
@@ -377,7 +377,7 @@ def publish(spark: SparkSession, path: str, words: Sequence[bytes]) -> tuple[str
 
 
 class Memory:
-    """Ids of words met before by this worker, by hash; it starts anew beyond ``most`` words."""
+    """Ids of words met before in this task, by hash; it starts anew beyond ``most`` words."""
 
     def __init__(self, most: int = 700_000):
         self.most = most
@@ -420,21 +420,18 @@ def encode_block(block: Block, bpe: WordBpe, lexicon: Lexicon, memory: Memory |
     return gather(pool, at[inverse], per_word), np.concatenate([[0], np.cumsum(per_word)])[bounds]
 
 
-@lru_cache(1)
-def _memory(name: str) -> Memory:
-    return Memory()
-
-
 def _encode(names: tuple[str, str], decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, lexicon = _bpe(names[0]), _lexicon(names[1])
+        bpe, lexicon, memory = _bpe(names[0]), _lexicon(names[1]), Memory()
         for block in blocks(batches, "_text", 4 << 20):
-            ids, off = encode_block(block, bpe, lexicon, _memory(names[0]))
+            ids, off = encode_block(block, bpe, lexicon, memory)
             cols = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))]
             if decode:
                 data, ends = bpe.decode_rows(ids, off)
                 cols.append(pa.Array.from_buffers(pa.string(), len(block), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]))
             yield pa.RecordBatch.from_arrays([*take(block, ["_own"]), *cols], names=["_own", "ids", "decoded"][: 2 + decode])
+        del memory
+        give_back()
 
     return run
 
