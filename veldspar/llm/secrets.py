@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import shared_dir, written
+from ._words import give_back
 
 KINDS = ("assign", "access", "hex", "learned")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
@@ -194,6 +195,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (("start", "kind", "end"), ("kind", "value"), ("start", "end", "value"))
         cols = [pa.array([[dict(zip(k, x)) for x in g[j]] for g in got], t) for j, (k, t) in enumerate(zip(keys, (_SPAN, _VALUE, _CAND)))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["_own", "base", "vals", "cands"])
+    give_back()
 
 
 Models = list[tuple[str, Automaton, float]]
@@ -273,6 +275,7 @@ def _cut(models: Models, text_col: str, mark: str):
                         t = cut(t, spans, mark)
                 texts.append(t)
             yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+        give_back()
 
     return run
 
