@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import written
-from ._words import Block, blocks, take
+from ._words import Block, blocks, give_back, take
 from .bpe import Memory, _distinct, gather
 
 MAGIC = b"VSP1"
@@ -207,6 +207,7 @@ def _write(spec: str, folder: str, end: int, unit: str, chunk: int):
             _ENCODERS.clear()
             _ENCODERS[spec] = LibraryEncoder(spec)
         encoder, writer = _ENCODERS[spec], None
+        encoder.memory = Memory(800_000)
         fs, base = pafs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         final, draft = f"{base}/{shard:08d}.vsp", f"{base}/.{shard:08d}-{uuid.uuid4().hex}"
@@ -221,6 +222,8 @@ def _write(spec: str, folder: str, end: int, unit: str, chunk: int):
             body[np.cumsum(n) - 1] = False
             out[body] = ids
             writer.add(take(block, ["_id"])[0].to_pylist(), n, out)
+        encoder.memory = Memory(0)
+        give_back()
         if writer is not None:
             writer.close()
             fs.move(draft, final)
