@@ -404,6 +404,84 @@ def test_licence_rules(spark):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2024 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+BSD_FILE = """Copyright (c) 2024, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """
+3. Neither the name of Doe Works, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_HEADER = """Copyright 2024 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL_HEADER = """Copyright (C) 2024 Jane Doe
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_published_licence_texts(spark):
+    commented = lambda t, mark: "\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
+    gpl2 = GPL_HEADER.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    want = [
+        (MIT_FILE, "MIT"), (MIT_FILE.replace("\n\n", "\n"), "MIT"), (MIT_FILE.replace("\n", "\r\n"), "MIT"), (commented(MIT_FILE, " *"), "MIT"),
+        (BSD_FILE, "BSD-2-Clause"), (BSD_FILE + BSD_THIRD, "BSD-3-Clause"), (re.sub(r"(?m)^(\d)\.", r"(\1)", BSD_FILE), "BSD-2-Clause"), (re.sub(r"(?m)^\d\.", "*", BSD_FILE + BSD_THIRD), "BSD-3-Clause"),
+        (APACHE_HEADER, "Apache-2.0"), (commented(APACHE_HEADER, "#"), "Apache-2.0"), (GPL_HEADER, "GPL-3.0"), (commented(GPL_HEADER, "//"), "GPL-3.0"), (gpl2, "GPL-2.0"), (mpl, "MPL-2.0"),
+        ("All rights reserved.\n" + mpl, "MPL-2.0"), ("Some say this is not released under the MIT License.", ""), (f"All rights reserved.\n{GPL_HEADER[:300]}", "proprietary"),
+    ]
+    df = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan_licences(df).collect()}
+    assert [got[k] for k in range(len(want))] == [y for _, y in want]
+    assert all(any(a in x.lower() for a in licences.ANCHORS) for all_ in licences.MORE_SENTENCES.values() for x in all_ if x != licences._OBTAIN)
+
+
 # --- 9: BPE ------------------------------------------------------------------------------------------------------------------------------
 def by_library(text):
     ids = TOKENIZER.encode(text, add_special_tokens=False).ids

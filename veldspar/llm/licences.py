@@ -1,9 +1,9 @@
 """Licence scans by sentence rules; DataFrame functions only.
 
-A text is cut into sentences, each normalised (lower case, runs of other characters than a-z and 0-9 become one space) and looked up among known
-licence sentences, which gives a sequence of sentence identifiers.  An ordered list of rules, each a sequence of identifiers, is then matched against it: a rule holds if its
-identifiers occur in its order.  A rule may give way to another one that holds.  Texts are cut twice: at line ends too, for statements on a line of
-their own, and at sentence ends alone, for wrapped text; a rule holds if it does in either.
+A text is normalised (lower case, runs of other characters than a-z and 0-9 become one space) with marks where it may be cut: sentence ends, line ends, blank
+lines, list markers and colons.  Known licence sentences that stand between two marks, whatever line ends they hold themselves, give one sequence of sentence
+identifiers.  An ordered list of rules, each a sequence of identifiers, is then matched against it: a rule holds if its identifiers occur in its order.  A rule may
+give way to another one that holds.
 """
 
 from __future__ import annotations
@@ -55,8 +55,73 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-statement",), ()),
     ("proprietary", ("reserved",), ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "CC-BY-NC-4.0", "CC-BY-4.0")),
 )
+_GRANT, _, _NOTICE = SENTENCES["mit-grant"][0].partition(": ")
+_OBTAIN, _, _BASIS = SENTENCES["apache-copy"][0].partition(" http://www.apache.org/licenses/LICENSE-2.0 ")
+_GNU = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+_HOPE = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+# Pieces of the sentences above, and further licences; the SQL below doesn't have these.
+MORE_SENTENCES = {
+    "mit-permission": [_GRANT],
+    "mit-notice": [_NOTICE, _NOTICE.replace("notice shall", "notice (including the next paragraph) shall")],
+    "apache-obtain": [_OBTAIN],
+    "apache-basis": [_BASIS],
+    "apache-title": ["Apache License Version 2.0, January 2004"],
+    "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl21-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "agpl3-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "gnu-verbatim": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
+    "gpl2-grant": [_GNU.format("program", ";", "General Public License", ";", "2")],
+    "lgpl21-grant": [_GNU.format("library", ";", "Lesser General Public License", ";", "2.1")],
+    "lgpl3-grant": [_GNU.format(x, ":", "Lesser General Public License", ",", "3") for x in ("program", "library")],
+    "agpl3-grant": [_GNU.format("program", ":", "Affero General Public License", ",", "3")],
+    "gpl-hope": [_HOPE.format("library")],
+    "gpl2-statement": ["SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "gpl3-statement": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "lgpl21-statement": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "lgpl3-statement": ["SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "agpl3-statement": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "bsd3-statement": ["SPDX-License-Identifier: BSD-3-Clause"],
+    "bsd2-statement": ["SPDX-License-Identifier: BSD-2-Clause"],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "isc-statement": ["SPDX-License-Identifier: ISC"],
+    "mpl2-statement": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "unlicense-grant": ["This is free and unencumbered software released into the public domain."],
+    "unlicense-statement": ["SPDX-License-Identifier: Unlicense"],
+    "cc0-statement": ["This work is licensed under a Creative Commons Zero v1.0 Universal License.", "SPDX-License-Identifier: CC0-1.0"],
+    "cc-by-sa-statement": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+}
+_MORE_RULES = (
+    ("MIT", ("mit-permission", "as-is"), ()),
+    ("Apache-2.0", ("apache-title",), ()),
+    ("GPL-3.0", ("gpl3-title", "gnu-verbatim"), ()),
+    ("BSD-3-Clause", ("bsd3-statement",), ()),
+    ("BSD-2-Clause", ("bsd2-statement",), ()),
+    ("GPL-2.0", ("gpl2-grant", "gpl-hope"), ()),
+    ("GPL-2.0", ("gpl2-title", "gnu-verbatim"), ()),
+    ("GPL-2.0", ("gpl2-statement",), ()),
+    ("LGPL-2.1", ("lgpl21-grant", "gpl-hope"), ()),
+    ("LGPL-2.1", ("lgpl21-title", "gnu-verbatim"), ()),
+    ("LGPL-2.1", ("lgpl21-statement",), ()),
+    ("LGPL-3.0", ("lgpl3-grant", "gpl-hope"), ()),
+    ("LGPL-3.0", ("lgpl3-title", "gnu-verbatim"), ()),
+    ("LGPL-3.0", ("lgpl3-statement",), ()),
+    ("AGPL-3.0", ("agpl3-grant", "gpl-hope"), ()),
+    ("AGPL-3.0", ("agpl3-title", "gnu-verbatim"), ()),
+    ("AGPL-3.0", ("agpl3-statement",), ()),
+    ("ISC", ("isc-grant",), ()),
+    ("ISC", ("isc-statement",), ()),
+    ("MPL-2.0", ("mpl2-statement",), ()),
+    ("Unlicense", ("unlicense-grant",), ()),
+    ("Unlicense", ("unlicense-statement",), ()),
+    ("CC0-1.0", ("cc0-statement",), ()),
+    ("CC-BY-SA-4.0", ("cc-by-sa-statement",), ()),
+)
+#: The last rule gives way to every other one.
+ALL_RULES = (*RULES[:-1], *_MORE_RULES, (*RULES[-1][:2], tuple(dict.fromkeys(n for n, _, _ in (*RULES[:-1], *_MORE_RULES)))))
 #: Every known sentence has one of these, so texts without them are passed over.
-ANCHORS = ("licens", "warrant", "permi", "redistribut", "rights reserved", "endorse")
+ANCHORS = ("licens", "warrant", "permi", "redistribut", "rights reserved", "endorse", "unencumbered")
 
 
 def normalised(text: str) -> str:
@@ -64,25 +129,55 @@ def normalised(text: str) -> str:
 
 
 def known(cut_lines: bool) -> dict[str, str]:
-    """Normalised sentence -> identifier.  Longer texts are known by each of their sentences' first part as the cut gives it."""
+    """Normalised sentence -> identifier, as the SQL looks them up; the same for both cuts."""
     return {normalised(s): k for k, all_ in SENTENCES.items() for s in all_}
 
 
 _END = r"([.!?])[ \t\r\n]+"
 
 
-def _ids(text: Column, lines: bool) -> Column:
-    table = F.create_map(*(F.lit(x) for kv in known(lines).items() for x in kv))
-    flat = text if lines else F.regexp_replace(text, r"[\r\n]", " ")
-    parts = F.split(F.regexp_replace(flat, _END, "$1\n"), "\n")
-    names = F.transform(parts, lambda s: F.try_element_at(table, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
-    return F.filter(names, lambda x: x.isNotNull())
+#: A sentence of so many words or more is known across sentence ends too.
+_LONG = 12
+# Texts are lower case when marked, so capitals are free: S for a sentence end, B a blank line or list marker, C a colon, N a line end.
+_MARKS = (
+    (r"[.!?](?=[ \t\r\n])", " S "),
+    (r"\n[ \t\r#*/;%>-]*(?=\n)", " B "),
+    (r"(^|\n)([ \t#*/;%>-]*\(?(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})\))(?=[ \t])", "$1$2 B "),
+    (r":(?=[ \t\r\n])", " C "),
+    (r"[\r\n]", " N "),
+    (r"[^a-z0-9SBCN]+", " "),
+)
+# whoever "the copyright holder" is
+_HOLDER = (r"(neither the name of)(?: [a-zSBCN0-9]+){1,16}?((?: [BCN])* nor(?: [BCN])* the(?: [BCN])* names(?: [BCN])* of(?: [BCN])* its)", "$1 the copyright holder$2")
+
+
+def _sentences() -> dict[str, str]:
+    return known(False) | {normalised(s): k for k, all_ in MORE_SENTENCES.items() for s in all_}
+
+
+def _pattern() -> str:
+    """Any known sentence between two marks, the longest first."""
+    alternatives = []
+    for s in sorted(_sentences(), key=lambda s: (-len(s), s)):
+        words = s.split(" ")
+        marks = "[SBCN]" if len(words) >= _LONG or s.endswith(" v 2 0") else "[BCN]"
+        alternatives.append(f"(?: {marks})* ".join(words))
+    return rf"(?<=^|[SBCN] )(?:{'|'.join(alternatives)})(?= [SBCN]|$)"
+
+
+def _ids(text: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for kv in _sentences().items() for x in kv))
+    marked = F.lower(text)
+    for pattern, to in _MARKS:
+        marked = F.regexp_replace(marked, pattern, to)
+    marked = F.regexp_replace(F.trim(marked), *_HOLDER)
+    return F.transform(F.regexp_extract_all(marked, F.lit(_pattern()), F.lit(0)), lambda s: F.try_element_at(table, F.regexp_replace(s, " [SBCN]", "")))
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_known long, sentence_ids string, licences string, licence string), one row per row of ``docs``; no shuffle.
 
-    ``sentence_ids`` are those of the line cut, and where that has none, of the sentence cut, comma-joined in order; ``licences`` all that hold in the rules' order;
+    ``sentence_ids`` are comma-joined in order; ``licences`` all that hold in the rules' order;
     ``licence`` the first of them or null.  Null or empty text has none.  Ids may be null or repeat.  Other columns are not read.
     """
     low = F.lower(text_col)
@@ -91,19 +186,18 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         some = some | F.coalesce(low.contains(a), F.lit(False))
     none = F.array().cast("array<string>")
     rows = docs.select(F.col(id_col).alias("_own"), F.when(some, F.col(text_col)).alias("_t"))
-    rows = rows.select("_own", *(F.when(F.col("_t").isNotNull(), _ids(F.col("_t"), lines)).otherwise(none).alias(name) for name, lines in (("_a", True), ("_b", False))))
-    rows = rows.select("_own", "_a", "_b", *(F.concat(F.lit("["), F.array_join(c, "]["), F.lit("]")).alias(f"{c}s") for c in ("_a", "_b")))
-    holds = [F.col("_as").like(_like(ids)) | F.col("_bs").like(_like(ids)) for _, ids, _ in RULES]
-    of = lambda name: [h for h, (n, _, _) in zip(holds, RULES) if n == name]
+    rows = rows.select("_own", F.when(F.col("_t").isNotNull(), _ids(F.col("_t"))).otherwise(none).alias("_ids"))
+    rows = rows.select("_own", "_ids", F.concat(F.lit("["), F.array_join("_ids", "]["), F.lit("]")).alias("_s"))
+    holds = [F.col("_s").like(_like(ids)) for _, ids, _ in ALL_RULES]
+    of = lambda name: [h for h, (n, _, _) in zip(holds, ALL_RULES) if n == name]
     given = []
-    for name in dict.fromkeys(n for n, _, _ in RULES):
+    for name in dict.fromkeys(n for n, _, _ in ALL_RULES):
         ok = _any(of(name))
-        for other in dict.fromkeys(o for n, _, others in RULES if n == name for o in others):
+        for other in dict.fromkeys(o for n, _, others in ALL_RULES if n == name for o in others):
             ok = ok & ~_any(of(other))
         given.append(F.when(ok, F.lit(name)))
     found = F.filter(F.array(*given), lambda x: x.isNotNull())
-    shown = F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.col("_b"))
-    out = rows.select("_own", shown.alias("_ids"), found.alias("_l"))
+    out = rows.select("_own", "_ids", found.alias("_l"))
     return out.select(F.col("_own").alias(id_col), F.size("_ids").cast("long").alias("n_known"), F.array_join("_ids", ",").alias("sentence_ids"), F.array_join("_l", ",").alias("licences"), F.when(F.size("_l") > 0, F.col("_l")[0]).alias("licence"))
 
 
@@ -119,7 +213,7 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def licences_sql(table: str = "documents") -> str:
-    """The same result in SQL for DuckDB."""
+    """SQL for DuckDB: the same result for texts whose sentences are of ``SENTENCES`` and found by one cut, at line ends too or at sentence ends alone."""
 
     def ids(lines: bool) -> str:
         flat = "t" if lines else r"regexp_replace(t, '[\r\n]', ' ', 'g')"
