@@ -286,6 +286,27 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_single_passages_of_long_items_are_leaks(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
+    items = [[word() for _ in range(n)] for n in (59, 100, 200, 400)]
+    texts = [[word() for _ in range(r.randint(0, 200))] for _ in range(200)]
+    want = set()
+    for k, item in enumerate(items):
+        starts = np.unique(np.linspace(0, len(item) - 24, -(-len(item) // 24)).astype(int))
+        # a whole passage, one between two passages, 50 words in a row, and a passage with two words changed
+        for j, put in enumerate([item[starts[1] : starts[1] + 24], item[starts[0] + 11 : starts[0] + 35], item[5:55], [x if i not in (5, 15) else word() for i, x in enumerate(item[starts[-1] :])]]):
+            d = 40 * k + 3 * j
+            at = r.randint(0, len(texts[d]))
+            texts[d][at:at] = put
+            want.add((d, k))
+        texts[40 * k + 20][3:3] = item[:10]  # a few words are no leak
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs, bench).collect()} == want
+    assert decontaminate.drop_leaks(docs, bench).count() == len(texts) - len(want)
+
+
 # --- 6: toxicity -------------------------------------------------------------------------------------------------------------------------
 def test_disguised_words_are_restored(spark):
     plain = ["the idiot was here and the scum stood by the loser", "a stupid clown and a moron are worthless"] * 30
