@@ -340,6 +340,23 @@ def test_held_out_accuracy(spark):
     assert len({x.score for x in toxicity.score_toxicity(docs, lab.where("toxic = 0")).collect()}) == 1
 
 
+def test_disguise_of_any_length_is_restored(spark):
+    plain = ["you idiot go home now", "the idiot was here and the scum stood by the loser", "a stupid clown and a moron are worthless", "le crétin est arrivé hier"] * 30
+    model = toxicity.language_model(spark.createDataFrame([(x,) for x in plain], "text string"))
+    words = lambda t: {w for s in toxicity._distinct_words(one_block([t]), model)[0] for w in s.split(" ")}
+    long = "the scum stood by the loser and the clown was here and a stupid moron stood by you idiot"
+    apart, wide = " ".join(long.replace(" ", "")), "  ".join(" ".join(w) for w in long.split())
+    assert len(long.replace(" ", "")) > 48
+    for t in (apart, wide):
+        assert {"scum", "idiot", "moron", "stupid", "loser", "clown"} <= words(t)
+    assert {"you", "idiot"} <= words("y o u i d i o t") and {"you", "idiot"} <= words("y o u  i d i o t")
+    assert "crétin" in words("l e  c r é t i n  e s t")
+    assert toxicity.restore("st" + "u" * 60 + "pid", model) == "stupid"
+    assert {"stupid", "moron", "idiot"} <= words(long.replace(" ", "-")) and {"stupid", "moron"} <= words(long.replace(" ", "."))
+    for t in ("1" * 300_000, "12" * 150_000, "a" + "-" * 300_000 + "b", "a" + "!" * 300_000, "x1y2" * 20_000, "x " * 100_000):
+        toxicity._distinct_words(one_block([t]), model)
+
+
 # --- 7: near duplicates ------------------------------------------------------------------------------------------------------------------
 def groups_of(rows, k, percent):
     sets = {}

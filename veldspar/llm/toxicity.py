@@ -8,6 +8,7 @@ which is counted over all documents.  A logistic model then scores the restored
 from __future__ import annotations
 
 import math
+import os.path
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,12 +22,13 @@ from ._words import Block, blocks, hash_spans, split_words, take
 
 #: Labelled rows that the model is fitted on at most, and its features.
 SAMPLE, FEATURES = 12_000, 256
-#: Longer tokens aren't words; they stay as they are.
-LONGEST = 48
 PREFIXES = (4, 5, 6, 7)
 # What signs may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 APART = frozenset(".-_*~'/,:;")
+#: Those of them that may stand between words, and what a boundary costs; letters that stand apart: a boundary at a gap, at a wider gap, and none at a wider gap.
+BETWEEN, BOUNDARY = frozenset(".-_~/,:;"), -0.7
+GAP, WIDE, NO_WIDE = -1.0, 0.0, -2.0
 _LATIN = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
 #: Symbols of the language model: 0 stands between words, the last for any other letter.
 INDEX = {c: k + 1 for k, c in enumerate(_LATIN)}
@@ -72,69 +74,107 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def _place(c: str, n: int) -> list[tuple[str, float]]:
+    """What ``n`` times ``c`` may say."""
+    if c.isalpha():
+        return [(c, 0.0)] if n == 1 else [(c, -0.5), (c + c, -0.2 if n == 2 else -1.0)]
+    options = [(a * k, -1.0 * k) for a in LEET.get(c, "") for k in ((1, 2) if n > 1 else (1,))]
+    if c in APART or not options:
+        options.append(("", -0.7))
+    if c in BETWEEN:
+        options.append((" ", BOUNDARY))
+    return options
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each place what it may say, with the channel's log probability: a letter, two of it, or nothing."""
-    out = []
-    for m in re.finditer(r"(.)\1*", token):
-        c, n = m[1], len(m[0])
-        if c.isalpha():
-            out.append([(c, 0.0)] if n == 1 else [(c, -0.5), (c + c, -0.2 if n == 2 else -1.0)])
-            continue
-        options = [(a * k, -1.0 * k) for a in LEET.get(c, "") for k in ((1, 2) if n > 1 else (1,))]
-        if c in APART or c == "*" or not options:
-            options.append(("", -0.7))
-        out.append(options)
+    """For each place what it may say, with the channel's log probability: a letter, two of it, nothing, or a boundary of words."""
+    return [_place(m[1], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.S)]
+
+
+def lattice_apart(letters: list[str], wide: list[bool]) -> list[list[tuple[str, float]]]:
+    """The same for letters that stand apart; ``wide`` tells of each whether the gap before it is wider than others.  Any gap may be a boundary."""
+    out: list[list[tuple[str, float]]] = []
+    k = 0
+    while k < len(letters):
+        c, to = letters[k], k + 1
+        while to < len(letters) and letters[to] == c and not wide[to]:
+            to += 1
+        if k:
+            out.append([(" ", WIDE), ("", NO_WIDE)] if wide[k] else [("", 0.0), (" ", GAP)])
+        options = _place(c, to - k)
+        out.append([*options, (f"{c} {c}", GAP - 0.2)] if to - k > 1 and c.isalpha() else options)
+        k = to
     return out
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading: Viterbi over the lattice, the state being the last two symbols."""
+def decode(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """The likeliest reading: Viterbi over the lattice, the state being the last two symbols.  What all paths agree on is put out on the way."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token):
+    done: list[str] = []
+    for k, options in enumerate(places):
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, said) in states.items():
             for text, cost in options:
                 x, y, total = a, b, score + cost
                 for c in text:
-                    z = INDEX.get(c, SIZE - 1)
+                    z = 0 if c == " " else INDEX.get(c, SIZE - 1)
                     total += float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in after or total > after[x, y][0]:
                     after[x, y] = (total, said + text)
         states = after
-    return max(((score + float(model[a, b, 0]), said) for (a, b), (score, said) in states.items()), key=lambda s: (s[0], s[1]))[1]
+        if k % 64 == 63:
+            same = os.path.commonprefix([said for _, said in states.values()])
+            done.append(same)
+            states = {at: (score, said[len(same) :]) for at, (score, said) in states.items()}
+    last = max(((score + float(model[a, b, 0]), said) for (a, b), (score, said) in states.items()), key=lambda s: (s[0], s[1]))[1]
+    return " ".join("".join([*done, last]).split())
+
 
+def readings(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """The likeliest reading as one word, and the words of the likeliest one with boundaries that differ from it."""
+    whole = [[o for o in options if " " not in o[0]] for options in places]
+    one = decode([options or [("", 0.0)] for options in whole], model)
+    return one if whole == places else " ".join(dict.fromkeys([one, *decode(places, model).split(" ")])).strip()
 
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_ODD = re.compile(r"[^\W\d_][\d@$!|+(€£._*~'/,:;-]+[^\W_]|[\d@$!|+(€£][\d@$!|+(€£._*~-]*[^\W\d_]|(.)\1\1")
+
+# every pattern takes time in proportion to the token's length
+_EDGE = re.compile(r"^[\W_]++|(?<![\W_])[\W_]++$")
+_ODD = re.compile(r"[^\W\d_][\d@$!|+(€£._*~'/,:;-]+[^\W_]|(?<![\d@$!|+(€£._*~-])[._*~-]*+[\d@$!|+(€£][\d@$!|+(€£._*~-]*+[^\W\d_]|(.)\1\1")
 _FRONT = re.compile(r"^[^\w@$!|+(€£]+")
 
 
 def restore(token: str, model: np.ndarray) -> str:
-    """A token in lower case without signs at its ends, and decoded where it looks disguised."""
+    """A token in lower case without signs at its ends, and decoded where it looks disguised, which may give several words."""
     low = token.lower()
     plain = _EDGE.sub("", low)
-    if len(token) > LONGEST or not _ODD.search(low):
+    if not _ODD.search(low):
         return plain
     bare = _FRONT.sub("", low)
-    while bare and not (bare[-1].isalnum() or bare[-1] in "@$!|+€£" and not bare.endswith((bare[-1] * 2, "!", "|", "+"))):
-        bare = bare[:-1]
-    return decode(bare, model) if _ODD.search(bare) else plain
+    n = len(bare)
+    while n and not (bare[n - 1].isalnum() or bare[n - 1] in "@$!|+€£" and not bare.endswith((bare[n - 1] * 2, "!", "|", "+"), 0, n)):
+        n -= 1
+    bare = bare[:n]
+    return readings(lattice(bare), model) if _ODD.search(bare) else plain
+
+
+def features_of(said: str) -> list[str]:
+    return [f for word in said.split(" ") if len(word) > 1 for f in (word, *(word[:k] + "~" for k in PREFIXES if len(word) > k))]
 
 
-def features_of(word: str) -> list[str]:
-    return [word, *(word[:k] + "~" for k in PREFIXES if len(word) > k)] if len(word) > 1 else []
+#: Bytes of a character of UTF-8 by its first one.
+_WIDTH = np.array([1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10)
 
 
 def _distinct_words(block: Block, model: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(restored distinct words, the place among them of every word, the document of every word); letters that stand apart, three or more in a
-    row, also give the word that they spell."""
+    row, also give the words that they spell."""
     starts, ends, bounds = split_words(block)
     doc = np.repeat(np.arange(len(block)), np.diff(bounds))
     _, first, inverse = np.unique(hash_spans(block.data, starts, ends), return_index=True, return_inverse=True)
     raw = block.data.tobytes()
     words = [restore(raw[s:e].decode("utf-8", "replace"), model) for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-    single = ends - starts == 1
+    single = ends - starts == (_WIDTH[block.data[starts]] if len(starts) else 0)
     if single.any():
         edge = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
         at, to = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -142,10 +182,12 @@ def _distinct_words(block: Block, model: np.ndarray) -> tuple[list[str], np.ndar
         for a, b in zip(at[to - at >= 3].tolist(), to[to - at >= 3].tolist()):
             while a < b:
                 c = min(b, int(bounds[doc[a] + 1]))
-                if 3 <= c - a <= LONGEST:
-                    token = b"".join(raw[starts[k] : ends[k]] for k in range(a, c)).decode("utf-8", "replace").lower()
-                    words.append(decode(token, model))
-                    more.append((len(words) - 1, int(doc[a])))
+                if c - a >= 3:
+                    letters = [x[:1] for x in (raw[starts[k] : ends[k]].decode("utf-8", "replace").lower() for k in range(a, c))]
+                    gaps = starts[a + 1 : c] - ends[a : c - 1]
+                    for said in readings(lattice_apart(letters, [False, *(gaps > gaps.min()).tolist()]), model).split(" "):
+                        words.append(said)
+                        more.append((len(words) - 1, int(doc[a])))
                 a = c
         if more:
             inverse = np.concatenate([inverse, [x for x, _ in more]])
