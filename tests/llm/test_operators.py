@@ -250,6 +250,26 @@ def test_secrets_on_awkward_rows(spark):
     assert secrets.find_secrets(empty(spark)).count() == 0
 
 
+def test_parts_of_runs_are_scored():
+    labelled = secrets.examples(80)
+    models = secrets.learn_kinds({k: v[:60] for k, v in labelled.items()})
+    ways = {way: way.index("{") for way in ("{}", "{}.", "{}/", "AUTH={}", "https://h.example.com/v1/x/{}/get", "id_{}.")}
+    for kind in ("personal-token", "secret-key"):
+        for way, at in ways.items():
+            hit = 0
+            for secret in labelled[kind][60:]:
+                text = way.format(secret)
+                base_, _, candidates = secrets.base_spans(text)
+                hit += any(s <= at and at + len(secret) <= e for s, _, e in secrets.all_spans(base_, candidates, models))
+            assert hit >= 17, (kind, way, hit)
+    secret = labelled["personal-token"][61]
+    text = f"token=abcdef12,{'0123456789abcdef' * 2}_{secret}"
+    base_, _, candidates = secrets.base_spans(text)
+    assert any(k == 3 and text[s:e].endswith(secret) for s, k, e in secrets.all_spans(base_, candidates, models))
+    for plain in ("https://www.example.com/path/to/article123/index.html", "2024-01-01-report-final", "information", "mail5.example.com"):
+        assert not secrets.all_spans([], secrets.base_spans(plain)[2], models)
+
+
 # --- 5: decontamination ------------------------------------------------------------------------------------------------------------------
 def test_lcs():
     r = np.random.default_rng(1)

@@ -5,15 +5,19 @@ For each kind the labelled strings, written as character classes, form a prefix
 outgoing frequencies agree within Hoeffding's bound, and whose successors do too, are merged (ALERGIA), which leaves a
 probabilistic automaton of the format.  Every candidate, a run of 16 or more credential characters with a digit and a letter, is scored by its mean
 log likelihood per character under each automaton; it's a secret where that reaches what all but one in a hundred of the kind's labelled strings reach.
+Where a whole run isn't, nor without punctuation at its ends, its parts between delimiters are scored, those that are as long as labelled strings of the kind or
+begin as all of them do.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import os.path
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +29,8 @@ from ._words import give_back
 KINDS = ("assign", "access", "hex", "learned")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+_ENDS = ".=/_-"
+_PIECE = re.compile(r"[^.=/_-]+")
 _WORDS = ("passw", "secret", "token", "api")
 # the base rules' lengths are applied after matching; for these two patterns a bound in the pattern gives the same matches
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -150,18 +156,83 @@ class Automaton:
         return (total + self.table[state][0]) / (len(s) + 1)
 
 
-def learn(labelled: dict[str, list[str]]) -> list[tuple[str, Automaton, float]]:
-    """(kind, automaton, least score) of each kind with 20 strings or more."""
+@dataclass(frozen=True)
+class Kind:
+    name: str
+    model: Automaton
+    least: float
+    # least and greatest length of the labelled strings, and what all begin with
+    short: int
+    long: int
+    prefix: str
+
+    def margin(self, seq: str) -> float:
+        return self.model.score(seq) - self.least
+
+
+def learn_kinds(labelled: dict[str, list[str]]) -> list[Kind]:
+    """Each kind with 20 strings or more."""
     out = []
     for kind, strings in sorted(labelled.items()):
         if len(strings) >= 20:
             seqs = [symbols(s) for s in strings]
             model = Automaton(seqs)
             scores = sorted(model.score(s) for s in seqs)
-            out.append((kind, model, scores[len(scores) // 100]))
+            prefix = os.path.commonprefix(strings)
+            out.append(Kind(kind, model, scores[len(scores) // 100], min(map(len, strings)), max(map(len, strings)), prefix if len(prefix) >= 3 else ""))
     return out
 
 
+def learn(labelled: dict[str, list[str]]) -> list[tuple[str, Automaton, float]]:
+    """(kind, automaton, least score) of each kind with 20 strings or more."""
+    return [(k.name, k.model, k.least) for k in learn_kinds(labelled)]
+
+
+def _mixed(value: str) -> bool:
+    return len(value) >= 16 and any(c in "0123456789" for c in value) and any(c.isalpha() for c in value)
+
+
+def accepted(value: str, models: list[Kind]) -> list[tuple[int, int]]:
+    """(start, end) of what the automata accept of a run: all of it, all but punctuation at its ends, or else parts, those with a known prefix and then the likeliest first."""
+    bare = value.strip(_ENDS)
+    for part in dict.fromkeys((value, bare)):
+        if _mixed(part) and any(m.margin(symbols(part)) >= 0 for m in models):
+            at = value.index(part)
+            return [(at, at + len(part))]
+    pieces = [(m.start(), m.end()) for m in _PIECE.finditer(value)]
+    longest = max((m.long for m in models), default=0)
+    found = []
+    for j, (start, _) in enumerate(pieces):
+        here = [m for m in models if m.prefix and value.startswith(m.prefix, start)]
+        for k in range(j, len(pieces)):
+            end = pieces[k][1]
+            # a longer part than any labelled string is one piece, or begins with a known prefix and goes on with "-" and "_"
+            if end - start > longest and k > j and not (here and set(value[pieces[k - 1][1] : pieces[k][0]]) <= {"-", "_"}):
+                break
+            if _mixed(part := value[start:end]):
+                fit = [m for m in models if m.short <= len(part) <= m.long or m in here]
+                best = max(((m in here, m.margin(symbols(part))) for m in fit if m.margin(symbols(part)) >= 0), default=None)
+                if best:
+                    found.append((best, start, end))
+    out: list[tuple[int, int]] = []
+    for _, start, end in sorted(found, key=lambda x: (not x[0][0], -x[0][1], x[1], -x[2])):
+        if all(end <= s or e <= start for s, e in out):
+            out.append((start, end))
+    return sorted(out)
+
+
+def _left(candidate: tuple[int, int, str], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """What sorted base spans leave of a candidate."""
+    start, end, value = candidate
+    out, at = [], start
+    for s, _, e in spans:
+        if s < end and at < e:
+            out.append((at, s))
+            at = e
+    out.append((at, end))
+    return [(a, b, value[a - start : b - start]) for a, b in out if a < b and _mixed(value[a - start : b - start])]
+
+
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, str]], list[tuple[int, int, str]]]:
     """Base spans (start, kind, end), labelled values (kind, value) and candidates (start, end, value) of a text."""
     spans, values, candidates = [], [], []
@@ -178,9 +249,11 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, s
                 for m in rule.finditer(value):
                     spans.append((at + m.start(), kind, at + m.end()))
                     values.append((kind, m[0]))
-        if any(c in "0123456789" for c in value) and any(c.isalpha() for c in value):
+        if _mixed(value):
             candidates.append((at, run.end(), value))
     spans.sort()
+    if spans and candidates:
+        candidates = [x for c in candidates for x in _left(c, spans)]
     return spans, values, candidates
 
 
@@ -198,17 +271,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-Models = list[tuple[str, Automaton, float]]
+Models = list[Kind]
 
 
 def all_spans(base: list[tuple[int, int, int]], candidates: list[tuple[int, int, str]], models: Models) -> list[tuple[int, int, int]]:
-    """Base spans and those of candidates apart from them that an automaton accepts."""
-    more = []
-    for start, end, value in candidates:
-        if not any(s < end and start < e for s, _, e in base):
-            seq = symbols(value)
-            if any(m.score(seq) >= least for _, m, least in models):
-                more.append((start, 3, end))
+    """Base spans and those that the automata accept of the candidates, which lie apart from them."""
+    more = [(start + a, 3, start + b) for start, _, value in candidates for a, b in accepted(value, models)]
     return sorted([*base, *more])
 
 
@@ -235,7 +303,7 @@ def _fit(found: DataFrame, sample: int) -> Models:
     labelled: dict[str, list[str]] = defaultdict(list, examples())
     for k in range(3):
         labelled[KINDS[k]] = [r.value for r in labels.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
-    return learn(labelled)
+    return learn_kinds(labelled)
 
 
 _SPANS = "array<struct<start:long,kind:long,end:long>>"
