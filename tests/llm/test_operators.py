@@ -173,6 +173,19 @@ def test_chat_digests(spark):
     assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_long_conversations_are_rendered_from_their_first_turn(spark):
+    def numbers(turns):
+        return "".join(f"<{k}:{t.role}>" + (t.text if k >= len(turns) - 3 else "") for k, t in enumerate(turns))
+
+    turns = [chat.Turn(("user", "assistant")[k % 2], f"text {k}") for k in range(70)]
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string").repartition(3)
+    row = chat.format_chats(df, numbers).collect()
+    text, spans = chat.spans(turns, numbers)
+    assert len(row) == 1 and row[0].formatted == text == numbers(turns)
+    assert [(x.start, x.end, x.text_start, x.text_end, x.rewrites) for x in row[0].spans] == [tuple(s) for s in spans]
+    assert all(x.rewrites for x in row[0].spans[3:]) and chat.format_chats(df).count() == 3
+
+
 # --- 3: fingerprints ---------------------------------------------------------------------------------------------------------------------
 def test_equal_substrings_share_names():
     r = random.Random(4)

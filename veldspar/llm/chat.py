@@ -4,8 +4,8 @@ A template is any function from a list of turns to a string.  It is called with
 before it, the rest is the new turn's span.  Otherwise the template rewrites history: the turn is flagged, and its span starts where the outputs
 part.  A further call with a probe in place of the turn's text shows where the text stands inside the span.
 
-Long conversations are rendered in segments of ``SEGMENT`` turns, each with the last turn before it as context, so a task holds a segment and not a
-conversation.  This is exact for templates whose output for a turn depends on the turn before it at most (and on being the first).
+Prefixes are rendered from the first turn on, so a task holds a conversation.  Only templates declared by ``one_back``, whose output for a turn depends on the
+turn before it at most (and on being the first), are rendered in segments of ``SEGMENT`` turns, each with the last turn before it as context; a task holds a segment.
 """
 
 from __future__ import annotations
@@ -55,6 +55,13 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+def one_back(template: Template) -> Template:
+    """Declares that ``template`` looks one turn back at most and rewrites no turn before that."""
+    template.one_back = True
+    return template
+
+
+@one_back
 def marked(turns: list[Turn]) -> str:
     """The template of this library: control strings mark turns and never occur in escaped texts."""
     out = []
@@ -110,7 +117,7 @@ _SCHEMA = "_id long, segment long, formatted string, spans array<struct<turn:lon
 _NEW = object()
 
 
-def _format(template: Template, segment: int, loss: frozenset[str]):
+def _format(template: Template, segment: int | None, loss: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = _NEW
         numbers: list = []
@@ -147,14 +154,17 @@ def _format(template: Template, segment: int, loss: frozenset[str]):
 def format_chats(turns: DataFrame, template: Template = marked, segment: int = SEGMENT, loss: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id long, segment long, formatted string, spans array), a row per segment, in order inside each partition.
 
+    A conversation is one segment, unless ``template`` is declared by ``one_back``: then ``segment`` turns are.
+
     ``turns`` has conv_id, turn, role and text.  A conversation's turns are taken in the order of turn (null first), role and text, and none is dropped, repeated ones
     included; null roles and texts count as empty; rows whose conv_id is null are one conversation.  Each span has its place in the segment's formatted text, and that of
     the turn's own text; ``loss`` tells whether its role is learnt.  Other columns are not read.  Equal conversations need one ordered pass each: a
     conversation's rows meet in one task, which sorts them on disk and holds one segment.
     """
+    at_once = segment if getattr(template, "one_back", False) else None
     src = turns.select(F.col("conv_id").cast("long").alias("_id"), F.col("turn").cast("long").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = src.repartition("_id").sortWithinPartitions("_id", "n", "role", "text")
-    return dealt.mapInArrow(_format(template, segment, frozenset(loss)), _SCHEMA).withColumnRenamed("_id", "conv_id")
+    return dealt.mapInArrow(_format(template, at_once, frozenset(loss)), _SCHEMA).withColumnRenamed("_id", "conv_id")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
