@@ -2,8 +2,8 @@
 
 A block is a run of whole documents held as one ``uint8`` buffer with row offsets.  Words are
 maximal runs of bytes other than 0x20 and 0x09-0x0D; these bytes never occur inside a UTF-8
-sequence, so splitting bytes equals splitting text.  A word's hash is a polynomial over
-tabulated random 64-bit values of its bytes, finished with a mixing step.
+sequence, so splitting bytes equals splitting text.  A word's hash takes in eight bytes at a
+time; beyond 64 bytes it goes on with a polynomial over tabulated random values of the bytes.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ _BASE = int(_RNG.integers(1, 1 << 62)) * 2 + 1
 _INV = pow(_BASE, -1, 1 << 64)
 _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _SEGMENT = 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+_ROUND, _LENGTH = (np.uint64(int(_RNG.integers(1, 1 << 62)) * 2 + 1) for _ in range(2))
+#: Which bits of eight bytes count, by the bytes that a word still has.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word hashed eight at a time.
+_SHORT = 64
+_AT_ONCE = 1 << 14
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +105,7 @@ def split_words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of all words, and for each row the number of words before it (rows + 1)."""
     n = len(block.data)
     gap = np.ones(n + 2, bool)
-    gap[1:-1] = _SPACE[block.data]
+    gap[1:-1] = (block.data == 0x20) | (block.data - np.uint8(9) < 5)
     # a row boundary ends a word: starts are found in a copy of the flags where it counts as a gap
     edge = gap[1:] != gap[:-1]
     change = np.flatnonzero(edge)
@@ -118,10 +120,41 @@ def split_words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, block.offsets, "left")
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A copy of the bytes with A-Z lowered."""
+    return data | (data - np.uint8(0x41) < 26).view(np.uint8) << np.uint8(5)
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each span of bytes; spans are in order and don't overlap."""
+    raw = np.zeros(len(data) // 8 * 8 + 16, np.uint8)
+    raw[: len(data)] = lowered(data) if lower else data
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(out), _AT_ONCE):  # arrays that stay in the processor's cache
+        out[k : k + _AT_ONCE] = _hash(raw, starts[k : k + _AT_ONCE], ends[k : k + _AT_ONCE] - starts[k : k + _AT_ONCE])
+    return out
+
+
+def _hash(raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out, eight = size.astype(np.uint64) * _LENGTH, raw.view("<u8")
+    live, at, rest = slice(None), starts, size
+    for _ in range(_SHORT // 8):
+        place, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        value = (eight[place] >> shift | eight[place + 1] << np.uint64(64) - shift) & _MASK[np.minimum(rest, 8)]
+        h = (out[live] ^ value) * _ROUND
+        out[live] = h ^ h >> np.uint64(32)
+        more = np.flatnonzero(rest > 8)
+        if not len(more):
+            return mix(out)
+        live, at, rest = (more if isinstance(live, slice) else live[more]), at[more] + 8, rest[more] - 8
+    # what is left of long words, side by side
+    ends_ = np.cumsum(rest)
+    out[live] ^= _polynomial(raw[np.repeat(at - ends_ + rest, rest) + np.arange(ends_[-1])], ends_ - rest, ends_)
+    return mix(out)
+
+
+def _polynomial(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.empty(len(starts), np.uint64)
-    table = _TABLE[_LOWER] if lower else _TABLE
     at = 0
     while at < len(starts):
         to = int(np.searchsorted(ends, starts[at] + _SEGMENT, "right"))
@@ -130,7 +163,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         pw, inv = powers(max(hi - lo, _SEGMENT))
         sums = np.empty(hi - lo + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(table[data[lo:hi]] * pw[: hi - lo], out=sums[1:])
+        np.cumsum(_TABLE[data[lo:hi]] * pw[: hi - lo], out=sums[1:])
         s, e = starts[at:to] - lo, ends[at:to] - lo
         out[at:to] = (sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64)
         at = to
@@ -162,3 +195,35 @@ def take(block: Block, columns: list[str]) -> list[pa.Array]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class Places:
+    """Where hashes stand among sorted distinct ones, by a table over their leading bits."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, bits = words, max(1, len(words).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.append(np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(words)).astype(np.int32)
+
+    def __getstate__(self) -> np.ndarray:
+        return self.words
+
+    def __setstate__(self, words: np.ndarray) -> None:
+        self.__init__(words)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or their number."""
+        out = np.full(len(hashes), len(self.words), np.int32)
+        if not len(self.words):
+            return out
+        slot = (hashes >> self.shift).astype(np.int64)
+        at, end, live = self.first[slot], self.first[slot + 1], None
+        while True:
+            keep = np.flatnonzero(at < end)
+            if not len(keep):
+                return out
+            hashes, at, end, live = hashes[keep], at[keep], end[keep], keep if live is None else live[keep]
+            hit = self.words[at] == hashes
+            out[live[hit]] = at[hit]
+            at = at + 1
+            at[hit] = end[hit]
