@@ -15,7 +15,7 @@ from ._shared import written
 ONE_TASK = 1_000_000
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over up to ONE_TASK edges at a time; emits one (node, smaller root) edge per node that isn't a root."""
     parent: dict[int, int] = {}
 
@@ -41,16 +41,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def connected(edges: DataFrame, folder: str, one_task: int = ONE_TASK) -> DataFrame:
+def connected(edges: DataFrame, folder: str, one_task: int = ONE_TASK, contracted: bool = False) -> DataFrame:
     """(node, comp): the smallest node reachable, for every node of ``edges`` (a long, b long).
 
-    Edges are first contracted by union-find inside each task.  If ``one_task`` edges or fewer are left, one more task joins them;
+    Edges are first contracted by union-find inside each task, unless the tasks that made them did it (``contracted``).  If ``one_task`` edges or fewer are left, one more task joins them;
     else large-star and small-star steps alternate until nothing changes, each a grouped minimum and a join, written to ``folder``.
     Self-loops and repeated edges are harmless; an empty table gives an empty result.
     """
-    cur = written(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"), folder, "edges0")
+    cur = written(edges if contracted else edges.where("a <> b").select("a", "b").mapInArrow(forest, "a long, b long"), folder, "edges0")
     if cur.count() <= one_task:
-        cur = written(cur.coalesce(1).mapInArrow(_forest, "a long, b long"), folder, "stars")
+        cur = written(cur.coalesce(1).mapInArrow(forest, "a long, b long"), folder, "stars")
         return cur.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(cur.select(F.col("b"), F.col("b")).distinct())
     cur = cur.distinct()
     k, before = 0, None

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._shared import release, shared_dir, written
 from ._words import blocks, hash_spans, mix, rolling, signed, split_words, take
-from .components import connected
+from .components import connected, forest
 
 BINS = 128
 #: Rows of a band: 32 bands of 4 miss a pair of similarity 0.8 once in 2e7.
@@ -199,7 +199,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _exact(percent: int):
     """(group, cell, id, items) -> a forest of the links inside each cell."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, ranges in _cells(batches, 2):
             ids = t.column(2).to_numpy()
             lists = t.column(3).combine_chunks()
@@ -219,7 +219,7 @@ def _exact(percent: int):
                 out.append(_star(ids[a:b], label))
             yield _edges(out)
 
-    return run
+    return lambda batches: forest(links(batches))
 
 
 def _dealt(rows: DataFrame, key: str, parts: str) -> DataFrame:
@@ -256,8 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h")).where("c > 1").groupBy("c", "m", "h").agg(F.min("key").alias("key"))
     heads = heads.select("key", F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("long").alias("parts"))
     rows = banded.join(heads, "key").join(classes.select("id", _low_bytes("sig").alias("sketch")), "id").select("key", "id", "sketch", "parts")
-    likely = _dealt(rows, "key", "parts").select("key", "cell", "id", "sketch").mapInArrow(_likely, "a long, b long")
-    groups = connected(likely, f"{folder}/groups")
+    likely = _dealt(rows, "key", "parts").select("key", "cell", "id", "sketch").mapInArrow(lambda batches: forest(_likely(batches)), "a long, b long")
+    groups = connected(likely, f"{folder}/groups", contracted=True)
     release(spark)
 
     sized = classes.select(F.col("id").alias("node"), "n").join(groups, "node")
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = groups.join(parts, "comp").select(F.col("node").alias("_id"), "comp", "parts")
     sets = src.where("_id is not null").join(members, "_id").mapInArrow(_full(shingle), "id long, comp long, parts long, items array<long>")
     linked = _dealt(sets, "comp", "parts").select("comp", "cell", "id", "items").mapInArrow(_exact(percent), "a long, b long")
-    comps = connected(linked, f"{folder}/links").select(F.col("node").alias("id"), "comp")
+    comps = connected(linked, f"{folder}/links", contracted=True).select(F.col("node").alias("id"), "comp")
     found = classes.select(*keys, "id").join(comps, "id", "left").select(*keys, F.coalesce("comp", "id").alias("component_id"))
     found = written(found, folder, "found")
     out = signed_docs.select("_id", *keys).join(found, keys, "left").withColumn("component_id", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")))

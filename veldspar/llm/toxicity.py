@@ -282,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = language_model(docs, text_col)
     chosen = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col) != 1)).select(F.col(id_col).alias("_k"), F.col("toxic").cast("int").alias("_y"))
     chosen = chosen.groupBy("_k").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(sample)
-    chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # `sample` pairs of numbers
+    chosen = docs.sparkSession.createDataFrame(chosen.toArrow(), chosen.schema)  # `sample` pairs of numbers
     rows = docs.select(F.col(id_col).alias("_k"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), "_k").select("_y", "_text")
     tally = rows.mapInArrow(_tally(model), "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     size = {bool(r["_y"]): r["count"] for r in chosen.groupBy("_y").count().collect()}
