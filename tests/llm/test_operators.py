@@ -1,8 +1,12 @@
 """The ten operators against brute force, and on awkward tables: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import string
+import time
+import uuid
 import zlib
 
 import numpy as np
@@ -283,6 +287,40 @@ def test_parts_of_runs_are_scored():
         assert not secrets.all_spans([], secrets.base_spans(plain)[2], models)
 
 
+def test_kinds_learn_length_and_prefix():
+    r, alnum = random.Random(1), string.ascii_letters + string.digits
+    word = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    more = {"a": lambda: "glpat-" + word(alnum + "-_", 20), "b": lambda: "AIza" + word(alnum + "-_", 35), "c": lambda: f"xoxb-{word('0123456789', r.randint(10, 13))}-{word('0123456789', 12)}-{word(alnum, 24)}"}
+    models = secrets.learn_kinds(secrets.examples() | {k: [f() for _ in range(80)] for k, f in more.items()})
+    assert all(m.outlines.states > m.short for m in models if m.short == m.long)  # a state for each place
+    for kind, make in more.items():
+        for way in ("{}", "key {}.", "AUTH={}", "https://h.example.com/v1/{}/get"):
+            at, hit = way.index("{"), 0
+            for _ in range(200):
+                secret = make()
+                hit += any(s <= at and at + len(secret) <= e for s, _, e in secrets.all_spans([], secrets.base_spans(way.format(secret))[2], models))
+            assert hit >= 180, (kind, way, hit)
+    steps = ["usr", "lib", "python3.13", "site-packages", "v2", "x86_64-linux-gnu", "report_2024", "data01"]
+    plain = [str(uuid.UUID(int=r.getrandbits(128))) for _ in range(500)] + ["/" + "/".join(r.choices(steps, k=r.randint(3, 8))) for _ in range(500)]
+    plain += [f"20{r.randint(10, 29)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}-{r.randint(0, 59):02}-00Z" for _ in range(500)]
+    assert sum(bool(secrets.all_spans([], secrets.base_spans(x)[2], models)) for x in plain) < 0.01 * len(plain)
+
+
+def test_automaton_scores_equal_counted_frequencies():
+    strings = ["ab"] * 64 + ["ac"] * 27 + ["b"] * 9
+    model = secrets.Automaton(strings, alpha=2)  # a bound of nothing: only states of equal frequencies are merged
+    n = lambda p: sum(s.startswith(p) for s in strings)
+    for s in ("ab", "ac", "b"):
+        want = sum(math.log(n(s[: k + 1]) / (n(s[:k]) + 1)) for k in range(len(s)))
+        assert abs(model.total(s) - want) < 0.02
+
+
+def test_base_spans_are_taken_out_of_candidates():
+    text = "/".join(f"{'0123456789abcdef' * 2}/x{k}y" + "Q" * 16 for k in range(2000))
+    base_, _, candidates = secrets.base_spans(text)
+    assert len(base_) == 2000 and len(candidates) == 2000 and all(e <= b[0] or b[2] <= s for b, (s, e, _) in zip(base_, candidates))
+
+
 # --- 5: decontamination ------------------------------------------------------------------------------------------------------------------
 def test_lcs():
     r = np.random.default_rng(1)
@@ -416,6 +454,7 @@ def test_groups_equal_brute_force(spark, monkeypatch, k, block):
     if block:  # cells of few members: groups and buckets are split
         monkeypatch.setattr(superminhash, "BLOCK", block)
         monkeypatch.setattr(superminhash, "SET_BLOCK", block)
+        monkeypatch.setattr(superminhash, "APART", 2)
     r = random.Random(9)
     texts, _ = corpus(spark, 50)
     root = [f"v{r.randrange(300)}" for _ in range(80)]
@@ -592,6 +631,18 @@ def test_automaton_is_minimal_and_complete(tmp_path):
     assert bpe.Lexicon(str(tmp_path / "e")).find(block.data, s, e - s).max() == -1
 
 
+def test_long_words_are_merged_exactly_and_soon():
+    r = random.Random(3)
+    words = ["".join(r.choices(string.ascii_lowercase, k=n)) for n in (511, 512, 513, 2000, 9000)] + ["a" * 3000, "the" * 400, "é" * 600, "x1y2" * 300]
+    ids, n = BPE.encode_words([w.encode() for w in words])
+    ends = np.cumsum(n)
+    for w, a, b in zip(words, ends - n, ends):
+        assert ids[a:b].tolist() == TOKENIZER.encode(w, add_special_tokens=False).ids
+    word, t = "".join(r.choices(string.ascii_lowercase, k=400_000)), time.time()
+    assert BPE.encode_words([word.encode()])[0].tolist() == TOKENIZER.encode(word, add_special_tokens=False).ids
+    assert time.time() - t < 20
+
+
 def test_encoding_of_awkward_rows(spark):
     src = odd_rows(spark)
     got = sorted(((r.doc_id, r.ids, r.decoded) for r in bpe.encode(src, PATH).collect()), key=str)

@@ -9,6 +9,7 @@ exactly, again many at a time.  The result is the tokenizer's own, whatever the
 
 from __future__ import annotations
 
+import heapq
 import json
 import tempfile
 import unicodedata
@@ -31,6 +32,8 @@ from ._words import Block, blocks, give_back, hash_spans, split_words, take
 LEXICON = 1 << 16
 #: Longer words don't enter the lexicon.
 LONGEST = 64
+#: Pieces of more bytes are merged one by one, with a heap of their pairs.
+ALONE = 512
 _END = "</w>"
 _INF = np.int32(1 << 30)
 #: Words with characters beyond Latin scripts are cut by the library.
@@ -74,6 +77,7 @@ class WordBpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         self.new = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.by_pair: dict[int, int] | None = None
         self.bits = 18
         self.slots = np.full(1 << self.bits, -1, np.int64)
         self.ranks = np.full(1 << self.bits, _INF, np.int32)
@@ -111,10 +115,14 @@ class WordBpe:
         size = np.array([len(w) for w in words], np.int64)
         start, count, flat, done = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
         order = np.argsort(size, kind="stable")
-        at = int(np.searchsorted(size[order], 1))
-        while at < len(order):
+        at, many = np.searchsorted(size[order], [1, ALONE + 1]).tolist()
+        for i in order[many:].tolist():
+            got = self._merge_alone(words[i])
+            start[i], count[i], done = done, len(got), done + len(got)
+            flat.append(got)
+        while at < many:
             width = int(size[order[at]])
-            to = int(np.searchsorted(size[order], max(width + 1, width * 5 // 4), "right"))
+            to = min(many, int(np.searchsorted(size[order], max(width + 1, width * 5 // 4), "right")))
             to = min(to, at + max(1, (1 << 21) // max(1, int(size[order[to - 1]]))))
             rows = order[at:to]
             n = size[rows]
@@ -157,6 +165,37 @@ class WordBpe:
         if len(live):
             m[live] = np.pad(cur, ((0, 0), (0, m.shape[1] - cur.shape[1])), constant_values=-1)
 
+    def _merge_alone(self, word: bytes) -> np.ndarray:
+        """The same for one long piece, in time that grows with its length and hardly more: neighbours are linked, and a heap names the next pair."""
+        if self.by_pair is None:
+            used = self.slots >= 0
+            self.by_pair = dict(zip(self.slots[used].tolist(), self.ranks[used].tolist()))
+        data = np.frombuffer(word, np.uint8)
+        ids = self.plain[data]
+        ids[-1] = self.last[data[-1]]
+        n, size, rank, new = len(ids), self.size, self.by_pair, self.new.tolist()
+        first = self._pairs(ids[:-1], ids[1:]).astype(np.int64)
+        live = np.flatnonzero(first < _INF)
+        heap = (first[live] << 32 | live).tolist()  # the lowest rank first, and the leftmost of equal ones
+        heapq.heapify(heap)
+        ids, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            top = heapq.heappop(heap)
+            r, k = top >> 32, top & 0xFFFFFFFF
+            to = after[k]
+            if ids[k] < 0 or to >= n or rank.get(ids[k] * size + ids[to]) != r:
+                continue  # one of the two has been merged since
+            ids[k], ids[to] = new[r], -1
+            after[k] = to = after[to]
+            if to < n:
+                before[to] = k
+                if (r := rank.get(ids[k] * size + ids[to])) is not None:
+                    heapq.heappush(heap, r << 32 | k)
+            if (b := before[k]) >= 0 and (r := rank.get(ids[b] * size + ids[k])) is not None:
+                heapq.heappush(heap, r << 32 | b)
+        out = np.array(ids, np.int32)
+        return out[out >= 0]
+
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
         return np.where((a >= 0) & (b >= 0), self.rank(key.ravel()).reshape(key.shape), _INF).astype(np.int32)

@@ -1,10 +1,12 @@
 """Secret scans: base rules, and probabilistic automata inferred from labelled credentials.
 
 The base rules label credentials of the corpus; fixed public formats, filled with digits of a counter's hash, add examples of kinds that a corpus may lack.
-For each kind the labelled strings, written as character classes, form a prefix tree with counts.  States whose
-outgoing frequencies agree within Hoeffding's bound, and whose successors do too, are merged (ALERGIA), which leaves a
-probabilistic automaton of the format.  Every candidate, a run of 16 or more credential characters with a digit and a letter, is scored by its mean
-log likelihood per character under each automaton; it's a secret where that reaches what all but one in a hundred of the kind's labelled strings reach.
+For each kind the labelled strings form two prefix trees with counts: of character classes, and of outlines, where a character that all strings have at a
+place stands for itself and any other is alike.  States whose outgoing frequencies agree within Hoeffding's bound, and whose successors do too, are
+merged (ALERGIA), which leaves two probabilistic automata of the format: of its composition, and of its length and constant parts.  Every candidate, a run
+of 16 or more credential characters with a digit and a letter, is scored by its mean log likelihood per class and by its outline's log likelihood;
+it's a secret where both reach what all but one in a hundred of the kind's labelled strings reach that the automata were not fitted on (a quarter; of few
+strings, by the spread of their scores).
 Where a whole run isn't, nor without punctuation at its ends, its parts between delimiters are scored, those that are as long as labelled strings of the kind or
 begin as all of them do.
 """
@@ -15,12 +17,13 @@ import hashlib
 import math
 import os.path
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import shared_dir, written
@@ -35,17 +38,19 @@ _WORDS = ("passw", "secret", "token", "api")
 # the base rules' lengths are applied after matching; for these two patterns a bound in the pattern gives the same matches
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+#: How much less likely than the least of the held outlines a secret's outline may be (a length that no string had); a symbol that no state knows costs three times as much.
+RARER = 3.0
 #: Labelled strings of a kind that the corpus gives at most, in the order of their hash.
 SAMPLE = 400
-# Public credential formats (kind, prefix, alphabet, length of the rest).
+# Public credential formats (kind, prefix, alphabet, least and greatest length of the rest).
 FORMATS = (
-    ("access-key", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16),
-    ("base64-secret", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40),
-    ("hex-lower", "", "0123456789abcdef", 40),
-    ("hex-upper", "", "0123456789ABCDEF", 40),
-    ("personal-token", "ghp_", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 36),
-    ("secret-key", "sk_live_", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 24),
-    ("web-token", "eyJ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 60),
+    ("access-key", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16),
+    ("base64-secret", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40, 40),
+    ("hex-lower", "", "0123456789abcdef", 40, 40),
+    ("hex-upper", "", "0123456789ABCDEF", 40, 40),
+    ("personal-token", "ghp_", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 36, 36),
+    ("secret-key", "sk_live_", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 24, 24),
+    ("web-token", "eyJ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 40, 160),
 )
 _CLASS = {c: k for k, chars in {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in chars}
 
@@ -55,12 +60,13 @@ def symbols(text: str) -> str:
     return "".join(_CLASS.get(c, c) for c in text)
 
 
-def examples(n: int = 60) -> dict[str, list[str]]:
+def examples(n: int = 120) -> dict[str, list[str]]:
     """Labelled strings of the fixed formats."""
     out = {}
-    for kind, prefix, alphabet, size in FORMATS:
+    for kind, prefix, alphabet, short, long in FORMATS:
         strings = []
         for k in range(n):
+            size = short + (k * 37) % (long - short + 1)
             digits = b"".join(hashlib.sha512(f"{kind}:{k}:{j}".encode()).digest() for j in range(-(-size // 64)))
             strings.append(prefix + "".join(alphabet[b % len(alphabet)] for b in digits[:size]))
         out[kind] = strings
@@ -146,6 +152,10 @@ class Automaton:
 
     def score(self, s: str) -> float:
         """Mean log likelihood per symbol, the end counted; a symbol never seen at its state costs much and keeps the state."""
+        return self.total(s) / (len(s) + 1)
+
+    def total(self, s: str) -> float:
+        """The log likelihood of the string and its end."""
         state, total = 0, 0.0
         for c in s:
             to = self.table[state][1].get(c)
@@ -153,7 +163,17 @@ class Automaton:
                 total += self.rare
             else:
                 state, total = to[0], total + to[1]
-        return (total + self.table[state][0]) / (len(s) + 1)
+        return total + self.table[state][0]
+
+
+def constants(strings: list[str]) -> dict[int, str]:
+    """The places where all strings that reach them, half of all at least, have one character."""
+    out = {}
+    for k in range(max(map(len, strings), default=0)):
+        here = [s[k] for s in strings if len(s) > k]
+        if 2 * len(here) >= len(strings) and len(set(here)) == 1:
+            out[k] = here[0]
+    return out
 
 
 @dataclass(frozen=True)
@@ -161,13 +181,23 @@ class Kind:
     name: str
     model: Automaton
     least: float
+    # the automaton of outlines, its least score, and what outlines keep of a string
+    outlines: Automaton
+    least_outline: float
+    fixed: dict[int, str]
     # least and greatest length of the labelled strings, and what all begin with
     short: int
     long: int
     prefix: str
 
-    def margin(self, seq: str) -> float:
-        return self.model.score(seq) - self.least
+    def margin(self, value: str) -> float:
+        """By how much a string passes the least scores of a symbol; negative if it fails one of them."""
+        outline = self.outlines.total(outlined(value, self.fixed)) - self.least_outline
+        return min(outline / (len(value) + 1), self.model.score(symbols(value)) - self.least) if outline >= 0 else outline
+
+
+def outlined(value: str, fixed: dict[int, str]) -> str:
+    return "".join(c if k in fixed else "x" for k, c in enumerate(value))
 
 
 def learn_kinds(labelled: dict[str, list[str]]) -> list[Kind]:
@@ -175,11 +205,14 @@ def learn_kinds(labelled: dict[str, list[str]]) -> list[Kind]:
     out = []
     for kind, strings in sorted(labelled.items()):
         if len(strings) >= 20:
-            seqs = [symbols(s) for s in strings]
-            model = Automaton(seqs)
-            scores = sorted(model.score(s) for s in seqs)
+            fitted, held = [s for k, s in enumerate(strings) if k % 4 != 3], strings[3::4]
+            fixed = constants(fitted)
+            model, outlines = Automaton(symbols(s) for s in fitted), Automaton(outlined(s, fixed) for s in fitted)
+            scores, totals = sorted(model.score(symbols(s)) for s in held), sorted(outlines.total(outlined(s, fixed)) for s in held)
             prefix = os.path.commonprefix(strings)
-            out.append(Kind(kind, model, scores[len(scores) // 100], min(map(len, strings)), max(map(len, strings)), prefix if len(prefix) >= 3 else ""))
+            low = len(held) // 100
+            spread = math.sqrt(sum((x - sum(scores) / len(scores)) ** 2 for x in scores) / len(scores))  # few strings don't show the hundredth; outlines are stricter
+            out.append(Kind(kind, model, min(scores[low], sum(scores) / len(scores) - 3.5 * spread), outlines, totals[low] - RARER, fixed, min(map(len, strings)), max(map(len, strings)), prefix if len(prefix) >= 3 else ""))
     return out
 
 
@@ -196,7 +229,7 @@ def accepted(value: str, models: list[Kind]) -> list[tuple[int, int]]:
     """(start, end) of what the automata accept of a run: all of it, all but punctuation at its ends, or else parts, those with a known prefix and then the likeliest first."""
     bare = value.strip(_ENDS)
     for part in dict.fromkeys((value, bare)):
-        if _mixed(part) and any(m.margin(symbols(part)) >= 0 for m in models):
+        if _mixed(part) and any(m.margin(part) >= 0 for m in models):
             at = value.index(part)
             return [(at, at + len(part))]
     pieces = [(m.start(), m.end()) for m in _PIECE.finditer(value)]
@@ -210,8 +243,8 @@ def accepted(value: str, models: list[Kind]) -> list[tuple[int, int]]:
             if end - start > longest and k > j and not (here and set(value[pieces[k - 1][1] : pieces[k][0]]) <= {"-", "_"}):
                 break
             if _mixed(part := value[start:end]):
-                fit = [m for m in models if m.short <= len(part) <= m.long or m in here]
-                best = max(((m in here, m.margin(symbols(part))) for m in fit if m.margin(symbols(part)) >= 0), default=None)
+                fit = [m for m in models if m.short <= len(part) and (len(part) <= m.long or m in here)]
+                best = max(((m in here, m.margin(part)) for m in fit if m.margin(part) >= 0), default=None)
                 if best:
                     found.append((best, start, end))
     out: list[tuple[int, int]] = []
@@ -221,18 +254,29 @@ def accepted(value: str, models: list[Kind]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _left(candidate: tuple[int, int, str], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """What sorted base spans leave of a candidate."""
+def _left(candidate: tuple[int, int, str], starts: list[int], ends: list[int]) -> list[tuple[int, int, str]]:
+    """What base spans, sorted and apart, leave of a candidate."""
     start, end, value = candidate
     out, at = [], start
-    for s, _, e in spans:
-        if s < end and at < e:
-            out.append((at, s))
-            at = e
+    for k in range(bisect_right(ends, start), bisect_left(starts, end)):
+        out.append((at, starts[k]))
+        at = ends[k]
     out.append((at, end))
     return [(a, b, value[a - start : b - start]) for a, b in out if a < b and _mixed(value[a - start : b - start])]
 
 
+def _apart(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what sorted spans cover."""
+    starts, ends = [], []
+    for start, _, end in spans:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, str]], list[tuple[int, int, str]]]:
     """Base spans (start, kind, end), labelled values (kind, value) and candidates (start, end, value) of a text."""
     spans, values, candidates = [], [], []
@@ -253,7 +297,8 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, s
             candidates.append((at, run.end(), value))
     spans.sort()
     if spans and candidates:
-        candidates = [x for c in candidates for x in _left(c, spans)]
+        covered = _apart(spans)
+        candidates = [x for c in candidates for x in _left(c, *covered)]
     return spans, values, candidates
 
 
@@ -301,8 +346,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _fit(found: DataFrame, sample: int) -> Models:
     labels = found.where(F.size("vals") > 0).select(F.explode("vals").alias("v")).select("v.*").where(F.length("value") >= 16).distinct()
     labelled: dict[str, list[str]] = defaultdict(list, examples())
-    for k in range(3):
-        labelled[KINDS[k]] = [r.value for r in labels.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")  # Spark keeps the first of each kind in the tasks, before the shuffle
+    for r in labels.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).orderBy("kind", "k").collect():
+        labelled[KINDS[r.kind]].append(r.value)
     return learn_kinds(labelled)
 
 
