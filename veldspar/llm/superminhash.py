@@ -9,10 +9,12 @@ Grouping.  Documents with equal shingle sets form a class, and only the class's
 
 1. Inside each bucket, sketches (one byte of each bin) are compared, and those equal in ``LIKELY`` of the bins or more are joined by union-find.  Only the
    edges of the resulting forest leave the task, never the pairs.  Their components over all buckets are groups: no link crosses groups.
-2. Each group's full sets are dealt to cells of bounded size that together hold every pair of the group; a cell counts all intersections at once, exactly,
-   and again only a forest of the links leaves it.  The components of these are the result.
+2. The full sets of each group are compared, all intersections of a cell at once, exactly, and again only a forest of the links leaves the task.  The
+   components of these are the result.
 
-Rows formed thus grow with the members of buckets and groups, not with their squares.  No step caps a bucket, a group or a list of partners.  A pair
+Both steps deal large buckets and groups to cells of bounded size, each with the bucket's or group's first member besides its own.  What is joined then, in
+a cell or by that member, needs no further look; only members outside the largest component so far are dealt to cells with all others.  Rows formed thus grow
+with the members, and with the product of members and those left apart.  No step caps a bucket, a group or a list of partners.  A pair
 of similarity 0.8 shares no band once in 2e7, and has less than 0.56 of its bins equal once in 1e10.
 """
 
@@ -35,7 +37,9 @@ ROWS = 4
 #: Share of equal bins below which a pair isn't checked.
 LIKELY = 0.56
 #: Members of half a cell: by sketch, and by full set (also a bound of all their shingles).
-BLOCK, SET_BLOCK, SET_ITEMS = 2048, 512, 1 << 20
+BLOCK, SET_BLOCK, SET_ITEMS, APART = 192, 192, 1 << 20, 64
+#: Rows of three numbers that are broadcast at most, some 5 MB; more are joined by a shuffle.
+FEW = 200_000
 
 
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
@@ -112,7 +116,7 @@ def _full(k: int):
             sets = _sets(block, k)
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = signed(np.concatenate(sets)) if len(sets) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*take(block, ["_id", "comp", "parts"]), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["id", "comp", "parts", "items"])
+            yield pa.RecordBatch.from_arrays([*take(block, ["_id", "key", "cells"]), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["id", "key", "cells", "payload"])
 
     return run
 
@@ -222,12 +226,38 @@ def _exact(percent: int):
     return lambda batches: forest(links(batches))
 
 
-def _dealt(rows: DataFrame, key: str, parts: str) -> DataFrame:
-    """Rows with a ``cell``: blocks i < j of a group of several blocks share the cell (i, j), so every pair of members meets in one."""
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col(parts))
-    other = F.explode(F.when(F.col(parts) == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1), lambda j: j != F.col("_i"))))
-    cell = F.least("_i", "_j") * F.col(parts) + F.greatest("_i", "_j")
-    return rows.withColumn("_i", own).withColumn("_j", other).withColumn("cell", cell).drop("_i", "_j", parts).repartition(key, "cell").sortWithinPartitions(key, "cell")
+def _in_cells(rows: DataFrame, compare) -> DataFrame:
+    return rows.select("key", "cell", "id", "payload").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(compare, "a long, b long")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def _links(members, payload, sizes: DataFrame, compare, folder: str, name: str) -> DataFrame:
+    """(a, b): edges whose components are those of all pairs that ``compare`` joins within a key.
+
+    ``members(sizes)`` gives (key, id) and what ``sizes`` (key, first, parts) has of them, ``payload`` adds the column of that name.  The members are dealt to
+    ``parts`` cells, with the member ``first`` in each.  Of keys of several cells, members that are not in the key's largest component then meet all others.
+    """
+    own, every = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    cell = F.when(F.col("id") == F.col("first"), every).otherwise(F.array(own))
+    edges = written(_in_cells(payload(members(sizes).withColumn("cells", cell).select("key", "id", "cells")).withColumn("cell", F.explode("cells")), compare), folder, f"{name}-once")
+    large = sizes.where("parts > 1")
+    if not large.take(1):
+        return edges
+    joined = connected(edges, f"{folder}/{name}-joined", contracted=True).withColumnRenamed("node", "id")
+    inside = members(_few(large)).join(joined, "id", "left").select("key", "id", "parts", F.coalesce("comp", "id").alias("comp"))
+    inside = written(inside.distinct(), folder, f"{name}-members")
+    main = inside.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), (F.sum("count") - F.max("count")).alias("rest"))
+    main = written(main.where("rest > 0").select("key", "main", F.ceil(F.col("rest") / APART).alias("deals")), folder, f"{name}-main")
+    if not main.take(1):
+        return edges
+    turn = F.pmod(F.xxhash64("id", F.lit(11)), F.col("deals")) * F.col("parts")
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1), lambda k: k * F.col("parts") + own)
+    cells = F.array_distinct(F.concat(met, F.when(F.col("comp") != F.col("main"), F.transform(every, lambda k: turn + k)).otherwise(F.array().cast("array<long>"))))
+    again = written(inside.join(_few(main), "key").select("key", "id", cells.alias("cells")), folder, f"{name}-cells")
+    return edges.union(written(_in_cells(payload(_few(again)).withColumn("cell", F.explode("cells")), compare), folder, f"{name}-again"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -254,19 +284,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = classes.select(band.alias("key"), "id", "n")
     # buckets with the same members are one bucket
     heads = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h")).where("c > 1").groupBy("c", "m", "h").agg(F.min("key").alias("key"))
-    heads = heads.select("key", F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("long").alias("parts"))
-    rows = banded.join(heads, "key").join(classes.select("id", _low_bytes("sig").alias("sketch")), "id").select("key", "id", "sketch", "parts")
-    likely = _dealt(rows, "key", "parts").select("key", "cell", "id", "sketch").mapInArrow(lambda batches: forest(_likely(batches)), "a long, b long")
+    heads = written(heads.select("key", F.col("m").alias("first"), F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("long").alias("parts")), folder, "buckets")
+    sketches = classes.select("id", _low_bytes("sig").alias("payload"))
+    likely = _links(lambda some: banded.join(some, "key"), lambda rows: rows.join(sketches, "id"), heads, lambda batches: forest(_likely(batches)), folder, "likely")
     groups = connected(likely, f"{folder}/groups", contracted=True)
     release(spark)
 
     sized = classes.select(F.col("id").alias("node"), "n").join(groups, "node")
-    parts = sized.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    parts = parts.select("comp", F.greatest(F.lit(1), F.ceil(F.col("c") / SET_BLOCK), F.least(F.col("c"), F.ceil(F.col("s") / SET_ITEMS))).cast("long").alias("parts"))
-    members = groups.join(parts, "comp").select(F.col("node").alias("_id"), "comp", "parts")
-    sets = src.where("_id is not null").join(members, "_id").mapInArrow(_full(shingle), "id long, comp long, parts long, items array<long>")
-    linked = _dealt(sets, "comp", "parts").select("comp", "cell", "id", "items").mapInArrow(_exact(percent), "a long, b long")
-    comps = connected(linked, f"{folder}/links", contracted=True).select(F.col("node").alias("id"), "comp")
+    sizes = sized.groupBy(F.col("comp").alias("key")).agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("c") / SET_BLOCK), F.least(F.col("c"), F.ceil(F.col("s") / SET_ITEMS))).cast("long")
+    sizes = written(sizes.select("key", F.col("key").alias("first"), parts.alias("parts")), folder, "sizes")
+    grouped = groups.select(F.col("comp").alias("key"), F.col("node").alias("id"))
+
+    def sets(rows: DataFrame) -> DataFrame:
+        full = src.where("_id is not null").join(rows.withColumnRenamed("id", "_id"), "_id")
+        return full.mapInArrow(_full(shingle), "id long, key long, cells array<long>, payload array<long>")
+
+    linked = _links(lambda some: grouped.join(some, "key"), sets, sizes, _exact(percent), folder, "links")
+    comps = connected(linked, f"{folder}/components", contracted=True).select(F.col("node").alias("id"), "comp")
     found = classes.select(*keys, "id").join(comps, "id", "left").select(*keys, F.coalesce("comp", "id").alias("component_id"))
     found = written(found, folder, "found")
     out = signed_docs.select("_id", *keys).join(found, keys, "left").withColumn("component_id", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")))
