@@ -16,6 +16,13 @@ def jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
     return F.when(union == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def hashed_jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
+    """The same of arrays without repeats, by their sizes and intersection only."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union == 0, F.lit(empty)).otherwise(both / union)
+
+
 def without(tokens: Column, stop: list[str]) -> Column:
     return F.array_except(tokens, F.array(*(F.lit(x) for x in stop)))
 
@@ -23,8 +30,10 @@ def without(tokens: Column, stop: list[str]) -> Column:
 def shingles(tokens: Column, k: int = 5) -> Column:
     """Distinct hashes of ``k`` consecutive tokens; shorter lists are one shingle."""
     n = F.size(tokens)
-    # the bounds hold whatever is evaluated first
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, k), " ")))
+    run = tokens
+    for j in range(1, k):  # side by side with the tokens after them: no element evaluates the whole list again
+        run = F.zip_with(run, F.slice(tokens, j + 1, F.greatest(n - j, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    many = F.transform(F.slice(run, 1, F.greatest(n - k + 1, F.lit(0))), lambda x: F.xxhash64(x))
     return F.when(n >= k, F.array_distinct(many)).when(n > 0, F.array(F.xxhash64(F.array_join(tokens, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -96,10 +96,31 @@ def canonical_url(c: Column, keep_scheme: bool = False) -> Column:
     return F.when(c.rlike("^[a-zA-Z]+://"), F.concat(scheme, F.lit("://"), url_host(c), url_path(c)))
 
 
+def title_case(c: Column) -> Column:
+    """Every run of ASCII letters begins with a capital, also after digits and apostrophes."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit("([a-z]+|[^a-z]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), "")
+
+
 def slug_title(c: Column) -> Column:
-    """Words of a URL's last part without a leading or trailing date."""
-    slug = F.regexp_replace(F.regexp_replace(F.regexp_extract(url_path(c), "([^/]*)$", 1), r"^\d{4}-\d{2}-\d{2}-?", ""), r"-?\d{4}-\d{2}-\d{2}$", "")
-    return F.initcap(F.trim(F.regexp_replace(slug, "[-_]+", " ")))
+    """Words of a URL's last part without a leading date, or a trailing one and a number."""
+    slug = F.regexp_replace(F.regexp_replace(F.regexp_extract(url_path(c), "([^/]*)$", 1), r"^20\d{2}-\d{2}-\d{2}-", ""), r"-20\d{2}-\d{2}-\d{2}(?:-\d+)?$", "")
+    return title_case(F.trim(F.regexp_replace(slug, "[-_]+", " ")))
+
+
+def first_words(c: Column, n: int = 1200) -> Column:
+    """The first ``n`` words, a space between them."""
+    return F.array_join(F.slice(F.filter(F.split(c, r"\s+"), lambda w: w != ""), 1, n), " ")
+
+
+def flag(c: Column) -> Column:
+    """A boolean as ``true`` or ``false``; null as empty."""
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def wgi(c: Column) -> Column:
+    """A governance indicator of -2.5 to 2.5 as a share, clipped."""
+    return clip01((c + 2.5) / 5)
 
 
 def url_candidates(c: Column, mirrors: dict[str, str]) -> Column:

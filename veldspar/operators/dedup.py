@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import hashed_jaccard
 
 def canonical(df: DataFrame, key: Column | str, *order: Column | str) -> DataFrame:
     """The first row of each key in the given order.  One shuffle on the key; the window keeps a row at a time."""
@@ -24,8 +29,14 @@ def anti(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def or_key_pairs(a: DataFrame, b: DataFrame, id_col: str, keys: dict[str, list[str]]) -> DataFrame:
-    """Pairs that agree on any of several keys, with the first reason in order: an equi join for each."""
+def or_key_pairs(a: DataFrame, b: DataFrame, id_col: str, keys: dict[str, list[str]], review: dict[str, list[str]] | None = None) -> DataFrame:
+    """Pairs that agree on any of several keys, with the first reason in order: an equi join for each.
+
+    Pairs that agree on a ``review`` key alone are given too; their disposition is ``review``, that of others ``safe``.
+    """
+    if review:
+        got = or_key_pairs(a, b, id_col, keys | review)
+        return got.withColumn("disposition", F.when(F.col("reason").isin(*review), "review").otherwise("safe"))
     out = None
     for k, (reason, cols) in enumerate(keys.items()):
         x, y = (d.select(F.col(id_col).alias(n), *cols).na.drop(subset=cols) for d, n in ((a, "id_a"), (b, "id_b")))
@@ -40,6 +51,21 @@ def blocked_pairs(df: DataFrame, id_col: str, block: str, *columns: str) -> Data
     return x.join(y, block).where(F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))
 
 
+def token_pairs(df: DataFrame, id_col: str, block: str, tokens: str, least: float) -> DataFrame:
+    """(a, b, jaccard): pairs a < b of a block whose token sets are alike by ``least`` or more, by prefix filtering on hashes of tokens.
+
+    Of each sorted set only so many tokens are keys that a pair of that likeness must share one; the rarest come first, so few rows meet.
+    """
+    sets = df.select(F.col(id_col).alias("id"), F.col(block).alias("block"), F.transform(tokens, lambda x: F.xxhash64(x)).alias("t"))
+    rare = sets.select("block", F.explode("t").alias("x")).groupBy("block", "x").agg(F.count("*").alias("n"))
+    ranked = sets.select("id", "block", F.explode("t").alias("x")).join(rare, ["block", "x"]).groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
+    keys = ranked.select("id", "block", F.explode(F.slice("o.x", 1, F.size("o") - F.ceil(least * F.size("o")).cast("int") + 1)).alias("x"))
+    met = keys.select(F.col("id").alias("a"), "block", "x").join(keys.select(F.col("id").alias("b"), "block", "x"), ["block", "x"]).where("a < b").select("a", "b").distinct()
+    one = sets.select("id", "t")
+    pairs = met.join(one.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(one.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    return pairs.select("a", "b", hashed_jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
 def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
     """(id, term, w) with unit rows -> pairs a < b of cosine ``least`` or more; the join is on terms, and sums are partial before the shuffle.
 
@@ -53,3 +79,31 @@ def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
     cand = keys.select(F.col("id").alias("a"), "term").join(keys.select(F.col("id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
     x, y = weights.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), weights.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
     return cand.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
+
+
+#: Query vectors that are sent to the tasks at once.
+QUERIES = 20_000
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def near_vectors(vectors: DataFrame, queries: DataFrame, id_col: str, column: str, least: float) -> DataFrame:
+    """(a, b, cosine): queries a and vectors b of cosine ``least`` or more.  There may be QUERIES queries; more are searched block by block.  Null vectors take no part."""
+    held = queries.where(F.col(column).isNotNull()).select(id_col, column).limit(QUERIES + 1).toArrow().combine_chunks()
+    if held.num_rows > QUERIES:
+        raise ValueError(f"more than {QUERIES} queries at once")
+    keys, q = held.column(0).to_numpy(), _unit(held.column(1).combine_chunks()) if held.num_rows else np.zeros((0, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, v = batch.column(0).to_numpy(zero_copy_only=False), _unit(batch.column(1))
+            for k in range(0, len(q) if len(v) else 0, 1024):
+                c = v @ q[k : k + 1024].T
+                i, j = np.nonzero(c >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k + j]), pa.array(own[i]), pa.array(c[i, j])], names=["a", "b", "cosine"])
+
+    return vectors.where(F.col(column).isNotNull()).select(id_col, column).mapInArrow(run, "a long, b long, cosine double")

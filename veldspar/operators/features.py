@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,15 +13,19 @@ from pyspark.sql import functions as F
 from ..functions.text import alnum_tokens
 
 
-def terms(df: DataFrame, id_col: str, text_col: str, stop: list[str] | None = None, bigrams: bool = False) -> DataFrame:
-    """(id, term, tf).  Exploded terms are counted before the shuffle."""
+def grams(df: DataFrame, text_col: str, stop: list[str] | None = None, bigrams: bool = False) -> DataFrame:
+    """``df`` with the array ``t`` of its words, and pairs of neighbours, without stop words."""
     tokens = alnum_tokens(F.col(text_col))
     if stop:
         tokens = F.filter(tokens, lambda t: ~t.isin(stop))
-    rows = df.select(F.col(id_col).alias("id"), tokens.alias("t"))
-    if bigrams:
-        pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("t", i, 2)))
-        rows = rows.select("id", F.when(F.size("t") > 1, F.concat("t", pair)).otherwise(F.col("t")).alias("t"))
+    df = df.withColumn("t", tokens)
+    rest = F.greatest(F.size("t") - 1, F.lit(0))
+    return df.withColumn("t", F.concat("t", F.zip_with(F.slice("t", 1, rest), F.slice("t", 2, rest), lambda a, b: F.concat_ws(" ", a, b)))) if bigrams else df
+
+
+def terms(df: DataFrame, id_col: str, text_col: str, stop: list[str] | None = None, bigrams: bool = False) -> DataFrame:
+    """(id, term, tf).  Exploded terms are counted before the shuffle."""
+    rows = grams(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", stop, bigrams)
     return rows.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -34,10 +41,17 @@ def tfidf(tf: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.9, feat
 
 
 def folds(df: DataFrame, id_col: str, label: str, k: int) -> DataFrame:
-    """Stratified folds: rows of a label are numbered in the order of the id's hash within each of many hash ranges, and dealt in turn."""
-    h = F.sha2(F.col(id_col).cast("string"), 256)
-    w = Window.partitionBy(label).orderBy("_h", id_col)
-    return df.withColumn("_h", h).withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int")).drop("_h")
+    """Stratified folds: rows of a label are numbered in the order of the id's hash, and dealt in turn.
+
+    Rows are numbered within 4,096 ranges of hashes, to which the numbers of rows in the ranges before are added, so no task has a label's rows.
+    """
+    df = df.withColumn("_h", F.sha2(F.col(id_col).cast("string"), 256)).withColumn("_r", F.substring("_h", 1, 3))
+    sizes = df.groupBy(F.col(label).alias("_l"), F.col("_r").alias("_q")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_l").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inner = Window.partitionBy(label, "_r").orderBy("_h", id_col)
+    own = df.withColumn("_k", F.row_number().over(inner)).join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_r") == F.col("_q")))
+    return own.withColumn("fold", ((F.col("_base") + F.col("_k") - 1) % k).cast("int")).drop("_h", "_r", "_l", "_q", "_k", "_base")
 
 
 def fit_rbf_svc(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float, float]:
@@ -78,45 +92,59 @@ def platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def out_of_fold(df: DataFrame, id_col: str, text_col: str, label: str, k: int = 5, features: int = 300, leaky: bool = False) -> DataFrame:
-    """(id, fold, label, p): each fold's probabilities from a model of the other folds.
+class TextModel:
+    """Weighted terms, a kernel classifier on them, and the sigmoid of its decisions, fitted on lists of terms and labels; ``every`` names the terms and weights."""
 
-    Vocabulary and weights are taken inside each fold's training rows, or of all rows where ``leaky``.  A kernel model needs its training rows together,
-    so this fits a labelled set of bounded size: one group for each fold.
-    """
-    rows = folds(df.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label).alias("y")), "id", "y", k)
-    tokens = rows.select("id", "y", "fold", alnum_tokens(F.col("text")).alias("t"))
-    copies = tokens.withColumn("test_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        test = (pdf["fold"] == pdf["test_fold"]).to_numpy()
-        used = np.ones(len(pdf), bool) if leaky else ~test
-        total: dict[str, int] = {}
-        seen: dict[str, int] = {}
-        lists = [list(x) for x in pdf["t"]]
-        for x, use in zip(lists, used):
-            if use:
-                for t in x:
-                    total[t] = total.get(t, 0) + 1
-                for t in set(x):
-                    seen[t] = seen.get(t, 0) + 1
-        n = int(used.sum())
+    def __init__(self, lists: list[list[str]], y: np.ndarray, every: list[list[str]], features: int):
+        total, seen = Counter(t for x in every for t in x), Counter(t for x in every for t in set(x))
+        n = len(every)
         names = sorted((t for t, d in seen.items() if 2 <= d <= 0.9 * n), key=lambda t: (-total[t], t))[:features]
-        place = {t: j for j, t in enumerate(names)}
-        m = np.zeros((len(pdf), len(names)))
+        self.place = {t: j for j, t in enumerate(names)}
+        self.idf = np.log((1 + n) / (1 + np.array([seen[t] for t in names], float))) + 1
+        self.train = self.rows(lists)
+        self.model = fit_rbf_svc(self.train, y)
+        self.slope, self.offset = platt(decide_rbf(self.model, self.train, self.train), y)
+
+    def rows(self, lists: list[list[str]]) -> np.ndarray:
+        m = np.zeros((len(lists), len(self.place)))
         for i, x in enumerate(lists):
             for t in x:
-                if (j := place.get(t)) is not None:
+                if (j := self.place.get(t)) is not None:
                     m[i, j] += 1
-        idf = np.log((1 + n) / (1 + np.array([seen[t] for t in names]))) + 1
-        m = np.where(m > 0, 1 + np.log(np.maximum(m, 1)), 0) * idf
-        m /= np.maximum(1e-12, np.sqrt((m * m).sum(1, keepdims=True)))
-        y = pdf["y"].to_numpy()
-        train = m[~test]
-        model = fit_rbf_svc(train, y[~test])
-        slope, offset = platt(decide_rbf(model, train, train), y[~test])
-        f = decide_rbf(model, train, m[test])
-        return pd.DataFrame({"id": pdf["id"][test], "fold": pdf["fold"][test], "y": y[test], "p": 1 / (1 + np.exp(-np.clip(slope * f + offset, -30, 30)))})
-
-    return copies.groupBy("test_fold").applyInPandas(fit, "id long, fold int, y int, p double").select(F.col("id").alias(id_col), "fold", F.col("y").alias(label), "p")
+        m = np.where(m > 0, 1 + np.log(np.maximum(m, 1)), 0) * self.idf
+        return m / np.maximum(1e-12, np.sqrt((m * m).sum(1, keepdims=True)))
+
+    def probability(self, lists: list[list[str]]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * decide_rbf(self.model, self.train, self.rows(lists)) + self.offset, -30, 30)))
+
+
+def out_of_fold(df: DataFrame, id_col: str, text_col: str, label: str, k: int = 5, features: int = 500, leaky: bool = False, stop: list[str] | None = None, bigrams: bool = True, sample: int = 1_000) -> DataFrame:
+    """(id, fold, label, p): every labelled row's probability, from a model of the other folds.
+
+    Each model is fitted on the other folds' part of the first ``sample`` labelled rows in the order of the id's hash, as a kernel model needs its
+    rows together; vocabulary and weights are taken from these rows too, or from those of all folds where ``leaky``.  All labelled rows are scored.
+    """
+    rows = folds(df.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label).cast("int").alias("y")), "id", "y", k)
+    tokens = grams(rows, "text", stop, bigrams).select("id", "y", "fold", F.coalesce("t", F.array().cast("array<string>")).alias("t"))
+    held = tokens.orderBy(F.sha2(F.col("id").cast("string"), 256), "id").limit(sample).toPandas()
+    lists, y, fold = [list(x) for x in held["t"]], held["y"].to_numpy(float), held["fold"].to_numpy()
+    models: dict[int, TextModel | float] = {}
+    for f in range(k):
+        at = np.flatnonzero(fold != f)
+        own = [lists[i] for i in at]
+        if len(set(y[at].tolist())) == 2:
+            models[f] = TextModel(own, y[at], lists if leaky else own, features)
+        else:  # one label only: its share
+            models[f] = float(y[at].mean()) if len(at) else 0.5
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            p = np.zeros(len(pdf))
+            for f, model in models.items():
+                at = np.flatnonzero(pdf["fold"].to_numpy() == f)
+                if len(at):
+                    p[at] = model if isinstance(model, float) else model.probability([list(x) for x in pdf["t"].iloc[at]])
+            yield pd.DataFrame({"id": pdf["id"], "fold": pdf["fold"], "y": pdf["y"], "p": p})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return tokens.mapInPandas(score, f"id {kind}, fold int, y int, p double").select(F.col("id").alias(id_col), "fold", F.col("y").alias(label), "p")

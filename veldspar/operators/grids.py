@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import SCENARIOS
@@ -50,19 +50,26 @@ def stance_grid(scores: DataFrame, a: str, b: str, weights: list[float], thresho
     return got.withColumn("pro_share", F.try_divide(F.col("pro"), F.col("pro") + F.col("resistant")))
 
 
-def random_matrices(spark: SparkSession, n: int, weights: DataFrame, groups: DataFrame, delta: float = 0.3, seed: int = 42) -> DataFrame:
-    """One row of invariants over ``n`` random prevalence matrices: weights sum to 1, are positive, and keep the base ratios' identity."""
+def random_matrices(spark: SparkSession, n: int, weights: DataFrame, groups: DataFrame, delta: float = 0.3, share: Column | None = None, contention: Column | None = None, seed: int = 42) -> DataFrame:
+    """One row of invariants over ``n`` random prevalence matrices: weights sum to 1, are positive, and differ from the base weights.
+
+    ``share`` and ``contention`` are numbers of [0, 1) by (m, group, criterion) and by (m, group), else drawn by Spark.
+    """
+    share, contention = F.rand(seed) if share is None else share, F.xxhash64("m", "group", F.lit(seed)) / 2.0**64 + 0.5 if contention is None else contention
     cells = spark.range(n).withColumnRenamed("id", "m").crossJoin(F.broadcast(groups)).crossJoin(F.broadcast(weights))
-    cells = cells.withColumn("share", F.rand(seed)).withColumn("e", F.col("sic") * (1 - F.rand(seed + 1)))
+    cells = cells.withColumn("share", share).withColumn("e", F.col("sic") * (1 - contention))
     g = cells.groupBy("m", "criterion", "w0").agg((F.sum(F.col("e") * F.col("share")) / F.sum("e")).alias("g"))
     raw = g.withColumn("x", F.col("w0") * (1 + delta * F.col("g")))
     per = raw.groupBy("m").agg(F.sum("x").alias("total"), F.min("x").alias("least"))
-    out = raw.join(per, "m").withColumn("weight", F.col("x") / F.col("total")).groupBy("m").agg(F.sum("weight").alias("sum"), F.min("weight").alias("least"))
-    return out.agg(F.count("*").alias("matrices"), F.count_if(F.abs(F.col("sum") - 1) > 1e-12).alias("bad_sums"), F.count_if(F.col("least") <= 0).alias("not_positive"))
+    moved = F.max(F.abs(F.col("weight") - F.col("w0")))
+    out = raw.join(per, "m").withColumn("weight", F.col("x") / F.col("total")).groupBy("m").agg(F.sum("weight").alias("sum"), F.min("weight").alias("least"), moved.alias("moved"))
+    bad, low = F.count_if(F.abs(F.col("sum") - 1) > 1e-12), F.count_if(F.col("least") <= 0)
+    return out.agg(F.count("*").alias("matrices"), bad.alias("bad_sums"), low.alias("not_positive"), F.count_if(F.col("moved") > 1e-10).alias("changed"), F.min("least").alias("least"), F.max("moved").alias("most_moved"))
 
 
 def ratio_identity(weights: DataFrame) -> DataFrame:
-    """For criteria j < k: weight ratio over base ratio less the ratio of their factors (criterion, w0, g, weight, delta)."""
+    """For criteria j < k: weight ratio over base ratio, and how far it is from the ratio of their factors (criterion, w0, g, weight, delta)."""
     a, b = (weights.select(F.col("criterion").alias(f"c{x}"), *(F.col(c).alias(f"{c}{x}") for c in ("w0", "g", "weight", "delta"))) for x in "jk")
-    err = F.abs((F.col("weightj") / F.col("weightk")) / (F.col("w0j") / F.col("w0k")) - (1 + F.col("deltaj") * F.col("gj")) / (1 + F.col("deltak") * F.col("gk")))
-    return a.join(F.broadcast(b), (F.col("cj") < F.col("ck")) & (F.col("deltaj") == F.col("deltak"))).select("cj", "ck", F.col("deltaj").alias("delta"), err.alias("error"))
+    ratio = (F.col("weightj") / F.col("weightk")) / (F.col("w0j") / F.col("w0k"))
+    err = F.abs(ratio - (1 + F.col("deltaj") * F.col("gj")) / (1 + F.col("deltak") * F.col("gk")))
+    return a.join(F.broadcast(b), (F.col("cj") < F.col("ck")) & (F.col("deltaj") == F.col("deltak"))).select("cj", "ck", F.col("deltaj").alias("delta"), ratio.alias("ratio"), err.alias("error"))

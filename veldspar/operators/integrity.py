@@ -58,9 +58,10 @@ def mandatory(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def hash_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(file, bytes, sha256) of the files below a folder."""
+    """(file, bytes, sha256) of the files below a folder; ``file`` is the path below it."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.substring_index("path", root, -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_manifest(found: DataFrame, expected: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +24,12 @@ def confusion(df: DataFrame, truth: str, guess: str, *by: str) -> DataFrame:
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """(auc): the share of pairs in the right order, ties for half.
 
-    Rows are counted by score first.  The running sum then goes over ranges of scores: each range's total, then inside each range,
-    so no task sorts all rows.
+    Rows are counted by score first.  The running sum then goes over 1,000 ranges of scores between the least and the largest: one task adds up the
+    ranges' totals, and others go on inside each range.
     """
     n = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("q"))
-    n = n.withColumn("range", F.floor(F.col("s") * 1000))
+    ends = n.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    n = n.crossJoin(F.broadcast(ends)).withColumn("range", F.coalesce(F.floor(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")) * 1000), F.lit(0).cast("long"))).drop("lo", "hi")
     totals = n.groupBy("range").agg(F.sum("q").alias("rq"))
     before = totals.withColumn("base", F.coalesce(F.sum("rq").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range", "base")
     inner = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,9 +51,9 @@ def distribution(value: str, least: float) -> list[Column]:
     return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.percentile(value, F.lit(0.05)).alias("p05"), F.percentile(value, F.lit(0.95)).alias("p95"), F.avg((F.col(value) >= least).cast("int")).alias("exceeds")]
 
 
-def conservative_bounds(positive: int, negative: int, unresolved: int, share: float = 0.5) -> dict[str, float]:
-    """Shares if all unresolved rows were of one kind, and the flips that change a majority or reach a share."""
-    n = positive + negative
-    return {
-        "low": positive / (n + unresolved), "high": (positive + unresolved) / (n + unresolved), "flips_to_majority": max(0, n // 2 + 1 - positive), "flips_to_share": max(0, math.ceil(share * n) - positive),
-    }
+def conservative_bounds(positive: Column, negative: Column, unresolved: Column, share: float = 0.5) -> list[Column]:
+    """Shares if all unresolved rows were of one kind, and how many negative rows have to flip besides for a majority, or for a share, of positive ones."""
+    n = positive + negative + unresolved
+    most = positive + unresolved
+    flips = lambda need: F.greatest(F.lit(0).cast("long"), need.cast("long") - most)
+    return [(positive / n).alias("low"), (most / n).alias("high"), (negative / n).alias("least_negative"), flips(F.floor(n / 2) + 1).alias("flips_to_majority"), flips(F.ceil(share * n)).alias("flips_to_share")]

@@ -19,14 +19,19 @@ def plu_shares(text: Column, power: list[str] = POWER, legitimacy: list[str] = L
     return F.struct(*(F.coalesce(F.try_divide(h, total), F.lit(0.0)).alias(n) for h, n in zip(hits, "PLU")))
 
 
-def sentence_hits(text: Column, patterns: list[str]) -> Column:
+def with_sentences(df: DataFrame, text: Column, name: str = "_sentences") -> DataFrame:
+    """``df`` with its sentences as a column: they are split once, however many expressions use them."""
+    return df.withColumn(name, sentences(text))
+
+
+def sentence_hits(parts: Column, patterns: list[str]) -> Column:
     """Sentences in which any pattern occurs."""
-    return F.size(F.filter(sentences(text), lambda s: any_hit(s, patterns))).cast("long")
+    return F.size(F.filter(parts, lambda s: any_hit(s, patterns))).cast("long")
 
 
-def reading(title: Column, text: Column, lexicon: dict[str, list[str]], kind: str = "A") -> Column:
-    """(positive, negative, score, label): label 1 at a score of 0 or more."""
-    pos, neg = sentence_hits(text, lexicon["positive"]), sentence_hits(text, lexicon["negative"])
+def reading(title: Column, parts: Column, lexicon: dict[str, list[str]], kind: str = "A") -> Column:
+    """(positive, negative, score, label) from a title and sentences: label 1 at a score of 0 or more."""
+    pos, neg = sentence_hits(parts, lexicon["positive"]), sentence_hits(parts, lexicon["negative"])
     lead = families_hit(title, lexicon["positive"]) - families_hit(title, lexicon["negative"])
     score = F.log1p(pos) - F.log1p(neg) + 1.15 * lead if kind == "A" else F.sqrt(pos.cast("double")) - F.sqrt(neg.cast("double")) + 1.5 * lead
     return F.struct(pos.alias("positive"), neg.alias("negative"), score.alias("score"), (score >= 0).cast("int").alias("label"))
@@ -59,18 +64,22 @@ def voice_scores(df: DataFrame, id_col: str, title: Column, text: Column, groups
 
     With ``lead``, sentences before that place also add ``lead_weight`` for each hit.
     """
-    parts = sentences(text)
 
-    def score(patterns: list[str]) -> Column:
-        def one(acc: Column, x: Column) -> Column:
-            s, k = x["s"], x["k"]
-            weight = F.when(s.rlike(f"(?i){speech}"), F.lit(said)).otherwise(F.lit(other))
-            if lead is not None:
-                weight = weight + F.when(k < lead, F.lit(lead_weight)).otherwise(F.lit(0.0))
-            return acc + families_hit(s, patterns) * weight
+    def weighed(s: Column, k: Column) -> Column:
+        weight = F.when(s.rlike(f"(?i){speech}"), F.lit(said)).otherwise(F.lit(other))
+        if lead is not None:
+            weight = weight + F.when(k < lead, F.lit(lead_weight)).otherwise(F.lit(0.0))
+        return F.struct(s.alias("s"), weight.alias("w"))
 
-        numbered = F.transform(parts, lambda s, k: F.struct(s.alias("s"), k.alias("k")))
-        return families_hit(title, patterns) * title_weight + F.aggregate(numbered, F.lit(0.0), one)
+    # sentences that name no group at all add nothing; the weight of each of the rest is found once for all groups
+    named = lambda x: any_hit(x["s"], [p for patterns in groups.values() for p in patterns])
+    numbered = F.filter(F.transform(sentences(text), lambda s, k: F.struct(s.alias("s"), k.alias("k"))), named)
+    df = df.withColumn("_title", title).withColumn("_numbered", numbered)
+    df = df.withColumn("_numbered", F.transform("_numbered", lambda x: weighed(x["s"], x["k"])))
+
+    def score(patterns: list[str]) -> Column:
+        hits = F.aggregate("_numbered", F.lit(0.0), lambda acc, x: acc + families_hit(x["s"], patterns) * x["w"])
+        return families_hit(F.col("_title"), patterns) * title_weight + hits
 
     rows = F.explode(F.array(*(F.struct(F.lit(g).alias("group"), score(p).cast("double").alias("score")) for g, p in groups.items())))
     return df.select(id_col, rows.alias("r")).select(id_col, "r.group", "r.score")
@@ -96,8 +105,9 @@ def adjudicated_actor(dominant_: DataFrame, title_groups: DataFrame, id_col: str
 
 def criterion_relevance(df: DataFrame, id_col: str, text: Column, criteria: dict[str, list[str]], rules) -> DataFrame:
     """(id, criterion, matched_sentences, families, relevant_s_f ...): enough matched sentences and distinct families."""
-    parts = sentences(text)
-    rows = []
+    every = [p for patterns in criteria.values() for p in patterns]
+    df = with_sentences(df, text).withColumn("_sentences", F.filter("_sentences", _any_of(every)))  # the rest match nothing below
+    parts, rows = F.col("_sentences"), []
     for name, patterns in criteria.items():
         matched = F.size(F.filter(parts, _any_of(patterns))).cast("long")
         distinct = reduce(lambda a, b: a + b, [F.exists(parts, _any_of([p])).cast("long") for p in patterns])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.lexicons import BASE_WEIGHTS, PLU, SCENARIOS, SIC
+from ..functions.lexicons import BASE_WEIGHTS, PLU, SCENARIOS, SIC, STOP_WORDS
 from ..operators import features, grids, indices, metrics, rules, stance
 from .corpus import ASCII_SQL, _ascii
 from .registry import Tables, query
@@ -46,7 +46,8 @@ ab AS (SELECT doc_id, lang, pos, neg, ln(1 + pos) - ln(1 + neg) + 1.15 * lead AS
 
 def _readings(t: Tables) -> DataFrame:
     title, lex = F.substring("a", 1, 80), {"positive": POSITIVE, "negative": NEGATIVE}
-    r = _docs(t).select("doc_id", "lang", stance.reading(title, F.col("a"), lex, "A").alias("ra"), stance.reading(title, F.col("a"), lex, "B").alias("rb"))
+    d = stance.with_sentences(_docs(t), F.col("a"), "s")
+    r = d.select("doc_id", "lang", stance.reading(title, F.col("s"), lex, "A").alias("ra"), stance.reading(title, F.col("s"), lex, "B").alias("rb"))
     return r.select("doc_id", "lang", F.col("ra.positive").alias("pos"), F.col("ra.negative").alias("neg"), F.col("ra.score").alias("a"), F.col("rb.score").alias("b"), F.col("ra.label").alias("label_a"), F.col("rb.label").alias("label_b"))
 
 
@@ -161,12 +162,14 @@ def stratified_folds(t: Tables) -> DataFrame:
 
 @query()
 def out_of_fold_model(t: Tables) -> DataFrame:
-    """Fold metrics, their mean and kappa of a kernel classifier on 300 labelled documents: the size is that of the bounded training set."""
-    d = t.labels.orderBy("doc_id").limit(300).join(t.documents.select("doc_id", "text"), "doc_id")
-    p = features.out_of_fold(d, "doc_id", "text", "toxic").withColumn("guess", (F.col("p") >= 0.5).cast("int"))
-    by_fold = metrics.confusion(p, "toxic", "guess", "fold").select(F.col("fold").cast("string").alias("row"), "accuracy", "f1", "kappa")
-    overall = metrics.confusion(p, "toxic", "guess").select(F.lit("all").alias("row"), "accuracy", "f1", "kappa")
-    return by_fold.union(overall)
+    """Metrics of each fold, their mean, and those of all labelled documents together, of a kernel classifier; models are fitted on 1,000 labelled documents at most."""
+    d = t.labels.select("doc_id", "toxic").join(t.documents.select("doc_id", "text"), "doc_id")
+    p = features.out_of_fold(d, "doc_id", "text", "toxic", stop=STOP_WORDS).withColumn("guess", (F.col("p") >= 0.5).cast("int"))
+    cols = ["accuracy", "f1", "kappa"]
+    n = (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n")
+    by_fold = metrics.confusion(p, "toxic", "guess", "fold").select(F.col("fold").cast("string").alias("row"), n, *cols)
+    mean = by_fold.agg(F.lit("mean").alias("row"), F.sum("n").alias("n"), *(F.avg(c).alias(c) for c in cols))
+    return by_fold.union(mean).union(metrics.confusion(p, "toxic", "guess").select(F.lit("all").alias("row"), n, *cols))
 
 
 # --- indices -----------------------------------------------------------------------------------------------------------------------------
@@ -256,10 +259,10 @@ def component_ablation(t: Tables) -> DataFrame:
     return out
 
 
-@query(f"SELECT g.grp, CAST(d.delta AS DOUBLE) AS delta, round(max(abs(x.w - x.w0)), 12) AS most FROM ({_G}) g CROSS JOIN (SELECT 0.1 AS delta UNION ALL SELECT 0.5 UNION ALL SELECT 1.0) d JOIN LATERAL (SELECT w0, w0 * (1 + d.delta * g.sic) / sum(w0 * (1 + d.delta * g.sic)) OVER () AS w FROM ({_W}) w) x ON true GROUP BY g.grp, d.delta")
+@query(f"SELECT g.grp, CAST(d.delta AS DOUBLE) AS delta, round(max(abs(x.w - x.w0)), 12) AS most FROM ({_G}) g CROSS JOIN (SELECT 0.0 AS delta UNION ALL SELECT 0.1 UNION ALL SELECT 0.3 UNION ALL SELECT 0.5 UNION ALL SELECT 0.8 UNION ALL SELECT 1.0) d JOIN LATERAL (SELECT w0, w0 * (1 + d.delta * g.sic) / sum(w0 * (1 + d.delta * g.sic)) OVER () AS w FROM ({_W}) w) x ON true GROUP BY g.grp, d.delta")
 def cancelling_factor(t: Tables) -> DataFrame:
     """The original weight rule's factor is the same for all criteria, so nothing changes."""
-    d = t.spark.createDataFrame([(0.1,), (0.5,), (1.0,)], "delta double")
+    d = t.spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.3, 0.5, 0.8, 1.0)], "delta double")
     x = indices.base_weights(t.spark).crossJoin(F.broadcast(indices.group_sic(t.spark))).crossJoin(F.broadcast(d))
     w = indices.scaled_by_group(x, F.col("sic"), F.col("delta"), "group", "delta")
     return w.groupBy(F.col("group").alias("grp"), "delta").agg(F.round(F.max(F.abs(F.col("weight") - F.col("w0"))), 12).alias("most"))
@@ -299,15 +302,30 @@ def monte_carlo(t: Tables) -> DataFrame:
     return grids.monte_carlo(indices.scenarios(t.spark), 10_000)
 
 
-@query("SELECT 5000 AS matrices, 0 AS bad_sums, 0 AS not_positive")
+_DRAW = "(({m} * 7919 + {a} * 104729 + {b} * 1299709 + {m} * {m} * {b}) % 10007) / 10007.0"
+_PLACES = "CASE {g} " + " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(SIC, 1)) + " END"
+_CPLACES = "CASE {c} " + " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(BASE_WEIGHTS, 1)) + " END"
+_SHARE = _DRAW.format(m="m", a=_PLACES.format(g="{g}"), b=_CPLACES.format(c="criterion"))
+_CONTENTION = _DRAW.format(m="m", a=_PLACES.format(g="{g}"), b="11")
+
+
+@query(f"""WITH w AS ({_W}), g AS ({_G}), c AS (SELECT m, grp, criterion, w0, {_SHARE.format(g='grp')} AS share, sic * (1 - {_CONTENTION.format(g='grp')}) AS e FROM range(5000) r(m) CROSS JOIN g CROSS JOIN w),
+p AS (SELECT m, criterion, w0, sum(e * share) / sum(e) AS gj FROM c GROUP BY m, criterion, w0), x AS (SELECT m, w0, w0 * (1 + 0.3 * gj) / sum(w0 * (1 + 0.3 * gj)) OVER (PARTITION BY m) AS w FROM p),
+k AS (SELECT m, sum(w) AS total, min(w) AS least, max(abs(w - w0)) AS moved FROM x GROUP BY m)
+SELECT count(*) AS matrices, count_if(abs(total - 1) > 1e-12) AS bad_sums, count_if(least <= 0) AS not_positive, count_if(moved > 1e-10) AS changed, round(min(least), 8) AS least, round(max(moved), 8) AS most_moved FROM k""")
 def random_matrix_stress(t: Tables) -> DataFrame:
-    r = grids.random_matrices(t.spark, 5000, indices.base_weights(t.spark), indices.group_sic(t.spark))
-    return r.select(*(F.col(c).cast("int").alias(c) for c in r.columns))
+    """Shares and contentions are remainders of a polynomial, so that other engines draw the same."""
+    group = '`group`'
+    r = grids.random_matrices(t.spark, 5000, indices.base_weights(t.spark), indices.group_sic(t.spark), share=F.expr(_SHARE.format(g=group)), contention=F.expr(_CONTENTION.format(g=group)))
+    return r.select("matrices", "bad_sums", "not_positive", "changed", F.round("least", 8).alias("least"), F.round("most_moved", 8).alias("most_moved"))
 
 
-@query("SELECT 30 AS pairs, 0 AS broken")
+@query(PRESSURE_SQL + """, pr AS (SELECT mat.criterion, sum(acc.sic * (1 - acc.p) * mat.share) / sum(acc.sic * (1 - acc.p)) AS gj FROM mat JOIN acc ON mat.grp = acc.grp GROUP BY mat.criterion),
+z AS (SELECT w.criterion, dl.delta, w.w0, pr.gj, w.w0 * (1 + dl.delta * pr.gj) AS x FROM w JOIN pr ON w.criterion = pr.criterion CROSS JOIN (SELECT 0.3 AS delta UNION ALL SELECT 1.0) dl),
+v AS (SELECT *, x / sum(x) OVER (PARTITION BY delta) AS weight FROM z)
+SELECT j.criterion AS cj, k.criterion AS ck, CAST(j.delta AS DOUBLE) AS delta, round((j.weight / k.weight) / (j.w0 / k.w0), 8) AS ratio, abs((j.weight / k.weight) / (j.w0 / k.w0) - (1 + j.delta * j.gj) / (1 + k.delta * k.gj)) <= 1e-12 AS holds FROM v j JOIN v k ON j.criterion < k.criterion AND j.delta = k.delta""")
 def ratio_identity(t: Tables) -> DataFrame:
     acc, mat = _acceptance(t)
     deltas = t.spark.createDataFrame([(0.3,), (1.0,)], "delta double")
     r = grids.ratio_identity(indices.revised_weights(indices.base_weights(t.spark), indices.pressure(mat, acc), deltas))
-    return r.agg(F.count("*").cast("int").alias("pairs"), F.count_if(F.col("error") > 1e-12).cast("int").alias("broken"))
+    return r.select("cj", "ck", "delta", F.round("ratio", 8).alias("ratio"), (F.col("error") <= 1e-12).alias("holds"))

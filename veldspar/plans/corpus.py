@@ -149,9 +149,9 @@ WITH d AS (SELECT doc_id, lang, substring(trim(regexp_replace(lower(substring(te
 SELECT a.doc_id AS id_a, b.doc_id AS id_b, round(CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END, 6) AS jaccard FROM d a JOIN d b ON a.lang = b.lang AND a.b = b.b AND a.doc_id < b.doc_id""")
 def blocked_token_jaccard(t: Tables) -> DataFrame:
     """Token-set similarity inside blocks of equal language and title beginning."""
-    d = t.documents.select("doc_id", F.concat_ws("|", "lang", F.substring(text.title_key(F.substring("text", 1, 80)), 1, 12)).alias("block"), F.array_distinct(similarity.without(text.alnum_tokens(F.col("text")), STOP)).alias("t"))
+    d = t.documents.select("doc_id", F.concat_ws("|", "lang", F.substring(text.title_key(F.substring("text", 1, 80)), 1, 12)).alias("block"), F.transform(F.array_distinct(similarity.without(text.alnum_tokens(F.col("text")), STOP)), lambda x: F.xxhash64(x)).alias("t"))
     p = dedup.blocked_pairs(d, "doc_id", "block", "t")
-    return p.select(F.col("doc_id_a").alias("id_a"), F.col("doc_id_b").alias("id_b"), F.round(similarity.jaccard(F.col("t_a"), F.col("t_b")), 6).alias("jaccard"))
+    return p.select(F.col("doc_id_a").alias("id_a"), F.col("doc_id_b").alias("id_b"), F.round(similarity.hashed_jaccard(F.col("t_a"), F.col("t_b")), 6).alias("jaccard"))
 
 
 TFIDF_SQL = """
@@ -178,13 +178,11 @@ def tfidf_terms(t: Tables) -> DataFrame:
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.5""")
 def embedding_neighbours(t: Tables) -> DataFrame:
-    """Stated queries, the vectors whose id is divisible by 50, against all vectors.
-
-    The queries are packed into blocks, so that each vector meets a block of them in one row of work.
-    """
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    unit = t.embeddings.select("vec_id", v.alias("v")).select("vec_id", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))).alias("v"))
-    q = unit.where("vec_id % 50 = 0").select(F.struct("vec_id", "v").alias("q"), F.floor(F.col("vec_id") / 50 / 64).alias("block")).groupBy("block").agg(F.collect_list("q").alias("qs"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: p * r), F.lit(0.0), lambda s, z: s + z)
-    hits = unit.crossJoin(q).select("vec_id", F.explode(F.transform("qs", lambda x: F.struct(x["vec_id"].alias("a"), dot(x["v"], F.col("v")).alias("c")))).alias("h"))
-    return hits.where("h.c >= 0.5 and h.a <> vec_id").select(F.col("h.a").alias("a"), F.col("vec_id").alias("b"), F.round("h.c", 5).alias("cosine"))
+    """Stated queries, the vectors whose id is divisible by 50, against all vectors: a matrix product for each batch and block of queries."""
+    stated = t.embeddings.where("vec_id % 50 = 0")
+    times, out = max(1, -(-stated.count() // dedup.QUERIES)), None
+    for k in range(times):
+        block = stated.where(F.pmod(F.xxhash64("vec_id"), F.lit(times)) == k) if times > 1 else stated
+        got = dedup.near_vectors(t.embeddings, block, "vec_id", "embedding", 0.5)
+        out = got if out is None else out.union(got)
+    return out.where("a <> b").select("a", "b", F.round("cosine", 5).alias("cosine"))

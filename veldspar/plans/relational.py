@@ -21,7 +21,8 @@ both(
 )
 both(
     "quality_disposition",
-    """SELECT disposition, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR text = '' THEN 'missing' WHEN count(*) OVER (PARTITION BY text) > 1 THEN 'repeated_text' WHEN n_chars < 300 THEN 'short' ELSE 'ok' END AS disposition FROM {documents}) x GROUP BY disposition""",
+    """SELECT disposition, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN missing THEN 'missing' WHEN sum(n) OVER (PARTITION BY h) > 1 THEN 'repeated_text' WHEN short THEN 'short' ELSE 'ok' END AS disposition, n
+    FROM (SELECT sha2(text, 256) AS h, text IS NULL OR text = '' AS missing, n_chars < 300 AS short, count(*) AS n FROM {documents} GROUP BY 1, 2, 3) x) y GROUP BY disposition""",
 )
 both("low_confidence", "SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'error' OR (event_type = 'view' AND value < 12.0) GROUP BY user_id")
 both(
@@ -62,7 +63,7 @@ both("weighted_mean", "SELECT l_returnflag, round(sum(l_quantity * l_discount) /
 both("label_share", "SELECT toxic, round(avg(CAST(quality AS DOUBLE)), 8) AS share FROM {labels} GROUP BY toxic")
 both("share_having", "SELECT d.source, count(*) AS n, round(avg(CAST(l.toxic AS DOUBLE)), 8) AS share FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source HAVING count(*) >= 5")
 both("split_by_dimension", "SELECT d.lang, count_if(l.toxic = 0) AS resistant, count_if(l.toxic = 1) AS pro FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.lang")
-both("distinct_counts", "SELECT count(DISTINCT text) AS texts, count(DISTINCT source) AS sources FROM {documents}")
+both("distinct_counts", "SELECT count(DISTINCT sha2(text, 256)) AS texts, count(DISTINCT source) AS sources FROM {documents}")
 both("sum_of_sizes", "SELECT lang, CAST(sum(coalesce(try_cast(CAST(n_chars AS VARCHAR(20)) AS BIGINT), 0)) AS BIGINT) AS chars FROM {documents} GROUP BY lang")
 both("grid_ranges", "SELECT l_returnflag, min(l_discount) AS low, max(l_discount) AS high, round(max(l_discount) - min(l_discount), 8) AS width FROM {lineitem} GROUP BY l_returnflag")
 both(
@@ -88,14 +89,18 @@ both(
     """SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM {orders}) x WHERE rn = 1""",
 )
 both("first_seen_flag", "SELECT event_id, rn > 1 AS repeated FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM {events}) x")
-both("qualified_ids", "SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY text) > 1 THEN concat('dup__', CAST(doc_id AS VARCHAR(20))) ELSE CAST(doc_id AS VARCHAR(20)) END AS qualified FROM {documents}")
+both(
+    "qualified_ids",
+    """SELECT doc_id, CASE WHEN r.h IS NOT NULL THEN concat('dup__', CAST(doc_id AS VARCHAR(20))) ELSE CAST(doc_id AS VARCHAR(20)) END AS qualified
+    FROM (SELECT doc_id, sha2(text, 256) AS h FROM {documents}) d LEFT JOIN (SELECT sha2(text, 256) AS h FROM {documents} GROUP BY 1 HAVING count(*) > 1) r ON d.h = r.h""",
+)
 both(
     "pair_keep_drop",
-    """SELECT min(doc_id) AS keep_id, max(doc_id) AS drop_id FROM {documents} GROUP BY text HAVING count(*) = 2""",
+    """SELECT min(doc_id) AS keep_id, max(doc_id) AS drop_id FROM {documents} GROUP BY sha2(text, 256) HAVING count(*) = 2""",
 )
 both(
     "numbered_clusters",
-    """SELECT concat('TXT-', right(concat('0000', CAST(k AS VARCHAR(10))), 4)) AS cluster_id, first_id, size FROM (SELECT row_number() OVER (ORDER BY first_id) AS k, first_id, size FROM (SELECT min(doc_id) AS first_id, count(*) AS size FROM {documents} GROUP BY text HAVING count(*) > 1) x) y""",
+    """SELECT concat('TXT-', right(concat('0000', CAST(k AS VARCHAR(10))), 4)) AS cluster_id, first_id, size FROM (SELECT row_number() OVER (ORDER BY first_id) AS k, first_id, size FROM (SELECT min(doc_id) AS first_id, count(*) AS size FROM {documents} GROUP BY sha2(text, 256) HAVING count(*) > 1) x) y""",
 )
 both("sequential_ids", "SELECT concat('NAT-', right(concat('000', CAST(row_number() OVER (ORDER BY n_name) AS VARCHAR(10))), 3)) AS id, n_name FROM {nation}")
 both("cyclic_assignment", "SELECT n_name, CAST((row_number() OVER (ORDER BY n_nationkey) - 1) % 4 AS INT) AS slot FROM {nation}")
@@ -107,7 +112,8 @@ both(
 )
 both(
     "transitive_guard",
-    """SELECT count(*) AS both_kept_and_dropped FROM (SELECT min(doc_id) AS id FROM {documents} GROUP BY text HAVING count(*) > 1) k JOIN (SELECT d.doc_id AS id FROM {documents} d JOIN (SELECT text, min(doc_id) AS first_id FROM {documents} GROUP BY text) f ON d.text = f.text WHERE d.doc_id > f.first_id) g ON k.id = g.id""",
+    """SELECT count(*) AS both_kept_and_dropped FROM (SELECT min(doc_id) AS id FROM {documents} GROUP BY sha2(text, 256) HAVING count(*) > 1) k
+    JOIN (SELECT d.doc_id AS id FROM (SELECT doc_id, sha2(text, 256) AS h FROM {documents}) d JOIN (SELECT sha2(text, 256) AS h, min(doc_id) AS first_id FROM {documents} GROUP BY 1) f ON d.h = f.h WHERE d.doc_id > f.first_id) g ON k.id = g.id""",
 )
 both("context_rows", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM {conversations}")
 

@@ -32,14 +32,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
-#: Rows of an Arrow batch where the session has Spark's own setting: some 4 MB of ordinary texts.  Python workers hold a few batches.
-BATCH_ROWS = 1250
+#: Rows and bytes of an Arrow batch where the session doesn't name them: Python workers hold a few batches.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1250", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers once per application, so that Python functions import it there; keep Arrow batches small."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Send the package to the workers once per application, so that Python functions import it there; keep Arrow batches small unless the session says otherwise."""
+    for key, value in BATCHES.items():
+        if not spark._jsparkSession.sessionState().conf().contains(key):
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

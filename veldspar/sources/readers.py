@@ -37,6 +37,12 @@ def read_candidates(spark: SparkSession, shapes: list[tuple[str, list[str]]]) ->
     return out
 
 
+def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file, or a glob of them, of stated types with its file's name, in the order of names; a field of another type stops the query."""
+    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").schema(schema)
+    return r.csv(path).withColumn("file", F.col("_metadata.file_name")).orderBy("file")
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file of one JSON value."""
     return spark.read.option("multiLine", True).schema(schema).json(path)

@@ -24,15 +24,25 @@ def json_summary(df: DataFrame) -> str:
     return json.dumps(json.loads(row.j) if row else {}, sort_keys=True, indent=2)
 
 
-def markdown_table(df: DataFrame, rows: int = 200) -> str:
-    """A report's table: ``df`` is a small result."""
-    got = df.limit(rows).collect()
+def _small(df: DataFrame, rows: int) -> list:
+    got = df.limit(rows + 1).collect()
+    if len(got) > rows:
+        raise ValueError(f"more than {rows} rows: name the limit that is meant")
+    return got
+
+
+def markdown_table(df: DataFrame, rows: int = 10_000) -> str:
+    """A report's table, whole: more than ``rows`` rows are an error."""
+    got = _small(df, rows)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in got)])
 
 
-def console_table(df: DataFrame, rows: int = 50) -> str:
-    return df._jdf.showString(rows, 40, False)
+def console_table(df: DataFrame, rows: int = 10_000) -> str:
+    """A table of whole values, in columns; more than ``rows`` rows are an error."""
+    cells = [df.columns, *([("" if v is None else str(v)) for v in r] for r in _small(df, rows))]
+    widths = [max(len(r[k]) for r in cells) for k in range(len(df.columns))]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in cells)
 
 
 def zip_bundle(files: list[Path], path: Path) -> None:
