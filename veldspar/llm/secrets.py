@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import shared_dir, written
@@ -346,9 +346,8 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _fit(found: DataFrame, sample: int) -> Models:
     labels = found.where(F.size("vals") > 0).select(F.explode("vals").alias("v")).select("v.*").where(F.length("value") >= 16).distinct()
     labelled: dict[str, list[str]] = defaultdict(list, examples())
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")  # Spark keeps the first of each kind in the tasks, before the shuffle
-    for r in labels.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).orderBy("kind", "k").collect():
-        labelled[KINDS[r.kind]].append(r.value)
+    for k in range(3):
+        labelled[KINDS[k]] = [r.value for r in labels.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
     return learn_kinds(labelled)
 
 

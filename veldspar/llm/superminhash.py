@@ -37,7 +37,7 @@ ROWS = 4
 #: Share of equal bins below which a pair isn't checked.
 LIKELY = 0.56
 #: Members of half a cell: by sketch, and by full set (also a bound of all their shingles).
-BLOCK, SET_BLOCK, SET_ITEMS, APART = 192, 192, 1 << 20, 64
+BLOCK, SET_BLOCK, SET_ITEMS, APART = 192, 128, 1 << 20, 48
 #: Rows of three numbers that are broadcast at most, some 5 MB; more are joined by a shuffle.
 FEW = 200_000
 
