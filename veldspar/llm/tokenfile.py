@@ -156,29 +156,69 @@ class LibraryEncoder:
         self.mark = self._ids(_MARK)
         if len(self.mark) != 1 or self._ids(f"a {_MARK} b") != [*self._ids("a"), *self.mark, *self._ids("b")]:
             raise ValueError("this tokenizer's words aren't separate")
+        self.ends = self._piece_ends(path_or_json)
         self.memory = Memory(800_000)
 
+    def _piece_ends(self, spec: str) -> np.ndarray | None:
+        """Which ids end a piece, where the model marks these ends for every byte."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        model = json.loads(spec)["model"]
+        suffix, vocab = model.get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        if model.get("type") != "BPE" or not suffix or any(c + suffix not in vocab for c in ByteLevel.alphabet()):
+            return None
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        return ends
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has)."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        apart = {i for i, t in enumerate(texts) if _MARK in t}
-        texts = [t if i not in apart else "" for i, t in enumerate(texts)] if apart else texts
-        step, mark, slab = 512, self.mark[0], 1 << 15
-        parts = [np.zeros(0, np.int32)]
+        plain = np.array([t.isalpha() for t in texts], bool) if self.ends is not None else np.zeros(len(texts), bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        cut = int(plain.sum())
+        parts = [self._plain([texts[i] for i in order[:cut].tolist()]), self._marked([texts[i] for i in order[cut:].tolist()])]
+        flat, n = (np.concatenate(x) for x in zip(*parts))
+        at, size = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        at[order], size[order] = np.cumsum(n) - n, n
+        return gather(flat, at, size), size
+
+    def _batches(self, texts: list[str], between: str) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Runs of texts, joined, with the ids of each run."""
+        step, slab = 512, 1 << 15
         for a in range(0, len(texts), slab):  # the library's results are large, so few are held at once
-            some = texts[a : a + slab]
-            got = self.tokenizer.encode_batch_fast([f" {_MARK} ".join([*some[k : k + step], ""]) for k in range(0, len(some), step)], add_special_tokens=False)
-            parts += [np.array(x.ids, np.int32) for x in got]
-        flat = np.concatenate(parts)
-        ends = np.flatnonzero(flat == mark)
-        n = np.diff(np.concatenate([[-1], ends])) - 1
-        flat = flat[flat != mark]
+            runs = [texts[k : k + step] for k in range(a, min(a + slab, len(texts)), step)]
+            got = self.tokenizer.encode_batch_fast([between.join([*run, ""]) for run in runs], add_special_tokens=False)
+            for run, x in zip(runs, got):
+                yield run, np.array(x.ids, np.int32)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters, each of which is one piece as a rule: a run with as many ends of pieces as words needs no marks, others get them."""
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for run, ids in self._batches(texts, " "):
+            ends = np.flatnonzero(self.ends[ids])
+            n = np.diff(ends, prepend=-1)
+            if len(n) != len(run) or ends[-1] != len(ids) - 1:
+                ids, n = self._marked(run)
+            parts.append(ids)
+            sizes.append(n)
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _marked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Any words, with a mark after each; those that hold the mark itself are encoded alone."""
+        apart = {i for i, t in enumerate(texts) if _MARK in t}
+        some = [t if i not in apart else "" for i, t in enumerate(texts)] if apart else texts
+        flat = np.concatenate([np.zeros(0, np.int32), *(ids for _, ids in self._batches(some, f" {_MARK} "))])
+        ends = np.flatnonzero(flat == self.mark[0])
+        n = np.diff(ends, prepend=-1) - 1
+        flat = flat[flat != self.mark[0]]
         if apart:
             each = np.split(flat, np.cumsum(n)[:-1])
             for i in apart:
-                each[i] = np.array(self._ids(words[i].decode("utf-8", "replace")), np.int32)
+                each[i] = np.array(self._ids(texts[i]), np.int32)
             flat, n = np.concatenate(each), np.array([len(x) for x in each])
         return flat, n.astype(np.int64)
 
