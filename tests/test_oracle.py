@@ -58,7 +58,7 @@ def rows(spark, name):
 
 
 def test_queries_without_sql_are_all_tested():
-    assert set(registry.QUERIES) - set(registry.SQL) == {"page_texts", "page_link_counts", "title_ratio_pairs", "adjudicated_actors", "out_of_fold_model", "monte_carlo"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"page_texts", "page_link_counts", "title_ratio_pairs", "adjudicated_actors", "out_of_fold_model", "monte_carlo", "pair_signals", "title_collisions"}
 
 
 def test_pages(spark, duck):
@@ -85,6 +85,30 @@ def test_title_ratios_equal_brute_force(spark, duck):
         assert got[key].signal == ("near_exact" if ratio >= 0.95 else "high_overlap" if ratio >= 0.8 else "distinct")
 
 
+def test_pair_signals_equal_brute_force(spark, duck):
+    docs = duck.execute(r"SELECT doc_id, lang, trim(regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', ' ', 'g')), text FROM documents ORDER BY 1").fetchall()
+    words = {d[0]: re.findall("[a-z0-9]+", d[3].lower()) for d in docs}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()} for k, w in words.items()}
+    want = {}
+    for i, (a, la, x, _) in enumerate(docs):
+        for b, lb, y, _ in docs[i + 1 :]:
+            if la == lb and x[:12] == y[:12]:
+                ratio, both = SequenceMatcher(None, x, y, autojunk=False).ratio(), len(sets[a] & sets[b])
+                alike = both / union if (union := len(sets[a] | sets[b])) else 0.0
+                if ratio >= 0.8 or alike >= 0.25:
+                    want[a, b] = "near_exact" if ratio >= 0.95 or alike >= 0.9 else "high_overlap" if ratio >= 0.8 or alike >= 0.6 else "partial_overlap"
+    assert {(r.a, r.b): r.signal for r in rows(spark, "pair_signals")} == want
+    assert len(set(want.values())) > 1
+
+
+def test_title_collisions_equal_brute_force(spark, duck):
+    groups = {}
+    for ending, title in duck.execute(r"SELECT sha256(right(text, 40)), trim(regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', ' ', 'g')) FROM documents").fetchall():
+        groups.setdefault(ending, []).append(title)
+    want = {(k, len(t), len(set(t))) for k, t in groups.items() if len(t) >= 3 and any(SequenceMatcher(None, a, b, autojunk=False).ratio() < 0.75 for a in set(t) for b in set(t) if a < b)}
+    assert {(r.ending, r["size"], r.titles) for r in rows(spark, "title_collisions")} == want
+
+
 def test_adjudicated_actors(spark, duck):
     """The method follows from how many groups the title names."""
     from veldspar.plans.analysis import ACTORS

@@ -18,9 +18,8 @@ def jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
 
 def hashed_jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
     """The same of arrays without repeats, by their sizes and intersection only."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union == 0, F.lit(empty)).otherwise(both / union)
+    both, sizes = F.array(F.size(F.array_intersect(a, b))), F.size(a) + F.size(b)
+    return F.transform(both, lambda n: F.when(sizes == n, F.lit(empty)).otherwise(n / (sizes - n)))[0]  # a lambda's argument is evaluated once
 
 
 def without(tokens: Column, stop: list[str]) -> Column:
@@ -39,5 +38,17 @@ def shingles(tokens: Column, k: int = 5) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp on characters, for pairs that blocking has left: Spark has no such function."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
+    """Ratcliff-Obershelp on characters, for pairs that blocking has left: Spark has no such function.  Pairs that a batch has twice are compared once."""
+    known: dict[tuple[str, str], float] = {}
+    out = []
+    for pair in zip(a.fillna(""), b.fillna("")):
+        if pair not in known:
+            known[pair] = 1.0 if pair[0] == pair[1] else SequenceMatcher(None, *pair, autojunk=False).ratio()
+        out.append(known[pair])
+    return pd.Series(out, dtype="float64")
+
+
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether the lengths of two texts allow a ``sequence_ratio`` of ``least``: no more characters can match than the shorter one has."""
+    la, lb = (F.length(F.coalesce(x, F.lit(""))) for x in (a, b))
+    return 2 * F.least(la, lb) + 1e-9 >= least * (la + lb)

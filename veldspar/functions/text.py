@@ -24,6 +24,18 @@ def title_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
+#: Characters that case folding, unlike lower case, turns into more or other ASCII letters (sharp s, ligatures, long s).
+_FOLDED = {c: c.casefold() for c in map(chr, range(128, 0x10000)) if c.casefold() != c.lower() and any("a" <= x <= "z" for x in c.casefold())}
+
+
+def title_key_folded(c: Column) -> Column:
+    """As ``title_key``, after case folding; quotes and dashes of any form are spaces, as all that isn't a letter or digit."""
+    out = F.lower(c)
+    for a, b in _FOLDED.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(F.when(c.rlike("[" + "".join(_FOLDED) + "]"), out).otherwise(F.lower(c)), "[^a-z0-9]+", " "))
+
+
 def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -9,12 +9,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import hashed_jaccard
+from ..functions.similarity import hashed_jaccard, sequence_ratio
 
-def canonical(df: DataFrame, key: Column | str, *order: Column | str) -> DataFrame:
-    """The first row of each key in the given order.  One shuffle on the key; the window keeps a row at a time."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+def canonical(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """The first row of each key in ascending order, nulls first.  Tasks keep one row a key before the shuffle, so a key of any number of rows is no hot task."""
+    place = F.struct(*(F.col(c) if isinstance(c, str) else c.alias(f"o{k}") for k, c in enumerate(order)))
+    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), place).alias("_row")).select("_row.*")
+
+
+def title_collisions(df: DataFrame, key: str, id_col: str, title: str, rows: int = 3, least: float = 0.75) -> DataFrame:
+    """(key, size, titles): keys of ``rows`` rows or more with two titles whose character similarity is below ``least``; null keys and titles take no part.
+
+    All titles of a key are compared with its first one, so most collisions are found by as many comparisons as there are titles; only where none is found
+    there do all distinct titles of a key, which are alike then, meet each other.  A pair is compared in the order of its titles.
+    """
+    held = df.select(F.col(key).alias("k"), F.col(id_col).alias("i"), F.col(title).alias("t")).where("k is not null and t is not null")
+    sized = held.groupBy("k", "t").agg(F.count("*").alias("n"))
+    groups = sized.groupBy("k").agg(F.sum("n").alias("size"), F.count("*").alias("titles"), F.min("t").alias("first")).where((F.col("size") >= rows) & (F.col("titles") > 1))
+    some = sized.join(groups, "k").select("k", "first", "t")
+    far = some.where("t != first").withColumn("r", sequence_ratio("first", "t")).groupBy("k").agg(F.min("r").alias("r"))
+    rest = some.where("t != first").join(far.where(F.col("r") >= least), "k", "left_semi").select("k", "t")
+    pairs = rest.join(rest.select("k", F.col("t").alias("u")), "k").where("t < u").withColumn("r", sequence_ratio("t", "u"))
+    found = far.select("k", "r").union(pairs.select("k", "r")).where(F.col("r") < least).select("k").distinct()
+    return groups.join(found, "k", "left_semi").select(F.col("k").alias(key), "size", "titles")
 
 
 def clusters(df: DataFrame, key: str, id_col: str, *same: str) -> DataFrame:
@@ -57,12 +75,15 @@ def token_pairs(df: DataFrame, id_col: str, block: str, tokens: str, least: floa
     Of each sorted set only so many tokens are keys that a pair of that likeness must share one; the rarest come first, so few rows meet.
     """
     sets = df.select(F.col(id_col).alias("id"), F.col(block).alias("block"), F.transform(tokens, lambda x: F.xxhash64(x)).alias("t"))
-    rare = sets.select("block", F.explode("t").alias("x")).groupBy("block", "x").agg(F.count("*").alias("n"))
-    ranked = sets.select("id", "block", F.explode("t").alias("x")).join(rare, ["block", "x"]).groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
-    keys = ranked.select("id", "block", F.explode(F.slice("o.x", 1, F.size("o") - F.ceil(least * F.size("o")).cast("int") + 1)).alias("x"))
-    met = keys.select(F.col("id").alias("a"), "block", "x").join(keys.select(F.col("id").alias("b"), "block", "x"), ["block", "x"]).where("a < b").select("a", "b").distinct()
-    one = sets.select("id", "t")
-    pairs = met.join(one.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(one.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    # the outer form: for the other one Spark would filter rows by the size of ``t`` at the scan, with all of its expressions evaluated once more, and not just once
+    tokens_of = sets.select("id", "block", F.explode_outer("t").alias("x")).where("x is not null")
+    rare = tokens_of.groupBy("block", "x").agg(F.count("*").alias("n"))
+    # ranked sets serve as keys and for the likeness: the texts behind ``tokens`` are read for counts and ranks, and not again
+    ranked = tokens_of.join(rare, ["block", "x"]).groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
+    keys = ranked.select("id", "block", F.explode(F.slice("o", 1, F.size("o") - F.ceil(least * F.size("o")).cast("int") + 1)).alias("k"), F.size("o").alias("m")).where("k.n > 1").select("id", "block", "k.x", "m")
+    near = F.least("ma", "mb") >= least * F.greatest("ma", "mb") - 1e-9  # sets of other sizes can't be that alike
+    met = keys.select(F.col("id").alias("a"), "block", "x", F.col("m").alias("ma")).join(keys.select(F.col("id").alias("b"), "block", "x", F.col("m").alias("mb")), ["block", "x"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = met.join(ranked.select(F.col("id").alias("a"), F.col("o.x").alias("ta")), "a").join(ranked.select(F.col("id").alias("b"), F.col("o.x").alias("tb")), "b")
     return pairs.select("a", "b", hashed_jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 

@@ -140,10 +140,32 @@ def blocked_title_pairs(t: Tables) -> DataFrame:
 @query()
 def title_ratio_pairs(t: Tables) -> DataFrame:
     """Character similarity of blocked titles: Ratcliff-Obershelp has no SQL form."""
-    p = _title_pairs(t).withColumn("ratio", similarity.sequence_ratio("title_a", "title_b"))
+    p = _title_pairs(t).where(similarity.may_reach(F.col("title_a"), F.col("title_b"), 0.6)).withColumn("ratio", similarity.sequence_ratio("title_a", "title_b"))
     return p.select(F.col("doc_id_a").alias("id_a"), F.col("doc_id_b").alias("id_b"), F.round("ratio", 6).alias("ratio"), rules.similarity_signal(F.col("ratio"), F.lit(0.0)).alias("signal")).where("ratio >= 0.6")
 
 
+@query()
+def pair_signals(t: Tables) -> DataFrame:
+    """Title pairs with a signal by both likenesses: of titles from 0.8 and of five-word shingles from 0.25, beyond which neither has a say.
+
+    Blocks are languages with the first 12 characters of the title key (of the first 80 characters); a likeness below its bound is null.
+    """
+    titles = _title_pairs(t).where(similarity.may_reach(F.col("title_a"), F.col("title_b"), 0.8)).withColumn("ratio", similarity.sequence_ratio("title_a", "title_b")).where("ratio >= 0.8")
+    block = F.concat_ws("|", "lang", F.substring(text.title_key(F.substring("text", 1, 80)), 1, 12))
+    d = t.documents.select("doc_id", block.alias("block"), text.alnum_tokens(F.col("text")).alias("w")).select("doc_id", "block", similarity.shingles(F.col("w")).alias("s"))
+    shared = dedup.token_pairs(d, "doc_id", "block", "s", 0.25)
+    both = titles.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "ratio").join(shared, ["a", "b"], "full")
+    signal = rules.similarity_signal(F.coalesce("ratio", F.lit(0.0)), F.coalesce("jaccard", F.lit(0.0)))
+    return both.select("a", "b", F.round("ratio", 6).alias("ratio"), F.round("jaccard", 6).alias("jaccard"), signal.alias("signal"))
+
+
+@query()
+def title_collisions(t: Tables) -> DataFrame:
+    """Equal endings (the last 40 characters of a text) of three documents or more whose beginnings (title key of the first 80) differ."""
+    d = t.documents.select("doc_id", F.sha2(F.right("text", F.lit(40)), 256).alias("ending"), text.title_key(F.substring("text", 1, 80)).alias("title"))
+    return dedup.title_collisions(d, "ending", "doc_id", "title")
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, lang, substring(trim(regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', ' ', 'g')), 1, 12) AS b, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ('the', 'and', 'with', 'by'))) AS t FROM documents)
 SELECT a.doc_id AS id_a, b.doc_id AS id_b, round(CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END, 6) AS jaccard FROM d a JOIN d b ON a.lang = b.lang AND a.b = b.b AND a.doc_id < b.doc_id""")

@@ -130,7 +130,7 @@ def extract_texts(files: DataFrame) -> DataFrame:
     return files.select("file", "kind", "content").mapInPandas(run, "file string, kind string, text string, words long")
 
 
-class _Article(HTMLParser):
+class Page(HTMLParser):
     """Text of paragraphs by container, script-like parts left out, and links."""
 
     SKIP = frozenset(("script", "style", "nav", "footer", "header", "form"))
@@ -140,6 +140,7 @@ class _Article(HTMLParser):
         self.open: list[str] = []
         self.parts: dict[str, list[str]] = {"article": [], "main": [], "body": []}
         self.links: list[str] = []
+        self.anchors: list[tuple[str, str, str]] = []  # (rel, label, address or none)
         self.json: list[str] = []
         self.loading = False
 
@@ -147,6 +148,8 @@ class _Article(HTMLParser):
         d = dict(attrs)
         if tag == "a" and d.get("href"):
             self.links.append(d["href"])
+        if tag == "a":
+            self.anchors.append((d.get("rel") or "", "", d.get("href") or ""))
         self.loading = tag == "script" and d.get("type") == "application/ld+json"
         if tag not in ("br", "img", "meta", "link", "hr", "input"):
             self.open.append(tag)
@@ -161,6 +164,9 @@ class _Article(HTMLParser):
                 pass
 
     def handle_data(self, data):
+        if "a" in self.open and self.anchors:
+            rel, label, href = self.anchors[-1]
+            self.anchors[-1] = (rel, label + data, href)
         if self.loading:
             self.json.append(data)
         elif not self.SKIP & set(self.open) and "p" in self.open:
@@ -171,7 +177,7 @@ class _Article(HTMLParser):
 
 def article_body(html: str) -> str:
     """The longest articleBody in a page's JSON-LD, at any depth."""
-    page = _Article()
+    page = Page()
     page.feed(html or "")
     found = []
     for text in page.json:
@@ -192,7 +198,7 @@ def article_body(html: str) -> str:
 
 def main_text(html: str) -> str:
     """Paragraphs of the article, or else of the main part, or of the body."""
-    page = _Article()
+    page = Page()
     page.feed(html or "")
     for x in ("article", "main", "body"):
         text = re.sub(r"[ \t\r\f]+", " ", "".join(page.parts[x]))
@@ -221,15 +227,33 @@ def best_candidate(candidates: Column) -> Column:
 def page_links(html: pd.Series, base: pd.Series) -> pd.Series:
     out = []
     for h, b in zip(html, base):
-        page = _Article()
+        page = Page()
         page.feed(h or "")
         out.append([urljoin(b or "", x) for x in page.links])
     return pd.Series(out)
 
 
+# The entities that XML itself defines; the ampersand comes last, so that no entity arises from two.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
 def sitemap_locations(xml: Column) -> Column:
-    """(index, locations): whether an XML text is a sitemap of sitemaps, and the addresses in it."""
-    return F.struct(xml.contains("<sitemapindex").alias("is_index"), F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1)).alias("locations"))
+    """(index, locations, root): whether an XML text is a sitemap of sitemaps, the addresses in it, and its root's name.
+
+    Names may have a prefix, addresses may stand in CDATA sections, where entities are plain text; comments are left out.  Text that isn't XML has no root and
+    what looks like addresses in it; null has neither.
+    """
+    plain = F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
+    found = F.regexp_extract_all(plain, F.lit(r"(?s)<(?:[\w.-]+:)?loc(?:\s[^>]*)?>\s*(.*?)\s*</(?:[\w.-]+:)?loc\s*>"), F.lit(1))
+
+    def text(x: Column) -> Column:
+        out = x
+        for entity, c in ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(c))
+        return F.when(x.startswith("<![CDATA["), F.trim(F.regexp_extract(x, r"(?s)^<!\[CDATA\[(.*?)\]\]>$", 1))).otherwise(out)
+
+    root = F.lower(F.regexp_extract(plain, r"(?s)<(?:[\w.-]+:)?([A-Za-z_][\w.-]*)(?=[\s/>])", 1))
+    return F.struct((root == "sitemapindex").alias("is_index"), F.filter(F.transform(found, text), lambda x: x != "").alias("locations"), root.alias("root"))
 
 
 def crawl(seeds: DataFrame, pages: DataFrame, depth: int = 3, most: int = 500, children: int = 300, prefer: str | None = None) -> DataFrame:
