@@ -122,6 +122,17 @@ def test_planes_round_trip(unit, tmp_path):
         tokenfile.Reader(path.open("rb"))
 
 
+def test_words_of_letters_need_no_marks():
+    """Runs whose words aren't all one piece (a dotted capital I becomes two) get marks; ids and sizes are the library's in any case."""
+    encoder = tokenfile.LibraryEncoder(open(PATH, encoding="utf-8").read())
+    plain = ["word", "Épsilon", "ﬁn", "x" * 700, "日本", "ß"]
+    for words in (plain, [*plain, "İstanbul"], [*plain, "it's", "a\x01b", "\x01", "", "<|endoftext|>", "a</w>b"], ["İ"] * 600 + plain * 200, [""], []):
+        ids, n = encoder.words([w.encode() for w in words])
+        want = [TOKENIZER.encode(w, add_special_tokens=False).ids for w in words]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert encoder.ends is not None and encoder.ends.sum() > 256
+
+
 @pytest.mark.parametrize("unit", ["bit", "byte"])
 def test_token_files_in_order(spark, tmp_path, unit):
     folder = f"file://{tmp_path}/t"
