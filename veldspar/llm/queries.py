@@ -86,5 +86,17 @@ def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_planes, op2_incremental, op3_parsing, op4_grammar, op5_latent, op6_noisy_channel, op7_superminhash, op8_sentence_rules, op9_transducer, op10_debruijn)}
+def op13_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .rankbpe import encode_ranks
+
+    got = encode_ranks(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_planes, op2_incremental, op3_parsing, op4_grammar, op5_latent, op6_noisy_channel, op7_superminhash, op8_sentence_rules, op9_transducer, op10_debruijn, op13_tiktoken)
+}
 SQL: dict[str, str] = {"op8_sentence_rules": licences_sql()}
