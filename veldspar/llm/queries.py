@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ._shared import shared_dir, table
 from .licences import licences_sql
 from .phrases import collocations_sql
+from .variants import variants_sql
 
 
 def op1_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,12 @@ def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_pcy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import collocations
 
@@ -104,6 +111,6 @@ def op13_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_planes, op2_incremental, op3_parsing, op4_grammar, op5_latent, op6_noisy_channel, op7_superminhash, op8_sentence_rules, op9_transducer, op10_debruijn, op12_pcy, op13_tiktoken)
+    for f in (op1_planes, op2_incremental, op3_parsing, op4_grammar, op5_latent, op6_noisy_channel, op7_superminhash, op8_sentence_rules, op9_transducer, op10_debruijn, op11_trie, op12_pcy, op13_tiktoken)
 }
-SQL: dict[str, str] = {"op8_sentence_rules": licences_sql(), "op12_pcy": collocations_sql()}
+SQL: dict[str, str] = {"op8_sentence_rules": licences_sql(), "op11_trie": variants_sql(), "op12_pcy": collocations_sql()}
