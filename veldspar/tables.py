@@ -1,0 +1,32 @@
+"""Tables that a job writes and reads again: the shared folder and cut lineage."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .session import ship
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir.  Where that is unset (tests, one machine) a temporary folder serves."""
+    ship(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = got.get() if got.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="veldspar-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/veldspar-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` as a table in the shared folder and read it again."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
