@@ -58,7 +58,7 @@ def rows(spark, name):
 
 
 def test_queries_without_sql_are_all_tested():
-    assert set(registry.QUERIES) - set(registry.SQL) == {"page_texts", "page_link_counts", "title_ratio_pairs", "adjudicated_actors", "out_of_fold_model", "monte_carlo", "pair_signals", "title_collisions"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"page_texts", "page_link_counts", "title_ratio_pairs", "adjudicated_actors", "out_of_fold_model", "monte_carlo", "pair_signals", "title_collisions", "page_title_pairs"}
 
 
 def test_pages(spark, duck):
@@ -109,6 +109,24 @@ def test_title_collisions_equal_brute_force(spark, duck):
     assert {(r.ending, r["size"], r.titles) for r in rows(spark, "title_collisions")} == want
 
 
+def test_page_title_pairs_equal_brute_force(spark, duck):
+    """Equal titles meet the first page that has them; of different ones, the first pages of each."""
+    first, want = {}, {}
+    for page, lang, title in duck.execute(r"SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]{2})/', 1), trim(regexp_replace(lower(regexp_extract(html, '<title>(.*?)</title>', 1)), '[^a-z0-9]+', ' ', 'g')) FROM pages ORDER BY 1").fetchall():
+        if title and first.setdefault((lang, title), page) != page:
+            want[first[lang, title], page] = "exact_normalised_title"
+    stop = {"the", "and", "with", "by"}
+    for (la, x), a in first.items():
+        for (lb, y), b in first.items():
+            if la == lb and a < b:
+                r, u, v = SequenceMatcher(None, x, y, autojunk=False).ratio(), set(x.split()) - stop, set(y.split()) - stop
+                j = len(u & v) / len(u | v) if u and v else 0.0
+                if r >= 0.93 and j >= 0.78:
+                    want[a, b] = "very_high_title_similarity" if r >= 0.97 and j >= 0.85 else "high_title_similarity"
+    got = {(r.a, r.b): r.signal for r in rows(spark, "page_title_pairs")}
+    assert {k: s for k, s in got.items() if "slug" not in s and "cross" not in s} == want
+
+
 def test_adjudicated_actors(spark, duck):
     """The method follows from how many groups the title names."""
     from veldspar.plans.analysis import ACTORS

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import STOP_WORDS
-from ..operators import rules, vectors
+from ..operators import rules, titles, vectors
 from .registry import Tables, query
 
 _STOPS = ", ".join(f"'{x}'" for x in STOP_WORDS)
@@ -73,3 +73,15 @@ def hashed_pairs(t: Tables) -> DataFrame:
     """Pairs of different texts whose counts of words and word pairs, hashed to 131,072 buckets, are alike by 0.95 or more; a text is its first document."""
     p = vectors.similar_texts(t.documents, "doc_id", "text", 0.95, buckets=1 << 17, stop=STOP_WORDS)
     return p.select("a", "b", F.round("cosine", 6).alias("cosine"), "copies_a", "copies_b")
+
+
+#: Hosts that publish one another's pages.
+SITES = ["blog.tionsh.example.com", "tionble.example.org"]
+
+
+@query()
+def page_title_pairs(t: Tables) -> DataFrame:
+    """Candidate pairs of pages of one language by hash, title, slug and host; character similarity has no SQL form."""
+    pages = t.pages.select("page_id", "url", F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]{2})/", 1).alias("block"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.sha2("html", 256).alias("sha"), (F.length("html") >= 500).alias("ready"))
+    got = titles.candidate_pairs(pages, "page_id", "block", "title", "url", "sha", "ready", SITES, ["the", "and", "with", "by"])
+    return got.select("a", "b", F.round("title_ratio", 6).alias("title_ratio"), F.round("title_jaccard", 6).alias("title_jaccard"), F.round("slug_ratio", 6).alias("slug_ratio"), "same_host", "signal")
