@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.lexicons import STOP_WORDS
-from ..operators import rules, titles, vectors
+from ..operators import flatten, rules, titles, vectors
 from .registry import Tables, query
 
 _STOPS = ", ".join(f"'{x}'" for x in STOP_WORDS)
@@ -85,3 +86,24 @@ def page_title_pairs(t: Tables) -> DataFrame:
     pages = t.pages.select("page_id", "url", F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]{2})/", 1).alias("block"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.sha2("html", 256).alias("sha"), (F.length("html") >= 500).alias("ready"))
     got = titles.candidate_pairs(pages, "page_id", "block", "title", "url", "sha", "ready", SITES, ["the", "and", "with", "by"])
     return got.select("a", "b", F.round("title_ratio", 6).alias("title_ratio"), F.round("title_jaccard", 6).alias("title_jaccard"), F.round("slug_ratio", 6).alias("slug_ratio"), "same_host", "signal")
+
+
+_TITLE_SQL = r"trim(regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, n_chars, lang, sha256(text) AS h, nullif({_TITLE_SQL}, '') || '|' || lang AS title, CASE WHEN length(text) >= 60 THEN right(text, 60) END AS ending FROM documents),
+k AS (SELECT doc_id, 'same_text' AS origin, h AS k FROM d UNION ALL SELECT doc_id, 'same_title', title FROM d UNION ALL SELECT doc_id, 'same_ending', ending FROM d),
+e AS (SELECT DISTINCT a.origin, a.doc_id AS a, b.doc_id AS b FROM k a JOIN (SELECT origin, k, min(doc_id) AS doc_id FROM k WHERE k IS NOT NULL GROUP BY ALL) b ON a.origin = b.origin AND a.k = b.k AND a.doc_id <> b.doc_id),
+near AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, near.b FROM r JOIN near ON near.a = r.other),
+c AS (SELECT doc_id, min(other) AS component FROM r GROUP BY doc_id),
+f AS (SELECT component, arg_min(doc_id, (-n_chars, doc_id)) AS keeper, count(*) AS size FROM c JOIN d USING (doc_id) GROUP BY component),
+o AS (SELECT component, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins FROM e JOIN c ON c.doc_id = e.a GROUP BY component)
+SELECT doc_id, keeper, keeper = doc_id AS kept, size, coalesce(origins, '') AS origins FROM c JOIN f USING (component) LEFT JOIN o USING (component)""")
+def flattened_duplicates(t: Tables) -> DataFrame:
+    """Documents that equal texts, beginnings or endings connect, in any chain, with the longest of each component as its keeper."""
+    d = t.documents.select(
+        "doc_id", "n_chars", "lang", F.sha2("text", 256).alias("h"), F.nullif(text.title_key(F.substring("text", 1, 80)), F.lit("")).alias("title"), F.when(F.length("text") >= 60, F.sha2(F.right("text", F.lit(60)), 256)).alias("ending")
+    )
+    pairs = flatten.star_pairs(d, "doc_id", "same_text", "h").union(flatten.star_pairs(d, "doc_id", "same_title", "title", "lang")).union(flatten.star_pairs(d, "doc_id", "same_ending", "ending"))
+    return flatten.flatten(d, "doc_id", pairs, -F.col("n_chars")).withColumn("origins", F.array_join("origins", ","))
