@@ -198,13 +198,13 @@ def tfidf_terms(t: Tables) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.5""")
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.3""")
 def embedding_neighbours(t: Tables) -> DataFrame:
     """Stated queries, the vectors whose id is divisible by 50, against all vectors: a matrix product for each batch and block of queries."""
     stated = t.embeddings.where("vec_id % 50 = 0")
     times, out = max(1, -(-stated.count() // dedup.QUERIES)), None
     for k in range(times):
         block = stated.where(F.pmod(F.xxhash64("vec_id"), F.lit(times)) == k) if times > 1 else stated
-        got = dedup.near_vectors(t.embeddings, block, "vec_id", "embedding", 0.5)
+        got = dedup.near_vectors(t.embeddings, block, "vec_id", "embedding", 0.3)
         out = got if out is None else out.union(got)
     return out.where("a <> b").select("a", "b", F.round("cosine", 5).alias("cosine"))

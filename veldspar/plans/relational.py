@@ -49,10 +49,6 @@ both(
     """SELECT r.r_name, s.threshold, count_if(n.n_nationkey >= s.threshold) AS n FROM {region} r JOIN {nation} n ON n.n_regionkey = r.r_regionkey CROSS JOIN (SELECT 5 AS threshold UNION ALL SELECT 10 UNION ALL SELECT 15) s GROUP BY r.r_name, s.threshold""",
 )
 both("join_upper_pairs", "SELECT a.n_name AS left_name, b.n_name AS right_name FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-both(
-    "join_positional",
-    """SELECT a.r_name, b.n_name FROM (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS k FROM {region}) a JOIN (SELECT n_name, row_number() OVER (ORDER BY n_name) AS k FROM {nation}) b ON a.k = b.k""",
-)
 
 # --- aggregates --------------------------------------------------------------------------------------------------------------------------
 both("group_count", "SELECT lang, count(*) AS n FROM {documents} GROUP BY lang")
@@ -66,11 +62,6 @@ both("split_by_dimension", "SELECT d.lang, count_if(l.toxic = 0) AS resistant, c
 both("distinct_counts", "SELECT count(DISTINCT sha2(text, 256)) AS texts, count(DISTINCT source) AS sources FROM {documents}")
 both("sum_of_sizes", "SELECT lang, CAST(sum(coalesce(try_cast(CAST(n_chars AS VARCHAR(20)) AS BIGINT), 0)) AS BIGINT) AS chars FROM {documents} GROUP BY lang")
 both("grid_ranges", "SELECT l_returnflag, min(l_discount) AS low, max(l_discount) AS high, round(max(l_discount) - min(l_discount), 8) AS width FROM {lineitem} GROUP BY l_returnflag")
-both(
-    "distribution",
-    "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(percentile(value, 0.05), 6) AS p05, round(percentile(value, 0.95), 6) AS p95, round(avg(CAST(CASE WHEN value >= 50.0 THEN 1 ELSE 0 END AS DOUBLE)), 6) AS exceeds FROM {events} GROUP BY event_type",
-    "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(CASE WHEN value >= 50.0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END), 6) AS exceeds FROM events GROUP BY event_type",
-)
 both(
     "partition_accounting",
     """SELECT count(*) AS total, count_if(q = 1 AND t = 0) AS good, count_if(q = 1 AND t = 1) AS good_toxic, count_if(q = 0) AS bad, count_if(q IS NULL) AS unlabelled,
@@ -98,12 +89,6 @@ both(
     "pair_keep_drop",
     """SELECT min(doc_id) AS keep_id, max(doc_id) AS drop_id FROM {documents} GROUP BY sha2(text, 256) HAVING count(*) = 2""",
 )
-both(
-    "numbered_clusters",
-    """SELECT concat('TXT-', right(concat('0000', CAST(k AS VARCHAR(10))), 4)) AS cluster_id, first_id, size FROM (SELECT row_number() OVER (ORDER BY first_id) AS k, first_id, size FROM (SELECT min(doc_id) AS first_id, count(*) AS size FROM {documents} GROUP BY sha2(text, 256) HAVING count(*) > 1) x) y""",
-)
-both("sequential_ids", "SELECT concat('NAT-', right(concat('000', CAST(row_number() OVER (ORDER BY n_name) AS VARCHAR(10))), 3)) AS id, n_name FROM {nation}")
-both("cyclic_assignment", "SELECT n_name, CAST((row_number() OVER (ORDER BY n_nationkey) - 1) % 4 AS INT) AS slot FROM {nation}")
 both(
     "argmax_margin",
     """SELECT user_id, event_type, round(top, 6) AS top, round((top - coalesce(second, 0.0)) / greatest(top, 1.0), 6) AS margin FROM (
@@ -124,7 +109,6 @@ both(
     """SELECT o_orderkey, place FROM (SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END, o_orderdate, o_orderkey) AS place FROM {orders}) x WHERE place <= 100""",
 )
 both("first_of_each", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {events}) x WHERE rn <= 3")
-both("longest_of_each", "SELECT source, max(n_chars) AS longest, max_by(doc_id, n_chars * 1000000 - doc_id) AS doc_id FROM {documents} GROUP BY source")
 
 # --- sets --------------------------------------------------------------------------------------------------------------------------------
 both("tagged_union", "SELECT origin, count(*) AS n FROM (SELECT 'labels' AS origin, doc_id FROM {labels} UNION ALL SELECT 'documents', doc_id FROM {documents}) x GROUP BY origin")
