@@ -79,13 +79,14 @@ def decide_rbf(model, train: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.exp(-gamma * np.maximum(0, d)) @ w + b
 
 
-def platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the sigmoid that turns decisions into probabilities, with smoothed targets."""
-    hi, lo = ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y <= 0).sum() + 2)
+def platt(f: np.ndarray, y: np.ndarray, n: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and offset of the sigmoid that turns decisions into probabilities, with smoothed targets; ``n``: rows that each decision stands for."""
+    n = np.broadcast_to(np.asarray(n, float), f.shape)
+    hi, lo = (n[y > 0].sum() + 1) / (n[y > 0].sum() + 2), 1 / (n[y <= 0].sum() + 2)
     t, a, b = np.where(y > 0, hi, lo), 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
-        g, w = t - p, p * (1 - p) + 1e-9
+        g, w = n * (t - p), n * p * (1 - p) + 1e-9
         h = np.array([[(w * f * f).sum() + 1e-6, (w * f).sum()], [(w * f).sum(), w.sum() + 1e-6]])
         step = np.linalg.solve(h, [(g * f).sum(), g.sum()])
         a, b = a + step[0], b + step[1]
