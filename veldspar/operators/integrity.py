@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 class IntegrityError(ValueError):
     """A check failed."""
@@ -57,11 +63,52 @@ def mandatory(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return j.where(F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no row for "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).drop("_there")
 
 
-def hash_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(file, bytes, sha256) of the files below a folder; ``file`` is the path below it."""
+#: Bytes that a task holds of a file.
+CHUNK = 1 << 20
+
+
+def opened(path: str):
+    """The file system and the place in it of a path as Spark lists it, which isn't quoted as an address is."""
+    from pyarrow import fs
+
+    scheme, host, at = re.match(r"(?:([A-Za-z][\w+.-]*):)?(//[^/]*)?(.*)", path, re.S).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem(), at
+    return fs.FileSystem.from_uri(f"{scheme}:{host or '//'}{quote(at)}")
+
+
+def file_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, bytes, sha256) of files, a chunk of each in memory at a time."""
+    for batch in batches:
+        size, out = [], []
+        for path in batch.column(0).to_pylist():
+            system, at = opened(path)
+            digest, n = hashlib.sha256(), 0
+            with system.open_input_stream(at, buffer_size=0) as f:
+                while chunk := f.read(CHUNK):
+                    digest.update(chunk)
+                    n += len(chunk)
+            size.append(n)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(out, pa.string())], names=["path", "bytes", "sha256"])
+
+
+def _digests(files: DataFrame, tasks: int) -> DataFrame:
+    """(path, bytes, sha256): only names are listed, empty files among them, and every file is read by one task."""
+    ship(files.sparkSession)
+    paths = files.sparkSession.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string")
+    return paths.repartition(max(1, tasks), "path").mapInArrow(file_digests, "path string, bytes long, sha256 string")
+
+
+def hash_manifest(spark: SparkSession, path: str, pattern: str = "*", tasks: int | None = None) -> DataFrame:
+    """(file, bytes, sha256) of the files below a folder; ``file`` is the path below it.
+
+    Files of any size: a task streams ``CHUNK`` bytes of one at a time, from any store that Arrow opens (local, HDFS, S3, GCS).
+    """
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.substring_index("path", root, -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    got = _digests(files, tasks or spark.sparkContext.defaultParallelism)
+    return got.select(F.substring_index("path", root, -1).alias("file"), "bytes", "sha256")
 
 
 def verify_manifest(found: DataFrame, expected: DataFrame) -> DataFrame:
@@ -72,8 +119,8 @@ def verify_manifest(found: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def assert_no_drift(spark: SparkSession, path: str, sha256: str) -> None:
-    got = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).first()
-    if got is None or got.h != sha256:
+    got = _digests(spark.read.format("binaryFile").load(path), 1).first()
+    if got is None or got.sha256 != sha256:
         raise IntegrityError(f"{path} isn't the pinned input")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import shutil
 import zipfile
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -46,7 +48,20 @@ def console_table(df: DataFrame, rows: int = 10_000) -> str:
 
 
 def zip_bundle(files: list[Path], path: Path) -> None:
-    """Members in the order of their names, with a fixed date, so equal files give equal bundles."""
+    """Members in the order of their names, with a fixed date, so equal files give equal bundles; files are copied in pieces.
+
+    Files of one name in different folders keep as much of their paths as tells them apart; one file given twice is an error.
+    """
+    names, depth = {f: f.name for f in files}, 1
+    if len({f.resolve() for f in files}) < len(files):
+        raise ValueError("a file is given twice")
+    while len(set(names.values())) < len(files):
+        depth += 1
+        taken = Counter(names.values())
+        names = {f: "/".join(f.resolve().parts[-depth:]).lstrip("/") if taken[n] > 1 else n for f, n in names.items()}
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as z:
-        for f in sorted(files, key=lambda f: f.name):
-            z.writestr(zipfile.ZipInfo(f.name), f.read_bytes(), zipfile.ZIP_DEFLATED, 9)
+        for f in sorted(files, key=names.get):
+            entry = zipfile.ZipInfo(names[f])
+            entry.compress_type = zipfile.ZIP_DEFLATED
+            with f.open("rb") as source, z.open(entry, "w", force_zip64=f.stat().st_size >= 1 << 31) as out:
+                shutil.copyfileobj(source, out, 1 << 20)
