@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veldspar.functions import similarity, text
 from veldspar.functions.lexicons import GROUPS, PLU, SIC
 from veldspar.operators import dedup, features, grids, indices, integrity, metrics, rules, stance
-from veldspar.sources import readers, writers
+from veldspar.sources import frontier, readers, writers
 
 
 def test_scenario_indices(spark):
@@ -137,9 +137,9 @@ def test_pages():
     assert readers.main_text("") == "" and readers.article_body(None) == ""
 
 
-def test_crawl_and_fetch_status(spark):
+def test_crawl_and_fetch_status(spark, tmp_path):
     pages = spark.createDataFrame([("root", "<sitemapindex><loc>s1</loc><loc>s2</loc></sitemapindex>"), ("s1", "<urlset><loc>a</loc><loc> b </loc></urlset>"), ("s2", "<urlset><loc>a</loc></urlset>")], "url string, xml string")
-    assert {r.url for r in readers.crawl(spark.createDataFrame([("root",)], "url string"), pages).collect()} == {"a", "b"}
+    assert {r.url for r in frontier.crawl(spark.createDataFrame([("root",)], "url string"), pages, f"file://{tmp_path}")[0].collect()} == {"a", "b"}
     log = spark.createDataFrame([("u", 1, 500, 0), ("u", 2, 200, 9), ("v", 1, 404, 0), ("w", 1, 500, 0), ("w", 2, 503, 0)], "url string, attempt int, http_status int, bytes int")
     assert {(r.url, r.attempt, r.status) for r in readers.fetch_status(log).collect()} == {("u", 2, "fetched"), ("v", 1, "refused"), ("w", 2, "failed")}
 
@@ -162,3 +162,20 @@ def test_entry_works_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
     assert out.stdout.split()[-1] == "False", out.stderr
+
+
+def test_settled_voices_and_decisions(spark):
+    """Authors that are no news publishers, silence with and without an author, and margins."""
+    top = spark.createDataFrame([(1, "labour", 0.0, 0.0), (2, "labour", 0.0, 0.0), (3, "labour", 5.0, 0.9), (4, "labour", 5.0, 0.9), (5, "NGO", 5.0, 0.1), (6, "NGO", 0.0, 0.0)], "id long, group string, top double, margin double")
+    authors = spark.createDataFrame([(1, None, False), (2, "investor", True), (3, "investor", False), (4, "investor", True), (5, None, None)], "id long, author_group string, is_news boolean")
+    got = {r.id: (r.group, r.confidence, r.method) for r in stance.settled_voice(top, authors, "id").collect()}
+    assert got == {
+        1: ("government", 0.0, "fallback_no_actor_signal"), 2: ("investor", 0.0, "fallback_no_actor_signal"), 3: ("investor", 1.0, "document_author_group"), 4: ("labour", 0.9, "dominant_voice_proxy"),
+        5: ("NGO", 0.1, "dominant_voice_proxy"), 6: ("government", 0.0, "fallback_no_actor_signal"),
+    }
+    cases = [(1.0, 1.0, 1, 1, 0.5, "dominant_voice_proxy"), (1.0, 1.0, 1, 1, 0.05, "dominant_voice_proxy"), (1.0, 1.0, 1, 1, 0.0, "fallback_no_actor_signal"), (0.1, 0.1, 1, 1, 0.05, "dominant_voice_proxy"), (1.0, -1.0, 1, 0, 0.9, "dominant_voice_proxy")]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, a double, b double, la int, lb int, c double, m string")
+    d = stance.coding_decision(*(F.col(c) for c in ("a", "b", "la", "lb", "c", "m")))
+    assert [(r.d.label, r.d.needs_review, r.d.reason) for r in df.select("k", d.alias("d")).orderBy("k").collect()] == [
+        (1, False, "computational_readings_agree"), (1, True, "stakeholder_voice_low_confidence"), (1, False, "computational_readings_agree"), (None, True, "stance_readings_disagree_or_low_margin"), (None, True, "stance_readings_disagree_or_low_margin"),
+    ]

@@ -58,7 +58,7 @@ def rows(spark, name):
 
 
 def test_queries_without_sql_are_all_tested():
-    assert set(registry.QUERIES) - set(registry.SQL) == {"page_texts", "page_link_counts", "title_ratio_pairs", "adjudicated_actors", "out_of_fold_model", "monte_carlo", "pair_signals", "title_collisions", "page_title_pairs"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"page_texts", "page_link_counts", "title_ratio_pairs", "adjudicated_actors", "out_of_fold_model", "monte_carlo", "pair_signals", "title_collisions", "page_title_pairs", "model_to_weights", "kernel_model"}
 
 
 def test_pages(spark, duck):
@@ -150,6 +150,37 @@ def test_out_of_fold_model(spark, duck):
     assert got["mean"].accuracy == pytest.approx(sum(r.accuracy for r in folds) / 5)
 
 
+def test_kernel_model(spark, duck):
+    got = {r.row: r for r in rows(spark, "kernel_model")}
+    n, toxic = duck.execute("SELECT count(*), avg(toxic) FROM labels JOIN documents USING (doc_id)").fetchone()
+    folds = [got[str(k)] for k in range(5)]
+    assert sum(r.n for r in folds) == got["mean"].n == got["all"].n == n
+    assert got["mean"].accuracy == pytest.approx(sum(r.accuracy for r in folds) / 5) and got["all"].accuracy == pytest.approx(sum(r.accuracy * r.n for r in folds) / n)
+    assert got["all"].accuracy >= 1 - toxic - 0.1 and 0 <= got["all"].error < 0.3 and got["0"].error is None
+
+
+def test_model_to_weights_equals_a_loop(spark, duck):
+    """The weights that follow from the model's probabilities, voices and relevant documents, by plain sums."""
+    from veldspar.functions.lexicons import BASE_WEIGHTS, SIC
+    from veldspar.operators import kernel
+    from veldspar.plans import flow
+
+    t = registry.Tables(spark, FOLDER)
+    d = t.labels.select("doc_id", "quality").join(t.documents.select("doc_id", "text"), "doc_id")
+    p = {r.doc_id: r.p for r in kernel.kernel_out_of_fold(d, "doc_id", "text", "quality", stop=flow.STOP_WORDS).collect()}
+    voice = {r.doc_id: r.actor for r in rows(spark, "stakeholder_voices")}
+    mean = {g: sum(x) / len(x) for g in SIC if (x := [p[i] for i in p if voice[i] == g])}
+    share = {}
+    for r in flow._matches(t).collect():
+        for s, f in flow.RULES:
+            share.setdefault((s, f, voice[r.doc_id], r.criterion), []).append(r.matched_sentences >= s and r.families >= f)
+    for r in rows(spark, "model_to_weights"):
+        e = {g: SIC[g] * (1 - mean[g] if r.mode == "salience_times_contention" else 1) for g in mean if any(k[2] == g for k in share)}
+        g = {c: sum(e[a] * sum(x := share[r.s, r.f, a, n]) / len(x) for a in e) / sum(e.values()) for c, n in flow.COUNTED.items()}
+        raw = {c: BASE_WEIGHTS[c] * (1 + r.delta * g[c]) for c in BASE_WEIGHTS}
+        assert r.pressure == pytest.approx(g[r.criterion], abs=1e-6) and r.weight == pytest.approx(raw[r.criterion] / sum(raw.values()), abs=1e-6)
+
+
 def test_monte_carlo(spark):
     for r in rows(spark, "monte_carlo"):
         i, q, s = SCENARIOS[r.scenario]

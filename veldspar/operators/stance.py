@@ -93,6 +93,33 @@ def dominant(scores: DataFrame, id_col: str) -> DataFrame:
     return ranked.select(id_col, "group", F.col("score").alias("top"), second.alias("second"), ((F.col("score") - second) / F.greatest("score", F.lit(1.0))).alias("margin"))
 
 
+def settled_voice(dominant_: DataFrame, authors: DataFrame, id_col: str, fallback: str = "government") -> DataFrame:
+    """(id, group, confidence, method) from ``dominant`` and (id, author_group, is_news).
+
+    A document whose author is of a group and no news publisher speaks for that group, whatever its words; one whose words name no group speaks for the author's, or else for ``fallback``, with no confidence; any other
+    for the group of the largest score, by its margin.
+    """
+    j = dominant_.join(authors, id_col, "left")
+    own = F.col("author_group").isNotNull() & ~F.coalesce(F.col("is_news"), F.lit(False))
+    silent = F.col("top") <= 0
+    group = F.when(own, F.col("author_group")).when(silent, F.coalesce("author_group", F.lit(fallback))).otherwise(F.col("group"))
+    confidence = F.when(own, 1.0).when(silent, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("margin"))))
+    method = F.when(own, "document_author_group").when(silent, "fallback_no_actor_signal").otherwise("dominant_voice_proxy")
+    return j.select(id_col, group.alias("group"), confidence.alias("confidence"), method.alias("method"))
+
+
+def low_voice(confidence: Column, method: Column, least: float = 0.12) -> Column:
+    """Whether a group was taken from its score by a margin too small to stand unseen; authors and fallbacks are stated as such."""
+    return (confidence < least) & (method == "dominant_voice_proxy")
+
+
+def coding_decision(a: Column, b: Column, label_a: Column, label_b: Column, voice_confidence: Column, voice_method: Column, least: float = 0.18) -> Column:
+    """(label, confidence, needs_review, reason) from two readings and the settled voice: a label where the readings agree clearly, which is still for review where the voice is low."""
+    read, low = two_readings(a, b, label_a, label_b, least), low_voice(voice_confidence, voice_method)
+    reason = F.when(read["needs_review"], "stance_readings_disagree_or_low_margin").when(low, "stakeholder_voice_low_confidence").otherwise("computational_readings_agree")
+    return F.struct(read["label"].alias("label"), read["confidence"].alias("confidence"), (read["needs_review"] | low).alias("needs_review"), reason.alias("reason"))
+
+
 def adjudicated_actor(dominant_: DataFrame, title_groups: DataFrame, id_col: str) -> DataFrame:
     """A group that alone occurs in the title is taken; else a clear margin; else none.  ``title_groups``: (id, title_group, n_title_groups)."""
     j = dominant_.join(title_groups, id_col, "left")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import content, json_tree
+from ..sources import content, frontier, json_tree
+from ..tables import shared_dir
 from .registry import Tables, query
 
 
@@ -79,3 +80,18 @@ def nested_bodies(t: Tables) -> DataFrame:
     rows = json_tree.leaves(scripts, "conv_id", "j").where("name = 'articleBody' and kind = 'string'")
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "value"))), lambda x: x["value"]), "\n")
     return rows.groupBy("conv_id").agg(F.count("*").alias("bodies"), F.max(F.length("value")).cast("long").alias("longest"), F.sha2(texts, 256).alias("texts_sha256"))
+
+
+@query("SELECT url, min(2) AS depth FROM pages GROUP BY url")
+def sitemap_crawl(t: Tables) -> DataFrame:
+    """Pages found through the sitemaps that list them: one of sitemaps by language, which lead to lists of an eighth of the pages each."""
+    lang = F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]{2})/", 1)
+    text = F.replace(F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    rows = t.pages.select(F.concat_ws("-", F.lit("post"), lang, F.col("page_id") % 8).alias("list"), F.concat(F.lit("post-"), lang).alias("index"), F.concat(F.lit("<url><loc>"), text, F.lit("</loc></url>")).alias("loc"))
+    tag = lambda kind, rows: F.concat(F.lit(f"<{kind}>"), F.array_join(F.array_sort(F.collect_set(rows)), ""), F.lit(f"</{kind}>"))
+    lists = rows.groupBy(F.col("list").alias("url")).agg(tag("urlset", "loc").alias("xml"))
+    loc = lambda c: F.concat(F.lit("<sitemap><loc>"), F.col(c), F.lit("</loc></sitemap>"))
+    indexes = rows.groupBy(F.col("index").alias("url")).agg(tag("sitemapindex", loc("list")).alias("xml"))
+    root = rows.groupBy(F.lit("root").alias("url")).agg(tag("sitemapindex", loc("index")).alias("xml"))
+    leaves, _ = frontier.crawl(t.spark.createDataFrame([("root",)], "url string"), root.union(indexes).union(lists), shared_dir(t.spark))
+    return leaves

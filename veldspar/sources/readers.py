@@ -256,25 +256,6 @@ def sitemap_locations(xml: Column) -> Column:
     return F.struct((root == "sitemapindex").alias("is_index"), F.filter(F.transform(found, text), lambda x: x != "").alias("locations"), root.alias("root"))
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, depth: int = 3, most: int = 500, children: int = 300, prefer: str | None = None) -> DataFrame:
-    """(url, depth) of the leaves of a sitemap tree that a table (url, xml) holds: breadth first, within limits that are the feature.
-
-    Each level is a join; a page that was seen before isn't visited again.
-    """
-    level, seen, leaves = seeds.select("url"), seeds.select("url"), None
-    for d in range(depth + 1):
-        found = level.join(pages, "url").select(sitemap_locations(F.col("xml")).alias("s"))
-        rows = found.select("s.is_index", F.posexplode(F.slice("s.locations", 1, children)).alias("k", "url"))
-        leaf = rows.where("not is_index").select("url", F.lit(d).alias("depth"))
-        leaves = leaf if leaves is None else leaves.union(leaf)
-        level = rows.where("is_index").select("url").distinct().join(seen, "url", "left_anti")
-        if prefer:
-            level = level.orderBy(F.desc(F.col("url").rlike(prefer)), "url")
-        level = level.limit(most)
-        seen = seen.union(level)
-    return leaves.groupBy("url").agg(F.min("depth").alias("depth"))
-
-
 def fetch_status(attempts: DataFrame, limit: int = 3) -> DataFrame:
     """The outcome of each URL from a log (url, attempt, http_status, bytes): the first success, or the first final refusal, or the last failure."""
     final = F.col("http_status").isin(401, 403, 404, 410)
