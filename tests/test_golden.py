@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldspar.functions import similarity, text
-from veldspar.functions.lexicons import GROUPS, PLU, SIC
+from veldspar.functions.lexicons import PLU, SIC
 from veldspar.operators import dedup, features, grids, indices, integrity, metrics, rules, stance
 from veldspar.sources import frontier, readers, writers
 
@@ -146,7 +146,7 @@ def test_crawl_and_fetch_status(spark, tmp_path):
 
 def test_voice_scores(spark):
     df = spark.createDataFrame([(1, "Police report", "The police minister said nothing of note here. The company was silent about it all.")], "id int, title string, text string")
-    rows = {r.group: r.score for r in stance.voice_scores(df, "id", F.col("title"), F.col("text"), GROUPS, r"\bsaid\b").collect()}
+    rows = {r.group: r.score for r in stance.voice_scores(df, "id", F.col("title"), F.col("text"), {"government": [r"\bpolice\b", r"\bminister\b"], "investor": [r"\bcompany\b"]}, r"\bsaid\b").collect()}
     assert rows["government"] == pytest.approx(3.0 + 2 * 2.5) and rows["investor"] == pytest.approx(0.35)
 
 
@@ -179,3 +179,29 @@ def test_settled_voices_and_decisions(spark):
     assert [(r.d.label, r.d.needs_review, r.d.reason) for r in df.select("k", d.alias("d")).orderBy("k").collect()] == [
         (1, False, "computational_readings_agree"), (1, True, "stakeholder_voice_low_confidence"), (1, False, "computational_readings_agree"), (None, True, "stance_readings_disagree_or_low_margin"), (None, True, "stance_readings_disagree_or_low_margin"),
     ]
+
+
+def test_rules_of_records(spark):
+    rows = [("Include", None), (" included ", "x"), (None, "Eligible later"), ("no", "candidate_pending_substantive_screen"), ("no", "rejected"), (None, None), ("", " VERIFIED ")]
+    got = [r.e for r in spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, d string, s string").select("k", rules.eligible(F.col("d"), F.col("s")).alias("e")).orderBy("k").collect()]
+    assert got == [True, True, True, True, False, False, True]
+    texts = [(None, 0, 1), ("", 0, 9), ("a", 1, 2), ("a", 149, 1), ("a", 150, 1)]
+    got = [r.q for r in spark.createDataFrame([(k, *r) for k, r in enumerate(texts)], "k int, t string, w int, n int").select("k", rules.text_quality(F.col("t"), F.col("w"), F.col("n")).alias("q")).orderBy("k").collect()]
+    assert got == ["missing_text", "missing_text", "repeated_extraction_hash", "short_text_review", "usable_text"]
+    pairs = spark.createDataFrame([(1, True, 0.1, False), (2, None, 0.95, False), (3, False, None, True), (4, False, 0.94, None)], "k int, h boolean, r double, t boolean")
+    basis = rules.duplicate_basis(F.col("h"), F.col("r"), F.col("t")).alias("b")
+    assert [r.b for r in pairs.where("k < 4").select("k", basis).orderBy("k").collect()] == ["identical_text_hash", "near_identical_text", "identical_title_and_language"]
+    with pytest.raises(Exception, match="a pair without a basis"):
+        pairs.select(basis).collect()
+
+
+def test_earlier_and_later_of_two(spark):
+    rows = [("a", 2, "2020"), ("a", 1, "2021"), ("b", 1, "2020"), ("b", 2, "2020"), ("c", 1, "2020"), ("d", 1, "x"), ("d", 2, "x"), ("d", 3, "x"), (None, 1, "x"), (None, 2, "x"), ("e", 2, "2020"), ("e", 1, None)]
+    got = dedup.earlier_and_later(spark.createDataFrame(rows, "k string, id long, day string"), "k", "id", "day").collect()
+    assert {(r.k, r.keep, r["drop"]) for r in got} == {("a", 2, 1), ("b", 1, 2), ("e", 1, 2)}
+
+
+def test_overlap_of_arrays(spark):
+    df = spark.createDataFrame([(0, ["a", "b", "b"], ["b", "c"]), (1, [], ["x"]), (2, None, ["x"])], "k int, a array<string>, b array<string>")
+    got = [r.o for r in df.select("k", similarity.overlap(F.col("a"), F.col("b")).alias("o")).orderBy("k").collect()]
+    assert [(o.shared, o.only_a, o.only_b, o.any) for o in got] == [(["b"], ["a"], ["c"], True), ([], [], ["x"], False), (None, None, None, False)]

@@ -22,6 +22,11 @@ def hashed_jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
     return F.transform(both, lambda n: F.when(sizes == n, F.lit(empty)).otherwise(n / (sizes - n)))[0]  # a lambda's argument is evaluated once
 
 
+def overlap(a: Column, b: Column) -> Column:
+    """(shared, only_a, only_b, any): two arrays as sets, in the order of the first."""
+    return F.struct(F.array_intersect(a, b).alias("shared"), F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"), F.coalesce(F.arrays_overlap(a, b), F.lit(False)).alias("any"))
+
+
 def without(tokens: Column, stop: list[str]) -> Column:
     return F.array_except(tokens, F.array(*(F.lit(x) for x in stop)))
 

@@ -72,10 +72,6 @@ def families_hit(c: Column, patterns: list[str]) -> Column:
     return out
 
 
-def family_names(c: Column, patterns: dict[str, str]) -> Column:
-    return F.array_compact(F.array(*(F.when(c.rlike(f"(?i){p}"), F.lit(name)) for name, p in patterns.items())))
-
-
 def any_hit(c: Column, patterns: list[str]) -> Column:
     return F.coalesce(c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
@@ -169,10 +165,3 @@ def half_even(c: Column, digits: int) -> Column:
 
 def fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", c)
-
-
-def strip_tags(c: Column) -> Column:
-    """Text of HTML without scripts, styles, navigation, headers, footers and forms; for well-formed pages."""
-    for tag in ("script", "style", "nav", "footer", "header", "form"):
-        c = F.regexp_replace(c, f"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    return norm(F.regexp_replace(c, r"(?s)<[^>]*>", " "))

@@ -18,6 +18,13 @@ def canonical(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), place).alias("_row")).select("_row.*")
 
 
+def earlier_and_later(df: DataFrame, key: str, id_col: str, *order: str) -> DataFrame:
+    """(key, keep, drop): of each key with exactly two rows, the id of the first by ``order`` and id and that of the other; null keys are equal to none."""
+    place = F.struct(*order, id_col)
+    pairs = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), F.min_by(id_col, place).alias("keep"), F.max_by(id_col, place).alias("drop"))
+    return pairs.where("_n = 2").drop("_n")
+
+
 def title_collisions(df: DataFrame, key: str, id_col: str, title: str, rows: int = 3, least: float = 0.75) -> DataFrame:
     """(key, size, titles): keys of ``rows`` rows or more with two titles whose character similarity is below ``least``; null keys and titles take no part.
 

@@ -47,7 +47,7 @@ def shares(df: DataFrame, by: str, flag: Column, least: int) -> DataFrame:
 
 
 def distribution(value: str, least: float) -> list[Column]:
-    """Mean, population deviation, linear percentiles and the share that reaches ``least``."""
+    """Mean, population deviation, linear percentiles and the share that reaches ``least``, for groups of a bounded size; ``order.percentiles`` has none."""
     return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.percentile(value, F.lit(0.05)).alias("p05"), F.percentile(value, F.lit(0.95)).alias("p95"), F.avg((F.col(value) >= least).cast("int")).alias("exceeds")]
 
 

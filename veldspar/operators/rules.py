@@ -35,21 +35,25 @@ def allow_list(df: DataFrame, key: str, decisions: DataFrame) -> DataFrame:
     return df.join(decisions, key, "left").withColumn("decision", F.coalesce("decision", F.lit("pending"))).withColumn("reason", F.coalesce("reason", F.lit("")))
 
 
-def evidence_class(early: Column, lonmin: Column, case_n: Column, event: Column, social: Column, corp: Column, key_event: Column, title_case: Column, title_corp: Column, chars: Column) -> Column:
-    """The class of a text's signals; branch order is part of the meaning."""
-    return first_match(
-        [
-            (chars < 500, "acquisition_or_text_exception"),
-            (early & (lonmin >= 3) & (event >= 3) & key_event, "strong_early_2012_event_context"),
-            ((case_n > 0) & ((event >= 2) | (social >= 1) | title_case), "strong_case_context_supported"),
-            ((case_n > 0) & title_corp & (corp >= 1) & (event <= 1) & (social == 0) & ~title_case, "case_name_only_routine_project_or_corporate_signal"),
-            (case_n > 0, "case_term_low_context_review"),
-            (title_corp & (corp >= 2) & (event <= 1) & (social == 0) & ~title_case, "strong_routine_corporate_signal"),
-            ((corp >= 3) & (event <= 1) & (social == 0) & ~title_case, "likely_routine_corporate_signal"),
-            ((event >= 3) | (social >= 2) | title_case, "possible_substantive_case_context"),
-        ],
-        "ambiguous_low_signal",
-    )
+#: Decisions and states for which a row is acquired; a pending one is acquired because its text is needed to decide.
+TAKEN = ("include", "included", "include_candidate", "eligible")
+OPEN = ("candidate_pending_substantive_screen", "verified_candidate", "verified", "include", "included", "verified_archive", "verified_historical_citation")
+
+
+def eligible(decision: Column, status: Column) -> Column:
+    """Whether a row is to be acquired: its decision is one of ``TAKEN``, or its status one of ``OPEN`` or begins with eligible; blanks around and capitals don't matter, null is neither."""
+    d, s = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (decision, status))
+    return d.isin(*TAKEN) | s.startswith("eligible") | s.isin(*OPEN)
+
+
+def text_quality(text: Column, words: Column, rows: Column, least: int = 150) -> Column:
+    """What becomes of a recovered text, ``rows`` being how many have it: none, one of several, too short, or fine."""
+    return first_match([(F.coalesce(F.length(text), F.lit(0)) == 0, "missing_text"), (rows > 1, "repeated_extraction_hash"), (words < least, "short_text_review")], "usable_text")
+
+
+def duplicate_basis(same_hash: Column, ratio: Column, same_title: Column) -> Column:
+    """The basis on which a pair is one record; a pair without any stops the query, so that none is dropped unseen."""
+    return or_raise([(same_hash, "identical_text_hash"), (ratio >= 0.95, "near_identical_text"), (same_title, "identical_title_and_language")], "a pair without a basis")
 
 
 #: The classes of the variants, in the order in which they are tried; the last takes the rest.

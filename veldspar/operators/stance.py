@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import AUTHORS, LEGITIMACY, POWER, URGENCY
+from ..functions.lexicons import AUTHORS
 from ..functions.text import any_hit, families_hit, literal_count, sentences
 
 
-def plu_shares(text: Column, power: list[str] = POWER, legitimacy: list[str] = LEGITIMACY, urgency: list[str] = URGENCY) -> Column:
+def plu_shares(text: Column, power: list[str], legitimacy: list[str], urgency: list[str]) -> Column:
     """(P, L, U): each list's share of all hits, 0 without hits.  A term of two lists counts in both."""
     low = F.lower(text)
     hits = [reduce(lambda a, b: a + b, [literal_count(low, t) for t in terms]) for terms in (power, legitimacy, urgency)]
@@ -113,6 +113,11 @@ def low_voice(confidence: Column, method: Column, least: float = 0.12) -> Column
     return (confidence < least) & (method == "dominant_voice_proxy")
 
 
+def low_confidence(confidence: Column, method: Column, least: float = 0.12) -> Column:
+    """Whether a voice goes to the next pass: one without any signal, or a low one."""
+    return (method == "fallback_no_actor_signal") | low_voice(confidence, method, least)
+
+
 def coding_decision(a: Column, b: Column, label_a: Column, label_b: Column, voice_confidence: Column, voice_method: Column, least: float = 0.18) -> Column:
     """(label, confidence, needs_review, reason) from two readings and the settled voice: a label where the readings agree clearly, which is still for review where the voice is low."""
     read, low = two_readings(a, b, label_a, label_b, least), low_voice(voice_confidence, voice_method)

@@ -133,7 +133,10 @@ k AS (SELECT CASE WHEN chars < 500 THEN 'acquisition_or_text_exception' WHEN c >
 SELECT class, count(*) AS n FROM k GROUP BY class""")
 def evidence_classes(t: Tables) -> DataFrame:
     a, title, none = F.col("a"), F.substring("a", 1, 80), F.lit(False)
-    k = rules.evidence_class(none, F.lit(0), text.pattern_count(a, POSITIVE[0]), text.families_hit(a, NEGATIVE + POSITIVE), text.families_hit(a, CRITERIA["gamma"]), F.lit(0), none, text.families_hit(title, POSITIVE) > 0, none, F.length("a"))
+    k = rules.evidence_variant(
+        "archive", unusable=F.length("a") < 500, early=none, actors=none, forces=none, lonmin=F.lit(0), sibanye=F.lit(0), case_n=text.pattern_count(a, POSITIVE[0]), event=text.families_hit(a, NEGATIVE + POSITIVE),
+        social=text.families_hit(a, CRITERIA["gamma"]), corp=F.lit(0), title_case=text.families_hit(title, POSITIVE) > 0, title_corp=none,
+    )
     return _docs(t).groupBy(k.alias("class")).agg(F.count("*").alias("n"))
 
 

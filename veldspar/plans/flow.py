@@ -48,10 +48,10 @@ def coding_decisions(t: Tables) -> DataFrame:
     return _readings(t).join(_voices(t), "doc_id").select("lang", d.alias("d")).groupBy("lang", "d.reason", "d.needs_review").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {VOICES} SELECT method, count(*) AS n, count_if(confidence < 0.12 AND method = 'dominant_voice_proxy') AS low FROM voices GROUP BY method")
+@query(f"WITH {VOICES} SELECT method, count(*) AS n, CAST(count_if(method = 'fallback_no_actor_signal' OR (confidence < 0.12 AND method = 'dominant_voice_proxy')) AS BIGINT) AS low FROM voices GROUP BY method")
 def low_confidence_voices(t: Tables) -> DataFrame:
     """Voices for review by how they were found."""
-    return _voices(t).groupBy("method").agg(F.count("*").alias("n"), F.count_if(stance.low_voice(F.col("confidence"), F.col("method"))).alias("low"))
+    return _voices(t).groupBy("method").agg(F.count("*").alias("n"), F.count_if(stance.low_confidence(F.col("confidence"), F.col("method"))).alias("low"))
 
 
 # An estimate that SQL can make too: of each document, the smoothed share of the label among the other folds' documents of its language and length.

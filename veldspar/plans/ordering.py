@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dedup, order
+from ..operators import dedup, metrics, order
 from .registry import Tables, query
 
 
@@ -69,3 +69,22 @@ def price_percentiles(t: Tables) -> DataFrame:
 def longest_of_each(t: Tables) -> DataFrame:
     """Each source's longest document, of equally long ones that of the smallest id."""
     return dedup.canonical(t.documents.select("source", "n_chars", "doc_id"), "source", -F.col("n_chars"), "doc_id").select("source", F.col("n_chars").alias("longest"), "doc_id")
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity * l_discount) / sum(l_quantity), 8) AS mean_discount FROM lineitem GROUP BY l_returnflag")
+def weighted_mean(t: Tables) -> DataFrame:
+    return t.lineitem.groupBy("l_returnflag").agg(F.round(metrics.weighted_mean(F.col("l_discount"), F.col("l_quantity")), 8).alias("mean_discount"))
+
+
+@query("SELECT d.source, count(*) AS n, round(avg(CAST(l.toxic AS DOUBLE)), 8) AS share FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source HAVING count(*) >= 5")
+def share_having(t: Tables) -> DataFrame:
+    own = t.documents.select("doc_id", "source").join(t.labels.select("doc_id", "toxic"), "doc_id")
+    return metrics.shares(own, "source", F.col("toxic") == 1, 5).select("source", "n", F.round("share", 8).alias("share"))
+
+
+@query("""SELECT o_orderkey, place FROM (SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END, o_orderdate, o_orderkey) AS place FROM orders) x WHERE place <= 100""")
+def priority_queue(t: Tables) -> DataFrame:
+    """The first hundred orders by priority and date: each task keeps a hundred, and those are numbered."""
+    first = F.when(F.col("o_orderpriority").startswith("1"), 0).when(F.col("o_orderpriority").startswith("2"), 1).otherwise(2)
+    top = t.orders.select("o_orderkey", "o_orderdate", first.alias("p")).orderBy("p", "o_orderdate", "o_orderkey").limit(100)
+    return order.numbered(top, "p", "o_orderdate", "o_orderkey", name="place").select("o_orderkey", "place")

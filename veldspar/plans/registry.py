@@ -50,4 +50,4 @@ def both(name: str, sql: str, duck: str | None = None) -> None:
     SQL[name] = (duck or sql.replace("sha2(text, 256)", "sha256(text)")).format(**{t: t for t in TABLES})
 
 
-from . import analysis, contents, corpus, flow, ordering, pairs, relational, screening  # noqa: E402, F401  they register their queries
+from . import analysis, contents, corpus, flow, ledgers, ordering, pairs, relational, screening  # noqa: E402, F401  they register their queries

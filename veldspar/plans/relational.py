@@ -55,9 +55,7 @@ both("group_count", "SELECT lang, count(*) AS n FROM {documents} GROUP BY lang")
 both("two_key_count", "SELECT lang, source, count(*) AS n FROM {documents} GROUP BY lang, source")
 both("conditional_counts", "SELECT count_if(quality = 1) AS good, count_if(toxic = 1) AS toxic, count_if(quality = 1 AND toxic = 0) AS clean FROM {labels}")
 both("group_mean", "SELECT event_type, round(avg(value), 6) AS mean_value FROM {events} GROUP BY event_type")
-both("weighted_mean", "SELECT l_returnflag, round(sum(l_quantity * l_discount) / sum(l_quantity), 8) AS mean_discount FROM {lineitem} GROUP BY l_returnflag")
 both("label_share", "SELECT toxic, round(avg(CAST(quality AS DOUBLE)), 8) AS share FROM {labels} GROUP BY toxic")
-both("share_having", "SELECT d.source, count(*) AS n, round(avg(CAST(l.toxic AS DOUBLE)), 8) AS share FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source HAVING count(*) >= 5")
 both("split_by_dimension", "SELECT d.lang, count_if(l.toxic = 0) AS resistant, count_if(l.toxic = 1) AS pro FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.lang")
 both("distinct_counts", "SELECT count(DISTINCT sha2(text, 256)) AS texts, count(DISTINCT source) AS sources FROM {documents}")
 both("sum_of_sizes", "SELECT lang, CAST(sum(coalesce(try_cast(CAST(n_chars AS VARCHAR(20)) AS BIGINT), 0)) AS BIGINT) AS chars FROM {documents} GROUP BY lang")
@@ -104,10 +102,6 @@ both("context_rows", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id
 
 # --- order and limits --------------------------------------------------------------------------------------------------------------------
 both("mixed_order", "SELECT n_name, n_regionkey, row_number() OVER (ORDER BY n_regionkey DESC, n_name ASC) AS place FROM {nation}")
-both(
-    "priority_queue",
-    """SELECT o_orderkey, place FROM (SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END, o_orderdate, o_orderkey) AS place FROM {orders}) x WHERE place <= 100""",
-)
 both("first_of_each", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {events}) x WHERE rn <= 3")
 
 # --- sets --------------------------------------------------------------------------------------------------------------------------------
