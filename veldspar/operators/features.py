@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum_tokens
+from ..tables import shared_dir, written
 
 
 def grams(df: DataFrame, text_col: str, stop: list[str] | None = None, bigrams: bool = False) -> DataFrame:
@@ -30,7 +31,8 @@ def terms(df: DataFrame, id_col: str, text_col: str, stop: list[str] | None = No
 
 
 def tfidf(tf: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.9, features: int | None = 500) -> DataFrame:
-    """(id, term, w): (1 + ln tf)(ln((1 + n)/(1 + df)) + 1), rows of unit length, for the most used terms (ties by name)."""
+    """(id, term, w): (1 + ln tf)(ln((1 + n)/(1 + df)) + 1), rows of unit length, for the most used terms (ties by name).  Counts are written once, as they are read for statistics and for weights."""
+    tf = written(tf, shared_dir(tf.sparkSession), "tf")
     df_ = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     if features:
         df_ = df_.orderBy(F.desc("total"), "term").limit(features)
