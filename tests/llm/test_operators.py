@@ -162,6 +162,44 @@ def test_escape_and_spans(turns):
         assert not any(c in chat.escape(t.text) for c in chat.CONTROL)
 
 
+def _thoughts(turns):
+    """Thoughts are shown before the last assistant turn only."""
+    last = max((k for k, t in enumerate(turns) if t.role == "assistant"), default=-1)
+    return "".join(f"[{t.role}]" + "<think>xx</think>" * (k == last) + t.text for k, t in enumerate(turns))
+
+
+def _latest(turns):
+    """Older turns are dropped, beyond two."""
+    return "...".join([""] * (len(turns) > 2) + ["|".join(t.text for t in turns[-2:])])
+
+
+def _counted(turns):
+    """The number of turns comes first, and equal texts are written once."""
+    return f"{len(turns)}:" + "".join(f"<{t.text}>" for k, t in enumerate(turns) if t.text not in [x.text for x in turns[:k]])
+
+
+@pytest.mark.parametrize("template", [_thoughts, _latest, _counted])
+def test_spans_after_rewriting_are_those_of_texts_or_none(template):
+    rng = random.Random(3)
+    said = [[("user", "hello"), ("assistant", "first answer"), ("user", "again"), ("assistant", "second")]]
+    said += [[(rng.choice(["user", "assistant"]), "".join(rng.choice("ab:<|.x") for _ in range(rng.randint(0, 5)))) for _ in range(rng.randint(1, 7))] for _ in range(200)]
+    placed = 0
+    for turns in said:
+        turns = [chat.Turn(*t) for t in turns]
+        text, found = chat.spans(turns, template)
+        assert text == template(turns)
+        for k, (t, s) in enumerate(zip(turns, found)):
+            assert s.text_start == s.text_end == -1 or text[s.text_start : s.text_end] == t.text
+            # where the text doesn't decide the form, a turn that stands in the output is found
+            if template is not _counted:
+                assert (s.text_start >= 0) == (template is _thoughts or k >= len(turns) - 2)
+            placed += s.text_start >= 0 and s.rewritten
+    assert placed > 20
+    if template is _thoughts:
+        _, found = chat.spans([chat.Turn(*t) for t in said[0]], template)
+        assert [s.rewritten for s in found] == [False, True, True, False] and [s.rewrites for s in found] == [False, False, False, True]
+
+
 def test_rewritten_history_is_found():
     def trims(turns):
         return "".join(f"<{t.role}>" + (t.text if k == len(turns) - 1 else t.text[:1]) for k, t in enumerate(turns))
@@ -197,7 +235,7 @@ def test_long_conversations_are_rendered_from_their_first_turn(spark):
     row = chat.format_chats(df, numbers).collect()
     text, spans = chat.spans(turns, numbers)
     assert len(row) == 1 and row[0].formatted == text == numbers(turns)
-    assert [(x.start, x.end, x.text_start, x.text_end, x.rewrites) for x in row[0].spans] == [tuple(s) for s in spans]
+    assert [(x.start, x.end, x.text_start, x.text_end, x.rewrites, x.rewritten) for x in row[0].spans] == [tuple(s) for s in spans]
     assert all(x.rewrites for x in row[0].spans[3:]) and chat.format_chats(df).count() == 3
 
 

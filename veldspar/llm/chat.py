@@ -26,13 +26,18 @@ class Turn(NamedTuple):
 
 
 class Span(NamedTuple):
-    """Places in the formatted text; ``text_start`` is -1 where the text can't be located."""
+    """Places in the formatted text; ``text_start`` is -1 where the text can't be located.
+
+    ``rewrites``: with this turn the template changed what it had written before; ``rewritten``: a later turn changed this one's part, whose span then ends with its text in the final output, and
+    begins there too unless what stands before it is unchanged; -1 where it can't be told.
+    """
 
     start: int
     end: int
     text_start: int
     text_end: int
     rewrites: bool
+    rewritten: bool = False
 
 
 Template = Callable[[list[Turn]], str]
@@ -91,8 +96,19 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
+def _located(after: str, probe: str, start: int = 0) -> tuple[int, int]:
+    """Where ``after`` has what ``probe``, the output with a probe for a text, has the probe for; -1 if that can't be told."""
+    at = probe.find(PROBE, start)
+    if at >= 0 and probe.find(PROBE, at + 1) < 0 and len(after) >= len(probe) - 1 and after.startswith(probe[:at]) and after.endswith(probe[at + 1 :]):
+        return at, len(after) - (len(probe) - at - 1)
+    return -1, -1
+
+
 def spans(turns: list[Turn], template: Template = marked, context: list[Turn] | None = None) -> tuple[str, list[Span]]:
-    """The formatted text of ``turns`` after ``context``, and each turn's span in it."""
+    """The formatted text of ``turns`` after ``context``, and each turn's span in it.
+
+    Where a turn rewrites history, all turns are located again in the final output, by one more call with a probe for each: also an output that begins as the one before may do so by chance.
+    """
     context = list(context or [])
     base = before = template(context)
     found: list[Span] = []
@@ -101,19 +117,24 @@ def spans(turns: list[Turn], template: Template = marked, context: list[Turn] |
         after = template([*so_far, turn])
         rewrites = not after.startswith(before)
         start = _common(before, after) if rewrites else len(before)
+        if rewrites:
+            found = [s._replace(rewritten=True, start=s.start if s.start <= start else -1) if s.end > start else s for s in found]
         probe = template([*so_far, Turn(turn.role, PROBE)])
-        at, text_start, text_end = probe.find(PROBE, start), -1, -1
-        if at >= 0 and probe.find(PROBE, at + 1) < 0 and after.startswith(probe[:at]) and after.endswith(probe[at + 1 :]) and len(after) >= len(probe) - 1:
-            text_start, text_end = at, len(after) - (len(probe) - at - 1)
-        found.append(Span(start, len(after), text_start, text_end, rewrites))
+        found.append(Span(start, len(after), *_located(after, probe, start if after.startswith(probe[:start]) else 0), rewrites))
         before = after
+    if any(s.rewrites for s in found):
+        for k, s in enumerate(found):
+            place = _located(before, template([*context, *turns[:k], Turn(turns[k].role, PROBE), *turns[k + 1 :]]))
+            if s.rewritten or place != (s.text_start, s.text_end):
+                begin = s.start if s.rewritten and 0 <= s.start <= place[0] else place[0]  # what stands before it is as it was
+                found[k] = s._replace(start=begin, end=place[1], text_start=place[0], text_end=place[1], rewritten=True)
     cut = len(base) if before.startswith(base) else 0
     move = lambda x: max(0, x - cut) if x >= 0 else x
-    return before[cut:], [Span(move(s.start), move(s.end), move(s.text_start), move(s.text_end), s.rewrites) for s in found]
+    return before[cut:], [s._replace(start=move(s.start), end=move(s.end), text_start=move(s.text_start), text_end=move(s.text_end)) for s in found]
 
 
-_SPAN = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("loss", pa.bool_()), ("rewrites", pa.bool_())])
-_SCHEMA = "_id long, segment long, formatted string, spans array<struct<turn:long,role:string,start:long,end:long,text_start:long,text_end:long,loss:boolean,rewrites:boolean>>"
+_SPAN = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("loss", pa.bool_()), ("rewrites", pa.bool_()), ("rewritten", pa.bool_())])
+_SCHEMA = "_id long, segment long, formatted string, spans array<struct<turn:long,role:string,start:long,end:long,text_start:long,text_end:long,loss:boolean,rewrites:boolean,rewritten:boolean>>"
 _NEW = object()
 
 
