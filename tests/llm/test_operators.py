@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on awkward tables: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -746,3 +747,48 @@ def test_repeated_rows_of_long_texts_are_one_document(spark):
 def test_block_holds_whole_documents():
     block = one_block(["ab", "cd"])
     assert isinstance(block, Block) and block.bytes_of(1) == b"cd"
+
+
+def test_decoding_equals_all_paths():
+    """The Viterbi reading has the score of the best of all paths through the lattice."""
+    rng = np.random.default_rng(5)
+    model = np.log(rng.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE))).astype(np.float32)
+    draw = random.Random(6)
+
+    def score(path):
+        a = b = 0
+        total = sum(cost for _, cost in path)
+        for c in "".join(text for text, _ in path):
+            z = 0 if c == " " else toxicity.INDEX.get(c, toxicity.SIZE - 1)
+            total, a, b = total + float(model[a, b, z]), b, z
+        return total + float(model[a, b, 0])
+
+    for _ in range(60):
+        if draw.random() < 0.5:
+            places = toxicity.lattice("".join(draw.choice("ab1@$0.-_!7s") for _ in range(draw.randint(1, 7))))
+        else:
+            n = draw.randint(2, 5)
+            places = toxicity.lattice_apart([draw.choice("abs1") for _ in range(n)], [draw.random() < 0.4 for _ in range(n)])
+        paths = list(itertools.product(*places))
+        best = max(map(score, paths))
+        said = {" ".join("".join(text for text, _ in p).split()) for p in paths if score(p) >= best - 1e-6}
+        assert toxicity.decode(places, model) in said
+
+
+def test_scores_are_recomputed_by_hand(spark):
+    """The score is the logistic of the fitted weights over the restored words that a text has; ids of many rows are fitted once."""
+    rows = [(i, "you idiot" if i % 4 == 0 else "a fine day and a walk") for i in range(40)] + [(100, "you 1d1ot today")] * 30 + [(100, "you idiot again")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)] + [(100, 1)], "doc_id long, toxic int")
+    model, names, evidence, weights = toxicity.fit(docs, labels)
+    assert "idiot" in names
+    for text in ("you idiot", "a fine day", "1d1ot", "", "idiot idiot walk"):
+        counts = np.zeros((1, len(names)))
+        for token in text.split():
+            for word in toxicity.restore(token, model).split(" "):
+                for f in toxicity.features_of(word):
+                    if f in names:
+                        counts[0, names[f]] += 1
+        z = float((toxicity._design(counts, evidence) @ weights[:-1] + weights[-1])[0])
+        got = float(toxicity._probability(one_block([text]), model, names, evidence, weights)[0])
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)

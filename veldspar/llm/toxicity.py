@@ -241,7 +241,7 @@ def _tally(model: np.ndarray):
 def _matrix(model: np.ndarray, names: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([*take(block, ["_y"]), pa.array([row.astype(np.float32).tobytes() for row in _counts(block, model, names)], pa.binary())], names=["_y", "row"])
+            yield pa.RecordBatch.from_arrays([*take(block, ["_k", "_y"]), pa.array([row.astype(np.float32).tobytes() for row in _counts(block, model, names)], pa.binary())], names=["_k", "_y", "row"])
 
     return run
 
@@ -283,8 +283,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col) != 1)).select(F.col(id_col).alias("_k"), F.col("toxic").cast("int").alias("_y"))
     chosen = chosen.groupBy("_k").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(sample)
     chosen = docs.sparkSession.createDataFrame(chosen.toArrow(), chosen.schema)  # `sample` pairs of numbers
-    rows = docs.select(F.col(id_col).alias("_k"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), "_k").select("_y", "_text")
-    tally = rows.mapInArrow(_tally(model), "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("_k"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), "_k").select("_k", "_y", "_text")
+    tally = rows.select("_y", "_text").mapInArrow(_tally(model), "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     size = {bool(r["_y"]): r["count"] for r in chosen.groupBy("_y").count().collect()}
     t, o = size.get(True, 0), size.get(False, 0)
     if not t or not o:
@@ -294,7 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tally = tally.withColumn("evidence", F.log(rate))
     best = tally.where((F.col("a") >= max(4, math.ceil(t / 500))) & (rate >= 2.5)).orderBy(F.desc(gain), "feature").limit(FEATURES).collect()
     names = {r.feature: k for k, r in enumerate(best)}
-    got = rows.mapInArrow(_matrix(model, names), "_y int, row binary").collect()
+    # one row an id, so that the driver gets ``sample`` rows at most, however many rows an id has
+    got = rows.mapInArrow(_matrix(model, names), f"_k {kind}, _y int, row binary").groupBy("_k").agg(F.max("_y").alias("_y"), F.min("row").alias("row")).collect()
     evidence = np.array([r.evidence for r in best])
     x = _design(np.array([np.frombuffer(r.row, np.float32) for r in got], np.float64).reshape(len(got), len(names)), evidence)
     return model, names, evidence, fit_logistic(x, np.array([float(r["_y"] > 0) for r in got]))
@@ -317,7 +319,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(id_col, score double), one row per row of ``docs``; the text alone decides the score.
 
     ``labels`` has id_col and ``toxic``; rows with a null in either, or whose id's crc32 leaves 1 modulo 3, aren't learnt from; of several labels of an id the
-    largest counts.  Null text counts as empty; texts without words get the constant's score.  Without labels of both kinds all scores are alike.
+    largest counts, and of several texts of an id one is fitted.  Null text counts as empty; texts without words get the constant's score.  Without labels of both kinds all scores are alike.
     Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
