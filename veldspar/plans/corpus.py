@@ -50,7 +50,7 @@ def text_measures(t: Tables) -> DataFrame:
 @query(f"SELECT doc_id, CAST(len({SENTENCES_SQL}) AS BIGINT) AS sentences, CAST(coalesce(list_sum(list_transform({SENTENCES_SQL}, lambda z: length(z))), 0) AS BIGINT) AS chars FROM documents")
 def sentence_units(t: Tables) -> DataFrame:
     s = text.sentences(F.col("text"))
-    return t.documents.select("doc_id", F.size(s).cast("long").alias("sentences"), F.aggregate(s, F.lit(0).cast("long"), lambda a, z: a + F.length(z)).alias("chars"))
+    return t.documents.select("doc_id", F.size(s).cast("long").alias("sentences"), F.coalesce(F.aggregate(s, F.lit(0).cast("long"), lambda a, z: a + F.length(z)), F.lit(0)).alias("chars"))
 
 
 @query("""SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 AS BIGINT) AS the_count, CAST((length(lower(text)) - length(replace(lower(text), 'est', ''))) / 3 AS BIGINT) AS est_count FROM documents""")
