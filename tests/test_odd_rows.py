@@ -1,9 +1,14 @@
 """Queries against their SQL, or against brute force, on rows that the supplied tables lack."""
 
+import random
+from difflib import SequenceMatcher
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from veldspar.functions import similarity
+from veldspar.operators import dedup
 from veldspar.plans import registry
 
 
@@ -32,3 +37,15 @@ def test_sentence_units_of_digits_spaces_and_control_characters(spark, tmp_path)
     got, want = both(spark, "sentence_units", documents(tmp_path, texts))
     assert got == want
     assert got[0] == (0, 2, 51)
+
+
+
+def test_block_jaccard_of_several_cells_and_empty_sets(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SETS", 4)
+    r = random.Random(6)
+    rows = [(k, r.choice(["x", "y", None]), r.choice([None, [], *([r.sample(range(12), r.randrange(1, 6)) for _ in range(6)])])) for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, block string, t array<long>")
+    want = {(a, b): len({*s} & {*u}) / len({*s} | {*u}) if s or u else 1.0 for a, p, s in rows for b, q, u in rows if a < b and p == q and None not in (p, s, u)}
+    assert {(x.a, x.b): x.jaccard for x in dedup.block_jaccard(df, "id", "block", "t").collect()} == want
+    some = {(a, b): v for (a, b), v in want.items() if v >= 0.25 and rows[a][2]}
+    assert {(x.a, x.b): x.jaccard for x in dedup.block_jaccard(df, "id", "block", "t", 0.25).collect()} == some

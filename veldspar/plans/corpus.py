@@ -124,6 +124,12 @@ def cross_phase_pairs(t: Tables) -> DataFrame:
     return dedup.or_key_pairs(s.where("doc_id % 2 = 0"), s.where("doc_id % 2 = 1"), "doc_id", {"same_text": ["h"], "same_title_source": ["title", "source"]})
 
 
+def _titled(t: Tables) -> DataFrame:
+    """Documents with their title key, and the block of its beginning and their language; null languages and texts are in no block."""
+    d = t.documents.select("doc_id", "lang", "n_chars", "text", text.title_key(F.substring("text", 1, 80)).alias("title"))
+    return d.withColumn("block", F.concat("lang", F.lit("|"), F.substring("title", 1, 12)))
+
+
 def _title_pairs(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "source", "lang", text.title_key(F.substring("text", 1, 80)).alias("title"), F.col("n_chars"))
     d = d.withColumn("block", F.concat_ws("|", "lang", F.substring("title", 1, 12)))
@@ -134,7 +140,8 @@ def _title_pairs(t: Tables) -> DataFrame:
 WITH d AS (SELECT doc_id, lang, n_chars, trim(regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents)
 SELECT a.doc_id AS id_a, b.doc_id AS id_b, abs(a.n_chars - b.n_chars) AS difference FROM d a JOIN d b ON a.lang = b.lang AND substring(a.title, 1, 12) = substring(b.title, 1, 12) AND a.doc_id < b.doc_id WHERE a.title = b.title""")
 def blocked_title_pairs(t: Tables) -> DataFrame:
-    return _title_pairs(t).where("title_a = title_b").select(F.col("doc_id_a").alias("id_a"), F.col("doc_id_b").alias("id_b"), F.abs(F.col("n_chars_a") - F.col("n_chars_b")).alias("difference"))
+    p = dedup.blocked_pairs(_titled(t), "doc_id", "block", "title", "n_chars")
+    return p.where("title_a = title_b").select(F.col("doc_id_a").alias("id_a"), F.col("doc_id_b").alias("id_b"), F.abs(F.col("n_chars_a") - F.col("n_chars_b")).alias("difference"))
 
 
 @query()
@@ -171,9 +178,8 @@ WITH d AS (SELECT doc_id, lang, substring(trim(regexp_replace(lower(substring(te
 SELECT a.doc_id AS id_a, b.doc_id AS id_b, round(CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END, 6) AS jaccard FROM d a JOIN d b ON a.lang = b.lang AND a.b = b.b AND a.doc_id < b.doc_id""")
 def blocked_token_jaccard(t: Tables) -> DataFrame:
     """Token-set similarity inside blocks of equal language and title beginning."""
-    d = t.documents.select("doc_id", F.concat_ws("|", "lang", F.substring(text.title_key(F.substring("text", 1, 80)), 1, 12)).alias("block"), F.transform(F.array_distinct(similarity.without(text.alnum_tokens(F.col("text")), STOP)), lambda x: F.xxhash64(x)).alias("t"))
-    p = dedup.blocked_pairs(d, "doc_id", "block", "t")
-    return p.select(F.col("doc_id_a").alias("id_a"), F.col("doc_id_b").alias("id_b"), F.round(similarity.hashed_jaccard(F.col("t_a"), F.col("t_b")), 6).alias("jaccard"))
+    d = _titled(t).select("doc_id", "block", F.transform(similarity.without(text.alnum_tokens(F.col("text")), STOP), lambda x: F.xxhash64(x)).alias("t"))
+    return dedup.block_jaccard(d, "doc_id", "block", "t").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 TFIDF_SQL = """
