@@ -40,6 +40,33 @@ def test_sentence_units_of_digits_spaces_and_control_characters(spark, tmp_path)
 
 
 
+def test_sequence_ratios_equal_difflib():
+    r = random.Random(4)
+    some = ["", "a", "é" * 300 + "abc" * 100, "ab" * 200, "\ud800x", "\U0001f600x\U0001f600y", "".join(chr(300 + i % 400) for i in range(900))]
+    pairs = [(x, y) for x in some for y in some] + [tuple("".join(r.choice("abc ") for _ in range(r.randrange(40))) for _ in "ab") for _ in range(300)]
+    want = [SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in pairs]
+    a, b = zip(*pairs)
+    assert list(similarity.sequence_ratios(a, b)) == want
+    assert list(similarity.sequence_ratios(a, b, 0.6)) == [w if w >= 0.6 else 0 for w in want]
+
+
+
+def test_title_pairs_of_several_cells(spark, monkeypatch):
+    """Titles that are repeated, in blocks of many cells; pairs go by the ids of rows, not of titles."""
+    monkeypatch.setattr(dedup, "TITLES", 3)
+    r = random.Random(5)
+    titles = ["".join(r.choice("ab ") for _ in range(r.randrange(3, 9))) for _ in range(12)]
+    rows = [(k, r.choice(["x", "y", None]), r.choice([*titles, None])) for k in range(90)]
+    got = {(x.a, x.b): x.ratio for x in dedup.title_pairs(spark.createDataFrame(rows, "id long, block string, title string"), "id", "block", "title", 0.6).collect()}
+    want = {}
+    for a, p, x in rows:
+        for b, q, y in rows:
+            if a < b and p == q and None not in (p, x, y) and (ratio := SequenceMatcher(None, x, y, autojunk=False).ratio()) >= 0.6:
+                want[a, b] = ratio
+    assert got == want and any(v < 1 for v in want.values())
+
+
+
 def test_block_jaccard_of_several_cells_and_empty_sets(spark, monkeypatch):
     monkeypatch.setattr(dedup, "SETS", 4)
     r = random.Random(6)

@@ -147,8 +147,8 @@ def blocked_title_pairs(t: Tables) -> DataFrame:
 @query()
 def title_ratio_pairs(t: Tables) -> DataFrame:
     """Character similarity of blocked titles: Ratcliff-Obershelp has no SQL form."""
-    p = _title_pairs(t).where(similarity.may_reach(F.col("title_a"), F.col("title_b"), 0.6)).withColumn("ratio", similarity.sequence_ratio("title_a", "title_b"))
-    return p.select(F.col("doc_id_a").alias("id_a"), F.col("doc_id_b").alias("id_b"), F.round("ratio", 6).alias("ratio"), rules.similarity_signal(F.col("ratio"), F.lit(0.0)).alias("signal")).where("ratio >= 0.6")
+    p = dedup.title_pairs(_titled(t), "doc_id", "block", "title", 0.6)
+    return p.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("ratio", 6).alias("ratio"), rules.similarity_signal(F.col("ratio"), F.lit(0.0)).alias("signal"))
 
 
 @query()
