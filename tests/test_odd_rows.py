@@ -39,7 +39,6 @@ def test_sentence_units_of_digits_spaces_and_control_characters(spark, tmp_path)
     assert got[0] == (0, 2, 51)
 
 
-
 def test_sequence_ratios_equal_difflib():
     r = random.Random(4)
     some = ["", "a", "é" * 300 + "abc" * 100, "ab" * 200, "\ud800x", "\U0001f600x\U0001f600y", "".join(chr(300 + i % 400) for i in range(900))]
@@ -50,7 +49,6 @@ def test_sequence_ratios_equal_difflib():
     assert list(similarity.sequence_ratios(a, b, 0.6)) == [w if w >= 0.6 else 0 for w in want]
 
 
-
 def test_title_pairs_of_several_cells(spark, monkeypatch):
     """Titles that are repeated, in blocks of many cells; pairs go by the ids of rows, not of titles."""
     monkeypatch.setattr(dedup, "TITLES", 3)
@@ -66,7 +64,6 @@ def test_title_pairs_of_several_cells(spark, monkeypatch):
     assert got == want and any(v < 1 for v in want.values())
 
 
-
 def test_block_jaccard_of_several_cells_and_empty_sets(spark, monkeypatch):
     monkeypatch.setattr(dedup, "SETS", 4)
     r = random.Random(6)
@@ -76,3 +73,13 @@ def test_block_jaccard_of_several_cells_and_empty_sets(spark, monkeypatch):
     assert {(x.a, x.b): x.jaccard for x in dedup.block_jaccard(df, "id", "block", "t").collect()} == want
     some = {(a, b): v for (a, b), v in want.items() if v >= 0.25 and rows[a][2]}
     assert {(x.a, x.b): x.jaccard for x in dedup.block_jaccard(df, "id", "block", "t", 0.25).collect()} == some
+
+
+def test_blocks_without_a_language_or_text_have_no_pairs(spark, tmp_path):
+    texts = ["The same beginning of a text, one", "The same beginning of a text, two", None, None, "", "the and", "The same beginning of a text, one", "The same beginning of a text, three"]
+    folder = documents(tmp_path, texts, ["en", "en", "en", "en", "de", "de", None, None])
+    for name in ("blocked_token_jaccard", "blocked_title_pairs"):
+        got, want = both(spark, name, folder)
+        assert got == want
+    assert {(r.a, r.b) for r in registry.QUERIES["pair_signals"](spark, folder).collect()} == {(0, 1)}
+    assert {(r.id_a, r.id_b) for r in registry.QUERIES["title_ratio_pairs"](spark, folder).collect()} == {(0, 1)}

@@ -130,12 +130,6 @@ def _titled(t: Tables) -> DataFrame:
     return d.withColumn("block", F.concat("lang", F.lit("|"), F.substring("title", 1, 12)))
 
 
-def _title_pairs(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", "source", "lang", text.title_key(F.substring("text", 1, 80)).alias("title"), F.col("n_chars"))
-    d = d.withColumn("block", F.concat_ws("|", "lang", F.substring("title", 1, 12)))
-    return dedup.blocked_pairs(d, "doc_id", "block", "title", "n_chars")
-
-
 @query(r"""
 WITH d AS (SELECT doc_id, lang, n_chars, trim(regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents)
 SELECT a.doc_id AS id_a, b.doc_id AS id_b, abs(a.n_chars - b.n_chars) AS difference FROM d a JOIN d b ON a.lang = b.lang AND substring(a.title, 1, 12) = substring(b.title, 1, 12) AND a.doc_id < b.doc_id WHERE a.title = b.title""")
@@ -157,11 +151,10 @@ def pair_signals(t: Tables) -> DataFrame:
 
     Blocks are languages with the first 12 characters of the title key (of the first 80 characters); a likeness below its bound is null.
     """
-    titles = _title_pairs(t).where(similarity.may_reach(F.col("title_a"), F.col("title_b"), 0.8)).withColumn("ratio", similarity.sequence_ratio("title_a", "title_b")).where("ratio >= 0.8")
-    block = F.concat_ws("|", "lang", F.substring(text.title_key(F.substring("text", 1, 80)), 1, 12))
-    d = t.documents.select("doc_id", block.alias("block"), text.alnum_tokens(F.col("text")).alias("w")).select("doc_id", "block", similarity.shingles(F.col("w")).alias("s"))
-    shared = dedup.token_pairs(d, "doc_id", "block", "s", 0.25)
-    both = titles.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "ratio").join(shared, ["a", "b"], "full")
+    titles = dedup.title_pairs(_titled(t), "doc_id", "block", "title", 0.8)
+    d = _titled(t).select("doc_id", "block", text.alnum_tokens(F.col("text")).alias("w")).select("doc_id", "block", similarity.shingles(F.col("w")).alias("s"))
+    shared = dedup.block_jaccard(d, "doc_id", "block", "s", 0.25)
+    both = titles.join(shared, ["a", "b"], "full")
     signal = rules.similarity_signal(F.coalesce("ratio", F.lit(0.0)), F.coalesce("jaccard", F.lit(0.0)))
     return both.select("a", "b", F.round("ratio", 6).alias("ratio"), F.round("jaccard", 6).alias("jaccard"), signal.alias("signal"))
 
