@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from veldspar.functions import similarity
-from veldspar.operators import dedup, vectors
+from veldspar.operators import dedup, features, vectors
 from veldspar.plans import registry
 
 
@@ -100,3 +100,13 @@ def test_block_pairs_of_several_blocks_equal_brute_force(spark, monkeypatch, tmp
     got = [(p.a, p.b) for p in vectors.block_pairs(df, f"file://{tmp_path}", 0.8, 1).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
     assert vectors.block_pairs(df.where("id < 0"), f"file://{tmp_path}/none", 0.8).count() == 0
+
+
+def test_terms_without_rare_ones_weigh_the_same(spark):
+    """Buckets leave out pairs that are too rare, and nothing of the most used terms; ties and terms of nearly all rows included."""
+    r = random.Random(8)
+    rows = [(k, " ".join(r.choices("abcdefghijklmnop", range(1, 17), k=12)) + " all") for k in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    whole, part = (features.terms(df, "id", "text", bigrams=True, top=top) for top in (None, 9))
+    weights = [{(x.id, x.term): round(x.w, 9) for x in features.tfidf(tf, len(rows), features=9).collect()} for tf in (whole, part)]
+    assert weights[0] == weights[1] and part.count() < whole.count() / 2

@@ -24,10 +24,30 @@ def grams(df: DataFrame, text_col: str, stop: list[str] | None = None, bigrams:
     return df.withColumn("t", F.concat("t", F.zip_with(F.slice("t", 1, rest), F.slice("t", 2, rest), lambda a, b: F.concat_ws(" ", a, b)))) if bigrams else df
 
 
-def terms(df: DataFrame, id_col: str, text_col: str, stop: list[str] | None = None, bigrams: bool = False) -> DataFrame:
-    """(id, term, tf).  Exploded terms are counted before the shuffle."""
+#: Buckets of terms by hash, by whose totals rare terms are left out.
+BUCKETS = 1 << 18
+
+
+def terms(df: DataFrame, id_col: str, text_col: str, stop: list[str] | None = None, bigrams: bool = False, top: int | None = None, max_df: float = 0.9) -> DataFrame:
+    """(id, term, tf).  Exploded terms are counted before the shuffle.
+
+    With ``top``, terms that can't be among so many of the greatest totals (``tfidf``) are left out: the words alone give a total that the last of them has at least,
+    and a bucket of hashes whose terms have less in all holds none.  All texts are counted; each count that is given is whole.
+    """
     rows = grams(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", stop, bigrams)
-    return rows.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    each = rows.select("id", F.explode("t").alias("term"))
+    if top:
+        folder = shared_dir(df.sparkSession)
+        words = grams(df.select(F.col(text_col).alias("text")), "text", stop).select("t")
+        totals = words.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("total"))
+        seen = words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        own = totals.join(seen, "term").where((F.col("df") >= 2) & (F.col("df") <= max_df * df.count()))
+        last = own.orderBy(F.desc("total")).select("total").limit(top).agg(F.min("total").alias("total"), F.count("*").alias("n")).first()
+        if last.n == top:
+            bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")
+            full = written(each.groupBy(bucket).agg(F.count("*").alias("total")).where(F.col("total") >= last.total).select("bucket"), folder, "buckets")
+            each = each.withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi").select("id", "term")
+    return each.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(tf: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.9, features: int | None = 500) -> DataFrame:
