@@ -6,9 +6,10 @@ from difflib import SequenceMatcher
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from veldspar.functions import similarity
-from veldspar.operators import dedup, features, vectors
+from veldspar.operators import dedup, features, shingles, vectors
 from veldspar.plans import registry
 
 
@@ -110,3 +111,38 @@ def test_terms_without_rare_ones_weigh_the_same(spark):
     whole, part = (features.terms(df, "id", "text", bigrams=True, top=top) for top in (None, 9))
     weights = [{(x.id, x.term): round(x.w, 9) for x in features.tfidf(tf, len(rows), features=9).collect()} for tf in (whole, part)]
     assert weights[0] == weights[1] and part.count() < whole.count() / 2
+
+
+def test_shingle_pairs_of_divided_blocks_equal_the_sql(spark, monkeypatch, tmp_path):
+    """Blocks in several parts, groups and cells, copies, shared lines, short and odd texts; texts without a language are no pairs."""
+    for name, value in (("HEAVY", 400), ("GROUP", 900), ("_BYTES", 300)):
+        monkeypatch.setattr(shingles, name, value)
+    monkeypatch.setattr(dedup, "SETS", 6)
+    monkeypatch.setattr(dedup, "RARE", 9)
+    monkeypatch.setattr(dedup, "PAIRS", 7)
+    r, texts = random.Random(8), [None, "", "The", "the end", "THE END!", "été the", "the é two été", "the end", "the   end"]
+    for k in range(90):
+        words = [r.choice("abcdefgh") + str(r.randrange(9)) for _ in range(r.choice([3, 4, 5, 6, 20, 60]))]
+        if k % 3 and len(texts) > 20:
+            words = r.choice(texts[12:20]).split()[1:]
+            for _ in range(r.randrange(3)):
+                words[r.randrange(len(words))] = "x" + str(k)
+        texts.append(" ".join([r.choice(["the", "The", "a"]), *words, *("one line that all of some have in common".split() if k % 5 == 0 else [])]))
+    texts += [texts[12], "same text of no language at all"] * 2
+    folder = documents(tmp_path, texts, [*(r.choice(["en", "en", "en", "de"]) for _ in texts[:-4]), None, None, None, None])
+    got, want = both(spark, "shingle_pairs", folder)
+    assert got == want and len(got) > 15
+
+
+def test_only_sets_that_may_have_a_pair_are_dealt_whole(spark):
+    texts = [(k, f"same start {' '.join(f'w{k}x{j}' for j in range(40))}") for k in range(200)] + [(200, "same start one two three four five six"), (201, "same start one two three four five six seven")]
+    df = spark.createDataFrame(texts, "id long, t string")
+    held = []
+    whole = shingles.block_jaccard
+    try:
+        shingles.block_jaccard = lambda d, *a: held.append({x.id for x in d.collect()}) or whole(d, *a)
+        got = shingles.shingle_jaccard(df, "id", F.lit("b"), "t", 0.6).collect()
+    finally:
+        shingles.block_jaccard = whole
+    assert [(x.a, x.b, round(x.jaccard, 6)) for x in got] == [(200, 201, 0.8)]
+    assert {200, 201} <= held[0] and len(held[0]) < 10

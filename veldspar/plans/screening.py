@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import similarity, text
+from ..functions import text
 from ..functions.lexicons import AUTHORS, BASE_WEIGHTS, RELEVANCE_RULES, STOP_WORDS, VARIANTS
-from ..operators import dedup, features, indices, metrics, rules, stance
+from ..operators import dedup, features, indices, metrics, rules, shingles, stance
 from .analysis import _CRITS, _G, _LANGS, _W, _acceptance
 from .corpus import TITLE_SQL
 from .registry import Tables, both, query
@@ -246,10 +246,9 @@ s AS (SELECT doc_id, lang || '|' || coalesce(t[1], '') AS b, list_distinct(CASE
 
 @query(_SHINGLED + " SELECT a.doc_id AS a, b.doc_id AS b, round(CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM s a JOIN s b ON a.b = b.b AND a.doc_id < b.doc_id WHERE len(a.s) > 0 AND len(b.s) > 0 AND CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.6")
 def shingle_pairs(t: Tables) -> DataFrame:
-    """Pairs of equal language and first word whose five-word shingles are alike by 0.6 or more, by prefix filtering."""
-    tok = text.alnum_tokens(F.col("text"))
-    d = t.documents.select("doc_id", "lang", tok.alias("t")).select("doc_id", F.concat_ws("|", "lang", F.coalesce(F.try_element_at("t", F.lit(1)), F.lit(""))).alias("block"), similarity.shingles(F.col("t")).alias("s"))
-    return dedup.token_pairs(d, "doc_id", "block", "s", 0.6).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of equal language and first word whose five-word shingles are alike by 0.6 or more; those of texts without a language are no pairs."""
+    block = F.concat("lang", F.lit("|"), F.coalesce(F.regexp_extract(F.lower("text"), "[a-z0-9]+", 0), F.lit("")))
+    return shingles.shingle_jaccard(t.documents, "doc_id", block, "text", 0.6).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 both("map_defaults", "SELECT event_type, coalesce(try_element_at(map('view', 1, 'click', 2), event_type), 0) AS code, count(*) AS n FROM {events} GROUP BY event_type", "SELECT event_type, coalesce(MAP {{'view': 1, 'click': 2}}[event_type], 0) AS code, count(*) AS n FROM events GROUP BY event_type")
