@@ -792,3 +792,40 @@ def test_scores_are_recomputed_by_hand(spark):
         z = float((toxicity._design(counts, evidence) @ weights[:-1] + weights[-1])[0])
         got = float(toxicity._probability(one_block([text]), model, names, evidence, weights)[0])
         assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """More rows than any sample had: evidence and weights are those of all of them."""
+    draw = random.Random(12)
+    rows = []
+    for k in range(21_000):
+        bad = draw.random() < 0.2
+        rows.append((k, " ".join(draw.choice(["grubble", "snorkle", "plain", "other"] if bad else ["plain", "other", "words", "words", "words", "snorkle"]) for _ in range(3)), int(bad)))
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert len(learnt) > 13_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model, names, evidence, weights = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    t = sum(r[2] for r in learnt)
+    has = lambda word, y: sum(word in r[1].split() for r in learnt if r[2] == y)
+    for word in ("grubble", "snorkle"):
+        want = np.log(has(word, 1) / t / ((has(word, 0) + 0.5) / (len(learnt) - t)))
+        assert word not in names and want < np.log(2.5) or abs(evidence[names[word]] - want) < 1e-9
+    assert "grubble" in names
+    counts = np.array([[sum(f in toxicity.features_of(w) for w in r[1].split()) for f in names] for r in learnt], float)
+    assert np.allclose(weights, toxicity.fit_logistic(toxicity._design(counts, evidence), np.array([float(r[2]) for r in learnt])), atol=1e-6)
+
+
+def test_secrets_count_all_labelled_strings(spark):
+    """Strings beyond those that the states are inferred from change constant places, lengths, counts and thresholds; without any the result is as before."""
+    draw = random.Random(13)
+    strings = ["key-" + "".join(draw.choice("0123456789abcdef") for _ in range(28)) for _ in range(300)] + ["kez-" + "".join(draw.choice("GHIJKL") for _ in range(40)) for _ in range(100)]
+    df = spark.createDataFrame([(s,) for s in strings], "value string")
+    few = [r.value for r in df.orderBy(F.xxhash64("value"), "value").collect()]
+    whole, want = secrets.learn_all("k", df, 400)[0], secrets.learn_kinds({"k": few})[0]
+    assert (whole.least, whole.least_outline, whole.fixed, whole.model.table) == (want.least, want.least_outline, want.fixed, want.model.table)
+    got = secrets.learn_all("k", df, 24)[0]
+    assert (got.short, got.long, got.prefix, got.fixed) == (32, 44, "", {0: "k", 1: "e", 3: "-"})
+    # each string that isn't held ends once
+    held = sum(k % 4 == 3 for k in range(24)) + df.where(F.pmod(F.xxhash64("value"), F.lit(4)) == 3).join(spark.createDataFrame([(s,) for s in few[:24]], "value string"), "value", "left_anti").count()
+    assert sum(ends for ends, _ in got.model.seen) == sum(ends for ends, _ in got.outlines.seen) == 400 - held
+    assert secrets.learn_all("k", df.limit(19)) == []

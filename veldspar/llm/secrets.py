@@ -18,7 +18,7 @@ import math
 import os.path
 import re
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -40,7 +40,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: How much less likely than the least of the held outlines a secret's outline may be (a length that no string had); a symbol that no state knows costs three times as much.
 RARER = 3.0
-#: Labelled strings of a kind that the corpus gives at most, in the order of their hash.
+#: Labelled strings of a kind, first in the order of their hash, that the states of its automata are inferred from; counts, constant places, lengths and thresholds
+#: come from all of them.
 SAMPLE = 400
 # Public credential formats (kind, prefix, alphabet, least and greatest length of the rest).
 FORMATS = (
@@ -143,12 +144,34 @@ class Automaton:
                 red.append(state)
         self.states = len(red)
         place = {s: k for k, s in enumerate(red)}
-        #: for each state: log probability of an end, and of each symbol with the state after it
-        self.table = [
-            (math.log((self.ends[s] + 0.05) / (self.visits[s] + 1)), {c: (place[x[0]], math.log(x[1] / (self.visits[s] + 1))) for c, x in self.next[s].items()}) for s in red
-        ]
+        #: for each state: ends, and of each symbol the state after it and the times that it was taken
+        self.seen = [(self.ends[s], {c: (place[x[0]], x[1]) for c, x in self.next[s].items()}) for s in red]
         self.rare = math.log(1e-4)
         del self.visits, self.ends, self.next
+        self.add({})
+
+    def add(self, more: dict[tuple[int, str], int]) -> None:
+        """Count what further strings took, as ``taken`` has it; a symbol that no string took at its state before keeps the state."""
+        for (state, c), n in more.items():
+            ends, steps = self.seen[state]
+            if c:
+                to, m = steps.get(c, (state, 0))
+                steps[c] = (to, m + n)
+            else:
+                self.seen[state] = (ends + n, steps)
+        #: for each state: log probability of an end, and of each symbol with the state after it
+        self.table = []
+        for ends, steps in self.seen:
+            visits = ends + sum(n for _, n in steps.values())
+            self.table.append((math.log((ends + 0.05) / (visits + 1)), {c: (to, math.log(n / (visits + 1))) for c, (to, n) in steps.items()}))
+
+    def taken(self, s: str) -> Iterator[tuple[int, str]]:
+        """(state, symbol) of each step of a string; the empty symbol for its end."""
+        state = 0
+        for c in s:
+            yield state, c
+            state = self.table[state][1].get(c, (state, 0.0))[0]
+        yield state, ""
 
     def score(self, s: str) -> float:
         """Mean log likelihood per symbol, the end counted; a symbol never seen at its state costs much and keeps the state."""
@@ -200,6 +223,12 @@ def outlined(value: str, fixed: dict[int, str]) -> str:
     return "".join(c if k in fixed else "x" for k, c in enumerate(value))
 
 
+def _kind(name: str, model: Automaton, outlines: Automaton, fixed: dict[int, str], lengths: tuple[int, int], prefix: str, low: tuple[float, float], mean: float, spread: float) -> Kind:
+    """``low``: the hundredth of the scores and of the outlines' scores of held strings, from below."""
+    least = min(low[0], mean - 3.5 * spread)  # few strings don't show the hundredth; outlines are stricter
+    return Kind(name, model, least, outlines, low[1] - RARER, fixed, *lengths, prefix if len(prefix) >= 3 else "")
+
+
 def learn_kinds(labelled: dict[str, list[str]]) -> list[Kind]:
     """Each kind with 20 strings or more."""
     out = []
@@ -209,13 +238,72 @@ def learn_kinds(labelled: dict[str, list[str]]) -> list[Kind]:
             fixed = constants(fitted)
             model, outlines = Automaton(symbols(s) for s in fitted), Automaton(outlined(s, fixed) for s in fitted)
             scores, totals = sorted(model.score(symbols(s)) for s in held), sorted(outlines.total(outlined(s, fixed)) for s in held)
-            prefix = os.path.commonprefix(strings)
             low = len(held) // 100
-            spread = math.sqrt(sum((x - sum(scores) / len(scores)) ** 2 for x in scores) / len(scores))  # few strings don't show the hundredth; outlines are stricter
-            out.append(Kind(kind, model, min(scores[low], sum(scores) / len(scores) - 3.5 * spread), outlines, totals[low] - RARER, fixed, min(map(len, strings)), max(map(len, strings)), prefix if len(prefix) >= 3 else ""))
+            mean = sum(scores) / len(scores)
+            spread = math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores))
+            out.append(_kind(kind, model, outlines, fixed, (min(map(len, strings)), max(map(len, strings))), os.path.commonprefix(strings), (scores[low], totals[low]), mean, spread))
     return out
 
 
+def _taken(model: Automaton, outlines: Automaton, fixed: dict[int, str]):
+    """(which, state, symbol, n): the steps that a task's strings take in both automata."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                n.update((0, *x) for x in model.taken(symbols(s)))
+                n.update((1, *x) for x in outlines.taken(outlined(s, fixed)))
+        keys = list(n)
+        cols = [pa.array([k[j] for k in keys], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([n[k] for k in keys], pa.int64())], names=["which", "state", "symbol", "n"])
+
+    return run
+
+
+def _held(model: Automaton, outlines: Automaton, fixed: dict[int, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            scores = [[model.score(symbols(s)) for s in values], [outlines.total(outlined(s, fixed)) for s in values]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in scores], names=["score", "total"])
+
+    return run
+
+
+def learn_all(name: str, values: DataFrame, sample: int = SAMPLE) -> list[Kind]:
+    """The kind of all distinct strings of the column ``value``, or none if they are fewer than 20.
+
+    States are inferred from the first ``sample`` strings by hash.  A quarter of all strings is held, and the constant places, the counts of both automata and the
+    thresholds come from all others, and from all held ones; of ``sample`` strings or fewer the result is that of ``learn_kinds``.
+    """
+    first = [r.value for r in values.orderBy(F.xxhash64("value"), "value").limit(sample + 1).collect()]
+    if len(first) <= sample:
+        return learn_kinds({name: first})
+    first = first[:sample]
+    last = values.sparkSession.createDataFrame([(first[-1],)], "value string").select(F.xxhash64("value")).first()[0]
+    own = F.struct(F.xxhash64("value"), "value") <= F.struct(F.lit(last), F.lit(first[-1]))
+    rest = values.where(~own)
+    fit, held = (rest.where(c) for c in (F.pmod(F.xxhash64("value"), F.lit(4)) != 3, F.pmod(F.xxhash64("value"), F.lit(4)) == 3))
+    fitted = values.sparkSession.createDataFrame([(x,) for k, x in enumerate(first) if k % 4 != 3], "value string").union(fit)
+    chars = fitted.select(F.posexplode(F.split("value", "")).alias("k", "c")).where("c != ''").groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("c"), F.max("c").alias("d"))
+    n = fitted.count()
+    fixed = {r.k: r.c for r in chars.where((F.col("c") == F.col("d")) & (2 * F.col("n") >= n)).collect()}
+    some = [s for k, s in enumerate(first) if k % 4 != 3]
+    model, outlines = Automaton(symbols(s) for s in some), Automaton(outlined(s, fixed) for s in some)
+    more: tuple[dict, dict] = ({}, {})
+    for r in fit.mapInArrow(_taken(model, outlines, fixed), "which int, state int, symbol string, n long").groupBy("which", "state", "symbol").agg(F.sum("n").alias("n")).collect():
+        more[r.which][r.state, r.symbol] = r.n
+    model.add(more[0])
+    outlines.add(more[1])
+    out = values.sparkSession.createDataFrame([(x,) for x in first[3::4]], "value string").union(held)
+    scores = written(out.mapInArrow(_held(model, outlines, fixed), "score double, total double"), shared_dir(values.sparkSession), "scores")
+    all_ = scores.agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread")).first()
+    low = tuple(scores.orderBy(c).offset(all_.n // 100).first()[c] for c in ("score", "total"))
+    ends = values.agg(F.min(F.length("value")).alias("short"), F.max(F.length("value")).alias("long"), F.min("value").alias("a"), F.max("value").alias("b")).first()
+    return [_kind(name, model, outlines, fixed, (ends.short, ends.long), os.path.commonprefix([ends.a, ends.b]), low, all_.mean, all_.spread)]
+
+
 def learn(labelled: dict[str, list[str]]) -> list[tuple[str, Automaton, float]]:
     """(kind, automaton, least score) of each kind with 20 strings or more."""
     return [(k.name, k.model, k.least) for k in learn_kinds(labelled)]
@@ -345,10 +433,11 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _fit(found: DataFrame, sample: int) -> Models:
     labels = found.where(F.size("vals") > 0).select(F.explode("vals").alias("v")).select("v.*").where(F.length("value") >= 16).distinct()
-    labelled: dict[str, list[str]] = defaultdict(list, examples())
+    labels = written(labels, shared_dir(found.sparkSession), "labels")
+    out = learn_kinds(examples())
     for k in range(3):
-        labelled[KINDS[k]] = [r.value for r in labels.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
-    return learn_kinds(labelled)
+        out += learn_all(KINDS[k], labels.where(F.col("kind") == k).select("value"), sample)
+    return sorted(out, key=lambda m: m.name)
 
 
 _SPANS = "array<struct<start:long,kind:long,end:long>>"
@@ -358,7 +447,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, base, spans), one row per row of ``docs``: arrays of (start, kind, end), in code points, sorted; ``kind`` is a place in KINDS.
 
     ``base`` holds the base rules' matches, ``spans`` also those that the automata add; an added span overlaps no base span.  Null or
-    empty text has none.  The automata are fitted on at most ``sample`` distinct labelled strings of each base kind.  A null id stays null;
+    empty text has none.  The states of the automata are inferred from at most ``sample`` distinct labelled strings of each base kind; all of them give counts and thresholds.  A null id stays null;
     rows don't affect each other beyond the labelled strings.  Other columns are not read.
     """
     found = _found(docs, id_col, text_col)

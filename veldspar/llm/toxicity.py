@@ -2,7 +2,8 @@
 
 Writers hide words: letters become digits or signs, stand apart, or repeat.  The reader undoes this as a noisy channel.  Each suspicious token
 is a lattice of what every character may stand for, and Viterbi decoding finds the likeliest path under a trigram language model of characters,
-which is counted over all documents.  A logistic model then scores the restored words and their beginnings.  It is fitted on a bounded sample of labelled rows.
+which is counted over all documents.  A logistic model then scores the restored words and their beginnings.  It is fitted on all labelled rows: tasks count
+features and sum what each step of the fit needs.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import math
 import os.path
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import drop_folder, shared_dir, written
 from ._words import Block, blocks, hash_spans, split_words, take
 
-#: Labelled rows that the model is fitted on at most, and its features.
-SAMPLE, FEATURES = 12_000, 256
+#: Features of the model, and tasks that sum a step of its fit at most (each sends a square matrix of the features).
+FEATURES, SUMS = 256, 32
 PREFIXES = (4, 5, 6, 7)
 # What signs may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -217,22 +218,32 @@ def _counts(block: Block, model: np.ndarray, names: dict[str, int]) -> np.ndarra
 def _tally(model: np.ndarray):
     """In how many toxic and other documents each feature occurs."""
 
-    def rows(held: Counter) -> pa.RecordBatch:
-        keys = list({k for _, k in held})
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([held[y, k] for k in keys], pa.int64()) for y in (1, 0))], names=["feature", "toxic", "other"])
+    def rows(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = np.array(list(held.values()), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["feature", "toxic", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[str, np.ndarray] = {}
         for block in blocks(batches, "_text", 1 << 20):
             words, inverse, doc = _distinct_words(block, model)
-            label = take(block, ["_y"])[0].to_pylist()
-            order = np.lexsort((inverse, doc))
-            cuts = np.searchsorted(doc[order], np.arange(len(block) + 1))
-            for i, y in enumerate(label):
-                held.update((y, f) for f in {f for k in set(inverse[order[cuts[i] : cuts[i + 1]]].tolist()) for f in features_of(words[k])})
+            label = take(block, ["_y"])[0].to_numpy() > 0
+            # the features of each distinct word, then those of each document without repeats
+            place: dict[str, int] = {}
+            own = [[place.setdefault(f, len(place)) for f in features_of(w)] for w in words]
+            size = np.array([len(x) for x in own], np.int64)
+            flat = np.array([x for y in own for x in y], np.int64)
+            first = np.cumsum(size) - size
+            pairs = np.unique(doc.astype(np.int64) * max(1, len(words)) + inverse)
+            doc, word = np.divmod(pairs, max(1, len(words)))
+            n = size[word]
+            at = flat[np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            doc, at = np.divmod(np.unique(np.repeat(doc, n) * max(1, len(place)) + at), max(1, len(place)))
+            counts = np.stack([np.bincount(at[label[doc] == y], minlength=len(place)) for y in (True, False)], 1)
+            for f, k in place.items():
+                held[f] = held[f] + counts[k] if f in held else counts[k]
             if len(held) > 300_000:
                 yield rows(held)
-                held = Counter()
+                held = {}
         yield rows(held)
 
     return run
@@ -257,36 +268,61 @@ def _design(counts: np.ndarray, evidence: np.ndarray) -> np.ndarray:
     return np.hstack([x, (x @ evidence)[:, None], np.where(counts > 0, evidence, 0.0).max(1)[:, None]])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights, the constant last, by iterated weighted least squares."""
+def _sums(x: np.ndarray, yes: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows that stand for ``n`` each, ``yes`` of them positive: gradient and square matrix of a step, without the ridge; the constant is the last column."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w, eye = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (yes - n * p), (x * (n * (p * (1 - p) + 1e-9))[:, None]).T @ x
+
+
+def _newton(sums, width: int, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights, the constant last, by iterated weighted least squares; ``sums`` gives those of all rows at given weights."""
+    w, eye = np.zeros(width + 1), np.eye(width + 1) * ridge
     eye[-1, -1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - eye @ w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + eye, g)
+        g, h = sums(w)
+        step = np.linalg.solve(h + eye, g - eye @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """The same of rows that are at hand."""
+    return _newton(lambda w: _sums(x, y, np.ones(len(y)), w), x.shape[1], ridge, steps)
+
+
+def _step(evidence: np.ndarray, w: np.ndarray):
+    """A task's sums, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, h = np.zeros(len(w)), np.zeros((len(w), len(w)))
+        for batch in batches:
+            if batch.num_rows:
+                counts = np.array([np.frombuffer(r, np.float32) for r in batch.column(0).to_pylist()], np.float64).reshape(batch.num_rows, len(evidence))
+                more = _sums(_design(counts, evidence), *(batch.column(k).to_numpy().astype(np.float64) for k in (1, 2)), w)
+                g, h = g + more[0], h + more[1]
+        yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=["g", "h"])
+
+    return run
+
+
 def remainder(id_col: str) -> Column:
     """crc32(id as text) mod 3; rows where it is 1 are never learnt from."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, dict[str, int], np.ndarray, np.ndarray]:
-    """(language model, features, their evidence, weights)."""
-    model = language_model(docs, text_col)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, dict[str, int], np.ndarray, np.ndarray]:
+    """(language model, features, their evidence, weights), from all labelled rows."""
+    model, folder = language_model(docs, text_col), shared_dir(docs.sparkSession)
     chosen = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col) != 1)).select(F.col(id_col).alias("_k"), F.col("toxic").cast("int").alias("_y"))
-    chosen = chosen.groupBy("_k").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(sample)
-    chosen = docs.sparkSession.createDataFrame(chosen.toArrow(), chosen.schema)  # `sample` pairs of numbers
+    chosen = written(chosen.groupBy("_k").agg(F.max("_y").alias("_y")), folder, "labels")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_k"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), "_k").select("_k", "_y", "_text")
+    # labelled texts are read twice
+    rows = written(docs.select(F.col(id_col).alias("_k"), F.col(text_col).cast("binary").alias("_text")).join(chosen, "_k").select("_k", "_y", "_text"), folder, "labelled")
     tally = rows.select("_y", "_text").mapInArrow(_tally(model), "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
-    size = {bool(r["_y"]): r["count"] for r in chosen.groupBy("_y").count().collect()}
+    size = {bool(r["_y"]): r["n"] for r in chosen.groupBy((F.col("_y") != 0).alias("_y")).agg(F.count("*").alias("n")).collect()}
     t, o = size.get(True, 0), size.get(False, 0)
     if not t or not o:
         return model, {}, np.zeros(0), np.array([-3.0 if not t else 3.0])
@@ -294,12 +330,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     gain = F.col("a") * F.log(rate)
     tally = tally.withColumn("evidence", F.log(rate))
     best = tally.where((F.col("a") >= max(4, math.ceil(t / 500))) & (rate >= 2.5)).orderBy(F.desc(gain), "feature").limit(FEATURES).collect()
-    names = {r.feature: k for k, r in enumerate(best)}
-    # one row an id, so that the driver gets ``sample`` rows at most, however many rows an id has
-    got = rows.mapInArrow(_matrix(model, names), f"_k {kind}, _y int, row binary").groupBy("_k").agg(F.max("_y").alias("_y"), F.min("row").alias("row")).collect()
-    evidence = np.array([r.evidence for r in best])
-    x = _design(np.array([np.frombuffer(r.row, np.float32) for r in got], np.float64).reshape(len(got), len(names)), evidence)
-    return model, names, evidence, fit_logistic(x, np.array([float(r["_y"] > 0) for r in got]))
+    names, evidence = {r.feature: k for k, r in enumerate(best)}, np.array([r.evidence for r in best])
+    # one row an id, however many rows an id has; equal rows are one with its counts
+    each = rows.mapInArrow(_matrix(model, names), f"_k {kind}, _y int, row binary").groupBy("_k").agg(F.max("_y").alias("_y"), F.min("row").alias("row"))
+    each = each.groupBy("row").agg(F.sum((F.col("_y") > 0).cast("int")).alias("yes"), F.count("*").alias("n"))
+    each = written(each.coalesce(SUMS), folder, "rows").coalesce(SUMS)
+    drop_folder(docs.sparkSession, f"{folder}/labelled")
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = each.mapInArrow(_step(evidence, w), "g binary, h binary").collect()
+        g, h = (sum((np.frombuffer(r[k]) for r in got), np.zeros(len(w) ** (k + 1))) for k in (0, 1))
+        return g, h.reshape(len(w), len(w))
+
+    width = len(names) + 2 if names else 0
+    return model, names, evidence, _newton(sums, width)
 
 
 def _probability(block: Block, model: np.ndarray, names: dict[str, int], evidence: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -315,7 +359,7 @@ def _scores(*fitted):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score double), one row per row of ``docs``; the text alone decides the score.
 
     ``labels`` has id_col and ``toxic``; rows with a null in either, or whose id's crc32 leaves 1 modulo 3, aren't learnt from; of several labels of an id the
@@ -324,7 +368,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("_own"), F.col(text_col).cast("binary").alias("_text"))
-    return src.mapInArrow(_scores(*fit(docs, labels, id_col, text_col, sample)), f"_own {kind}, _score double").select(F.col("_own").alias(id_col), F.col("_score").alias("score"))
+    return src.mapInArrow(_scores(*fit(docs, labels, id_col, text_col)), f"_own {kind}, _score double").select(F.col("_own").alias(id_col), F.col("_score").alias("score"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:
