@@ -9,6 +9,7 @@ import string
 import time
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -815,6 +816,58 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert np.allclose(weights, toxicity.fit_logistic(toxicity._design(counts, evidence), np.array([float(r[2]) for r in learnt])), atol=1e-6)
 
 
+def test_toxicity_deals_out_labelled_texts_alone(spark):
+    """Where labels are too many to be broadcast, texts without one aren't shuffled."""
+    draw, plain = random.Random(14), [f"{a}{b}" for a in ("moor", "fen", "hill", "lake", "wood") for b in ("side", "land", "s", "ward", "top", "path")]
+    rows = [(k, " ".join(draw.choice(plain) for _ in range(300)) + " idiot" * (k % 40 == 0)) for k in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 40 == 0)) for k in range(0, 2_000, 20)], "doc_id long, toxic int")
+
+    def shuffled() -> int:
+        time.sleep(0.5)  # the store is brought up to date every 100 ms
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        _, names, _, _ = toxicity.fit(docs, labels)
+        assert "idiot" in names
+        assert shuffled() - before < sum(len(t) for _, t in rows) / 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+@pytest.mark.parametrize("kinds", [("long", "long"), ("int", "int"), ("string", "string"), ("int", "long"), ("long", "string"), ("double", "double")])
+@pytest.mark.parametrize("bits", [1 << 18, 64])
+def test_labelled_texts_are_those_of_a_join(spark, monkeypatch, kinds, bits):
+    """Ids that share a mark, ids of other types, repeated and null ids: the rows are those of a plain join."""
+    monkeypatch.setattr(toxicity, "LEAST_BITS", bits)
+    monkeypatch.setattr(toxicity, "MOST_BITS", bits)
+    ids = [None, -1, 0, 1 << 30, *range(5, 400), 7, 7]
+    docs = spark.createDataFrame([(k, str(n).encode()) for n, k in enumerate(ids)], "_k long, _text binary").select(F.col("_k").cast(kinds[0]).alias("_k"), "_text")
+    chosen = spark.createDataFrame([(k, k % 2) for k in (-1, 0, 1 << 30, 1, 2, *range(5, 400, 9), 7)], "_k long, _y int").select(F.col("_k").cast(kinds[1]).alias("_k"), "_y")
+    want = docs.join(chosen, "_k").select("_k", "_y", "_text")
+    got = toxicity.labelled_texts(docs, chosen, chosen.count())
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 40
+
+
+def test_tallies_of_given_features_equal_those_of_all(spark):
+    """Counting some features alone gives the numbers that counting all gives; disguised and parted words included."""
+    draw = random.Random(15)
+    model = toxicity.language_model(spark.createDataFrame([("you stupid idiot walked a fine day idly by the ideal",)] * 20, "text string"))
+    texts = [" ".join(draw.choice(["1d1ot", "i d i o t", "Idiot!", "idiots", "stuuupid", "a", "by", "ab", "Ünder", "idly", "day.", "s.t.u.p.i.d", "x" * 9]) for _ in range(draw.randint(0, 9))) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"_text": pa.array([*texts, None, ""], pa.string()).cast(pa.binary())})
+    counted = lambda run: {f: n for b in run(iter([batch, batch])) for f, n in zip(b["feature"].to_pylist(), b["n"].to_pylist())}
+    every = counted(toxicity._tally(model))
+    said = [{f for word in toxicity._distinct_words(one_block([t]), model)[0] for f in toxicity.features_of(word)} for t in texts]
+    assert every == Counter(f for x in said for f in x for _ in range(2)) and {"idiot", "ab", "idio~", "stupid"} <= set(every)
+    for some in (sorted(every), sorted(every)[::3], ["idiot", "none such", "by"], []):
+        assert counted(toxicity._tally_of(model, some)) == {f: every[f] for f in some if f in every}
+
+
 def test_secrets_count_all_labelled_strings(spark):
     """Strings beyond those that the states are inferred from change constant places, lengths, counts and thresholds; without any the result is as before."""
     draw = random.Random(13)

@@ -17,13 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from ._shared import drop_folder, shared_dir, written
 from ._words import Block, blocks, hash_spans, split_words, take
 
 #: Features of the model, and tasks that sum a step of its fit at most (each sends a square matrix of the features).
 FEATURES, SUMS = 256, 32
+#: Least and most bits of the marks of labelled ids (32 KB to 8 MB), and bits a label.
+LEAST_BITS, MOST_BITS, BITS = 1 << 18, 1 << 26, 16
 PREFIXES = (4, 5, 6, 7)
+SHORTEST = min(PREFIXES)
 # What signs may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 APART = frozenset(".-_*~'/,:;")
@@ -143,11 +147,14 @@ def readings(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
 _EDGE = re.compile(r"^[\W_]++|(?<![\W_])[\W_]++$")
 _ODD = re.compile(r"[^\W\d_][\d@$!|+(€£._*~'/,:;-]+[^\W_]|(?<![\d@$!|+(€£._*~-])[._*~-]*+[\d@$!|+(€£][\d@$!|+(€£._*~-]*+[^\W\d_]|(.)\1\1")
 _FRONT = re.compile(r"^[^\w@$!|+(€£]+")
+_THRICE = re.compile(r"(.)\1\1")
 
 
 def restore(token: str, model: np.ndarray) -> str:
     """A token in lower case without signs at its ends, and decoded where it looks disguised, which may give several words."""
     low = token.lower()
+    if low.isalpha() and not _THRICE.search(low):
+        return low  # most words: no sign or digit that the patterns below could find
     plain = _EDGE.sub("", low)
     if not _ODD.search(low):
         return plain
@@ -196,37 +203,47 @@ def _distinct_words(block: Block, model: np.ndarray) -> tuple[list[str], np.ndar
     return words, inverse, doc
 
 
-def _counts(block: Block, model: np.ndarray, names: dict[str, int]) -> np.ndarray:
-    """Documents x features: how often each occurs."""
+def _found(block: Block, model: np.ndarray, names: dict[str, int], fronts: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) of each occurrence of the features ``names``, whose first characters are ``fronts``."""
     words, inverse, doc = _distinct_words(block, model)
     at, to = [], []
     for k, w in enumerate(words):
-        for f in features_of(w):
-            if (j := names.get(f)) is not None:
-                at.append(k)
-                to.append(j)
+        if w[:SHORTEST] in fronts or " " in w:
+            for f in features_of(w):
+                if (j := names.get(f)) is not None:
+                    at.append(k)
+                    to.append(j)
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(inverse, kind="stable")
+    left = np.searchsorted(inverse[order], at, "left")
+    n = np.searchsorted(inverse[order], at, "right") - left
+    places = order[np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return doc[places], np.repeat(to, n)
+
+
+def _fronts(names: dict[str, int]) -> set[str]:
+    """What a word begins with if it has one of the features."""
+    return {f[:SHORTEST] for f in names}
+
+
+def _counts(block: Block, model: np.ndarray, names: dict[str, int]) -> np.ndarray:
+    """Documents x features: how often each occurs."""
     out = np.zeros((len(block), len(names)), np.float64)
-    if at:
-        order = np.argsort(inverse, kind="stable")
-        left = np.searchsorted(inverse[order], at, "left")
-        n = np.searchsorted(inverse[order], at, "right") - left
-        places = order[np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        np.add.at(out, (doc[places], np.repeat(to, n)), 1)
+    np.add.at(out, _found(block, model, names, _fronts(names)), 1)
     return out
 
 
 def _tally(model: np.ndarray):
-    """In how many toxic and other documents each feature occurs."""
+    """In how many documents each feature occurs."""
 
-    def rows(held: dict[str, np.ndarray]) -> pa.RecordBatch:
-        n = np.array(list(held.values()), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["feature", "toxic", "other"])
+    def rows(held: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["feature", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, int] = {}
         for block in blocks(batches, "_text", 1 << 20):
             words, inverse, doc = _distinct_words(block, model)
-            label = take(block, ["_y"])[0].to_numpy() > 0
             # the features of each distinct word, then those of each document without repeats
             place: dict[str, int] = {}
             own = [[place.setdefault(f, len(place)) for f in features_of(w)] for w in words]
@@ -237,10 +254,9 @@ def _tally(model: np.ndarray):
             doc, word = np.divmod(pairs, max(1, len(words)))
             n = size[word]
             at = flat[np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            doc, at = np.divmod(np.unique(np.repeat(doc, n) * max(1, len(place)) + at), max(1, len(place)))
-            counts = np.stack([np.bincount(at[label[doc] == y], minlength=len(place)) for y in (True, False)], 1)
-            for f, k in place.items():
-                held[f] = held[f] + counts[k] if f in held else counts[k]
+            counts = np.bincount(np.unique(np.repeat(doc, n) * max(1, len(place)) + at) % max(1, len(place)), minlength=len(place))
+            for f, c in zip(place, counts.tolist()):
+                held[f] = held.get(f, 0) + c
             if len(held) > 300_000:
                 yield rows(held)
                 held = {}
@@ -249,6 +265,21 @@ def _tally(model: np.ndarray):
     return run
 
 
+def _tally_of(model: np.ndarray, features: list[str]):
+    """The same of given features alone."""
+    names = {f: k for k, f in enumerate(features)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, fronts = np.zeros(len(names), np.int64), _fronts(names)
+        for block in blocks(batches, "_text", 1 << 20):
+            doc, at = _found(block, model, names, fronts)
+            total += np.bincount(np.unique(doc.astype(np.int64) * max(1, len(names)) + at) % max(1, len(names)), minlength=len(names))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([features[k] for k in some.tolist()], pa.string()), pa.array(total[some])], names=["feature", "n"])
+
+    return run
+
+
 def _matrix(model: np.ndarray, names: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text", 2 << 20):
@@ -313,23 +344,45 @@ def remainder(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3))
 
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """(_k, _y, _text): the rows of ``docs`` (_k, _text) whose id is one of the ``n`` of ``chosen`` (_k, _y).
+
+    The join deals texts to where labels are, at any size alike.  Before it, texts whose id has no mark in a bitmap of hashed ids stay where they are: an
+    unlabelled id that shares a mark costs work, never a wrong row.
+    """
+    kind = chosen.schema["_k"].dataType
+    if kind == docs.schema["_k"].dataType and isinstance(kind, (IntegralType, StringType)):
+        bits = min(max(1 << max(0, BITS * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
+        mark = F.pmod(F.xxhash64("_k"), F.lit(bits))
+        part, bit = F.bitmap_bucket_number(mark).alias("_part"), F.bitmap_bit_position(mark).alias("_bit")
+        marks = chosen.groupBy(part).agg(F.bitmap_construct_agg(bit).alias("_marks"))
+        marked = F.expr("getbit(cast(conv(hex(substring(_marks, cast(_bit div 8 AS int) + 1, 1)), 16, 10) AS long), cast(_bit % 8 AS int)) = 1")
+        docs = docs.select("*", part, bit).join(F.broadcast(marks), "_part").where(marked).select("_k", "_text")
+    return docs.join(chosen.hint("shuffle_hash"), "_k").select("_k", "_y", "_text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, dict[str, int], np.ndarray, np.ndarray]:
     """(language model, features, their evidence, weights), from all labelled rows."""
     model, folder = language_model(docs, text_col), shared_dir(docs.sparkSession)
     chosen = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col) != 1)).select(F.col(id_col).alias("_k"), F.col("toxic").cast("int").alias("_y"))
     chosen = written(chosen.groupBy("_k").agg(F.max("_y").alias("_y")), folder, "labels")
     kind = docs.schema[id_col].dataType.simpleString()
-    # labelled texts are read twice
-    rows = written(docs.select(F.col(id_col).alias("_k"), F.col(text_col).cast("binary").alias("_text")).join(chosen, "_k").select("_k", "_y", "_text"), folder, "labelled")
-    tally = rows.select("_y", "_text").mapInArrow(_tally(model), "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     size = {bool(r["_y"]): r["n"] for r in chosen.groupBy((F.col("_y") != 0).alias("_y")).agg(F.count("*").alias("n")).collect()}
     t, o = size.get(True, 0), size.get(False, 0)
     if not t or not o:
         return model, {}, np.zeros(0), np.array([-3.0 if not t else 3.0])
+    # labelled texts are read three times
+    rows = written(labelled_texts(docs.select(F.col(id_col).alias("_k"), F.col(text_col).cast("binary").alias("_text")), chosen, t + o), folder, "labelled")
+    # what too few toxic documents hold is never a feature, so it isn't counted in the others
+    tally = rows.where("_y > 0").select("_text").mapInArrow(_tally(model), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("a"))
+    tally = written(tally.where(F.col("a") >= max(4, math.ceil(t / 500))), folder, "common")
+    common = [r.feature for r in tally.select("feature").orderBy("feature").collect()]
+    rest = rows.where("_y <= 0").select("_text").mapInArrow(_tally_of(model, common), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("b"))
+    tally = tally.join(rest, "feature", "left").fillna(0, "b")
     rate = F.col("a") / t / ((F.col("b") + 0.5) / o)
     gain = F.col("a") * F.log(rate)
     tally = tally.withColumn("evidence", F.log(rate))
-    best = tally.where((F.col("a") >= max(4, math.ceil(t / 500))) & (rate >= 2.5)).orderBy(F.desc(gain), "feature").limit(FEATURES).collect()
+    best = tally.where(rate >= 2.5).orderBy(F.desc(gain), "feature").limit(FEATURES).collect()
     names, evidence = {r.feature: k for k, r in enumerate(best)}, np.array([r.evidence for r in best])
     # one row an id, however many rows an id has; equal rows are one with its counts
     each = rows.mapInArrow(_matrix(model, names), f"_k {kind}, _y int, row binary").groupBy("_k").agg(F.max("_y").alias("_y"), F.min("row").alias("row"))
